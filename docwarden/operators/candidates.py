@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docwarden.functions import text as tx
 from docwarden.functions.frontmatter import present, with_frontmatter
+from docwarden.functions.shaping import filter_once
 
 # File name suffixes, skipped folders and the patterns of the three kinds of signal.
 EXTENSIONS = (".md", ".markdown", ".txt", ".prompt", ".skill")
@@ -81,7 +82,8 @@ def candidates(docs: DataFrame, path_scope: str = "absolute") -> DataFrame:
     if path_scope not in ("absolute", "relative"):
         raise ValueError("path_scope is 'absolute' or 'relative'")
     looked_at = F.col("abs_path" if path_scope == "absolute" else "path")
-    return docs.where(~in_ignored_dir(F.col("path"))).where(is_candidate(looked_at, F.col("content")))
+    by_path = docs.where(~in_ignored_dir(F.col("path")) & has_text_extension(looked_at))
+    return filter_once(by_path, is_candidate(looked_at, F.col("content")))
 
 
 def describe(docs: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from docwarden.functions import text as tx
 from docwarden.functions.frontmatter import body_of, parse_block, present, with_frontmatter
+from docwarden.functions.shaping import filter_once
 from docwarden.operators import audit as au
 from docwarden.operators.rules import RuleSet, bad_version, no_heading, with_scores
 
@@ -176,7 +177,7 @@ def fix_actions(fixed: DataFrame, applied: bool = False) -> DataFrame:
 
 def fixed_docs(fixed: DataFrame) -> DataFrame:
     """The rewritten documents, as a corpus."""
-    return fixed.where("touched").select(
+    return filter_once(fixed, F.col("touched")).select(
         *au.IDENTITY,
         "content",
         F.octet_length("content").cast("long").alias("size_bytes"),
@@ -187,7 +188,7 @@ def fixed_docs(fixed: DataFrame) -> DataFrame:
 def reaudit(fixed: DataFrame, rules: RuleSet) -> DataFrame:
     """Audit of the touched documents; the findings before are in ``findings_before``."""
     before = [F.col("findings").alias("findings_before")] if "findings" in fixed.columns else []
-    touched = fixed.where("touched").select(
+    touched = filter_once(fixed, F.col("touched")).select(
         *au.IDENTITY, "content", "head", "block", "fm", tx.content_hash(F.col("content")).alias("content_hash"), *before
     )
     return au.audit_parsed(touched.withColumn("body", body_of(F.col("content"))), rules)

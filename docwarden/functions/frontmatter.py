@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, StringType, StructField, StructType
 
 from docwarden.functions import text as tx
 
@@ -27,24 +27,33 @@ except ImportError:  # only the two UDFs below need it
 SCALARS = ("id", "name", "description", "version", "verification", "source", "migrated_at")
 ITEM_FIELDS = {"inputs": ("name", "type", "description", "required"), "outputs": ("name", "type", "description")}
 
-_NODE = "struct<kind:string,text:string,num:double,truthy:boolean>"
-_LIST = f"struct<kind:string,text:string,truthy:boolean,items:array<{_NODE}>>"
+_TEXT, _TEXTS = StringType(), ArrayType(StringType())
 
 
-def _item_list(fields: tuple[str, ...]) -> str:
-    inner = ",".join(f"{f}:{_NODE}" for f in fields)
-    return f"struct<kind:string,text:string,items:array<struct<kind:string,text:string,keys:array<string>,{inner}>>>"
+def _struct(**fields: DataType) -> StructType:
+    return StructType([StructField(name, kind) for name, kind in fields.items()])
 
 
-FRONTMATTER_DDL = (
-    "kind string, text string, truthy boolean, keys array<string>, "
-    + ", ".join(f"{f} {_NODE}" for f in SCALARS)
-    + f", tags {_LIST}"
-    + "".join(f", {k} {_item_list(v)}" for k, v in ITEM_FIELDS.items())
-    + f", tooling struct<kind:string,text:string,models:{_LIST},tools:{_LIST},min_context_tokens:{_NODE}>"
-    + ", json string"
+_NODE = _struct(kind=_TEXT, text=_TEXT, num=DoubleType(), truthy=BooleanType())
+_LIST = _struct(kind=_TEXT, text=_TEXT, truthy=BooleanType(), items=ArrayType(_NODE))
+
+
+def _item_list(fields: tuple[str, ...]) -> StructType:
+    item = _struct(kind=_TEXT, text=_TEXT, keys=_TEXTS, **{f: _NODE for f in fields})
+    return _struct(kind=_TEXT, text=_TEXT, items=ArrayType(item))
+
+
+FRONTMATTER_TYPE = _struct(
+    kind=_TEXT,
+    text=_TEXT,
+    truthy=BooleanType(),
+    keys=_TEXTS,
+    **{f: _NODE for f in SCALARS},
+    tags=_LIST,
+    **{k: _item_list(v) for k, v in ITEM_FIELDS.items()},
+    tooling=_struct(kind=_TEXT, text=_TEXT, models=_LIST, tools=_LIST, min_context_tokens=_NODE),
+    json=_TEXT,
 )
-FRONTMATTER_TYPE: StructType = StructType.fromDDL(FRONTMATTER_DDL)
 
 
 def _need_yaml() -> None:

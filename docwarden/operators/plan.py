@@ -60,8 +60,8 @@ def plan_items(found: DataFrame) -> DataFrame:
 
 
 def plan_summary(found: DataFrame) -> DataFrame:
-    """Counts as ``(dimension, key, n)``: total, fixable, per severity and per risk."""
-    scored = with_scores(found, "rule_id")
+    """Counts of findings or plan items as ``(dimension, key, n)``: total, fixable, per severity and per risk."""
+    scored = found if "risk" in found.columns else with_scores(found, "rule_id")
     # The first step leaves a few rows; the grouping sets run over those.
     cells = scored.groupBy("severity", "risk").agg(F.count("*").alias("n"), F.count_if("fixable").alias("fixable"))
     sets = cells.groupingSets([["severity"], ["risk"], []], "severity", "risk").agg(

@@ -20,7 +20,7 @@ _ATTRIBUTE_TYPES = {a: "boolean" if a == "fixable" else "string" for a in ATTRIB
 
 
 def with_schema_errors(parsed: DataFrame) -> DataFrame:
-    return parsed.withColumn("schema_errors", schema.schema_errors(F.col("fm")))
+    return parsed.withColumn("schema_errors", schema.schema_errors("fm"))
 
 
 def _finding(rule: dict, doc: Doc) -> Column:

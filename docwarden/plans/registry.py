@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docwarden.functions import frontmatter as fm
-from docwarden.functions import schema
 from docwarden.functions import text as tx
 from docwarden.functions.shaping import spread
 from docwarden.operators import audit as au

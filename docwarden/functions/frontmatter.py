@@ -18,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, StringType, StructField, StructType
 
 from docwarden.functions import text as tx
+from docwarden.functions.shaping import inline_once
 
 try:
     import yaml
@@ -240,7 +241,8 @@ def frontmatter_long(docs: DataFrame) -> DataFrame:
         )
     )
     parts += [numbered(f"tooling.{k}", tool[k]["items"]) for k in ("models", "tools")]
-    return docs.where(present(fm)).select("doc_key", F.inline(F.array_compact(F.concat(*parts))))
+    entries = docs.select("doc_key", F.when(present(fm), F.array_compact(F.concat(*parts))).alias("entries"))
+    return inline_once(entries, "entries", "doc_key")
 
 
 def _render_udf():

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from docwarden.functions import text as tx
 from docwarden.functions.frontmatter import ITEM_FIELDS
+from docwarden.functions.shaping import sql_literal
 
 # Required keys, in reporting order, and required keys of an input or output.
 REQUIRED = ("id", "name", "description", "version", "tags")
@@ -26,19 +27,14 @@ PATTERNS = {
 ERRORS_DDL = "array<struct<path:string,keyword:string,message:string>>"
 
 
-def _text(value: str) -> str:
-    """A string literal."""
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def _shown(node: str) -> str:
     """The value as it appears in a message."""
     return f"CASE WHEN {node}.kind = 'string' THEN {_quoted(node)} ELSE {node}.text END"
 
 
 def _quoted(node: str) -> str:
-    quote = _text("'")
-    return f"concat({quote}, replace({node}.text, {quote}, {_text(chr(92) + chr(39))}), {quote})"
+    quote = sql_literal("'")
+    return f"concat({quote}, replace({node}.text, {quote}, {sql_literal(chr(92) + chr(39))}), {quote})"
 
 
 def _error(broken: str, path: str, keyword: str, message: str) -> str:
@@ -47,7 +43,7 @@ def _error(broken: str, path: str, keyword: str, message: str) -> str:
 
 
 def _type(node: str, path: str, name: str, allowed: str) -> str:
-    return _error(f"NOT ({allowed})", path, "type", f"concat({_shown(node)}, {_text(f" is not of type '{name}'")})")
+    return _error(f"NOT ({allowed})", path, "type", f"concat({_shown(node)}, {sql_literal(f" is not of type '{name}'")})")
 
 
 def _kind(node: str, path: str, name: str, kind: str) -> str:
@@ -57,23 +53,23 @@ def _kind(node: str, path: str, name: str, kind: str) -> str:
 def _min_length(node: str, path: str, least: int) -> str:
     said = " should be non-empty" if least == 1 else " is too short"
     short = f"{node}.kind = 'string' AND char_length({node}.text) < {least}"
-    return _error(short, path, "minLength", f"concat({_quoted(node)}, {_text(said)})")
+    return _error(short, path, "minLength", f"concat({_quoted(node)}, {sql_literal(said)})")
 
 
 def _pattern(node: str, name: str) -> str:
     pattern, wording = PATTERNS[name]
     said = " does not match '" + wording.replace("\\", "\\\\") + "'"
     return _error(
-        f"{node}.kind = 'string' AND NOT {node}.text RLIKE {_text(pattern)}",
-        _text(name),
+        f"{node}.kind = 'string' AND NOT {node}.text RLIKE {sql_literal(pattern)}",
+        sql_literal(name),
         "pattern",
-        f"concat({_quoted(node)}, {_text(said)})",
+        f"concat({_quoted(node)}, {sql_literal(said)})",
     )
 
 
 def _required(node: str, path: str, names: tuple[str, ...]) -> list[str]:
     return [
-        _error(f"{node}.kind = 'map' AND NOT array_contains({node}.keys, '{n}')", path, "required", _text(f"'{n}' is a required property"))
+        _error(f"{node}.kind = 'map' AND NOT array_contains({node}.keys, '{n}')", path, "required", sql_literal(f"'{n}' is a required property"))
         for n in names
     ]
 
@@ -104,11 +100,11 @@ def _objects(node: str, stem: str) -> str:
 
 def _scalar(fm: str, name: str) -> list[str]:
     node = f"{fm}.{name}"
-    checks = [_kind(node, _text(name), "string", "string")]
+    checks = [_kind(node, sql_literal(name), "string", "string")]
     if name in PATTERNS:
         checks.append(_pattern(node, name))
     if name in MIN_LENGTH:
-        checks.append(_min_length(node, _text(name), MIN_LENGTH[name]))
+        checks.append(_min_length(node, sql_literal(name), MIN_LENGTH[name]))
     return checks
 
 
@@ -123,7 +119,7 @@ def errors_sql(fm: str) -> str:
         " ELSE concat(x.kind, ':', x.text) END)"
     )
     root = [
-        _error(f"{fm}.kind <> 'map'", "'(root)'", "type", f"concat({_shown(fm)}, {_text(" is not of type 'object'")})"),
+        _error(f"{fm}.kind <> 'map'", "'(root)'", "type", f"concat({_shown(fm)}, {sql_literal(" is not of type 'object'")})"),
         *_required(fm, "'(root)'", REQUIRED),
     ]
     tag_list = [
@@ -159,11 +155,10 @@ def schema_errors(fm: str = "fm") -> Column:
     return F.expr(errors_sql(fm))
 
 
-def error_texts(errors: Column) -> Column:
-    """``path: message`` of every error."""
-    return F.transform(errors, lambda e: F.concat(e["path"], F.lit(": "), e["message"]))
+def missing_sql(fm: str) -> str:
+    """SQL of the required keys a mapping lacks, sorted."""
+    return f"array_sort(array_except(array({', '.join(sql_literal(k) for k in REQUIRED)}), {fm}.keys))"
 
 
-def missing_fields(fm: Column) -> Column:
-    """Required keys a mapping lacks, sorted."""
-    return F.array_sort(F.array_except(F.array(*[F.lit(k) for k in REQUIRED]), fm["keys"]))
+def missing_fields(fm: str = "fm") -> Column:
+    return F.expr(missing_sql(fm))

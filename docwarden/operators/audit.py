@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from docwarden.functions import schema
 from docwarden.functions.frontmatter import with_frontmatter
+from docwarden.functions.shaping import inline_once, sql_literal
 from docwarden.operators.rules import ATTRIBUTES, Doc, RuleSet, fires
 
 IDENTITY = ("doc_key", "repo", "path", "abs_path")
@@ -24,21 +25,18 @@ def with_schema_errors(parsed: DataFrame) -> DataFrame:
 
 
 def _finding(rule: dict, doc: Doc) -> Column:
-    details = {"FM002": F.lit(None), "FM003": F.lit(None)}
-    if rule["id"] == "FM002":
-        details["FM002"] = schema.error_texts(doc.errors)
-    if rule["id"] == "FM003":
-        details["FM003"] = schema.missing_fields(doc.fm)
-    return F.when(
-        fires(rule["id"], doc),
-        F.struct(
-            F.lit(rule["ord"]).cast("int").alias("rule_ord"),
-            F.lit(rule["id"]).alias("rule_id"),
-            *[F.lit(rule[a]).cast(_ATTRIBUTE_TYPES[a]).alias(a) for a in ATTRIBUTES],
-            details["FM002"].cast("array<string>").alias("schema_errors"),
-            details["FM003"].cast("array<string>").alias("missing_fields"),
-        ),
+    """The finding of one rule, NULL where it does not fire; all but the test is a literal."""
+    details = {
+        "FM002": ("transform(schema_errors, e -> concat(e.path, ': ', e.message))", "NULL"),
+        "FM003": ("NULL", schema.missing_sql("fm")),
+    }
+    errors, missing = details.get(rule["id"], ("NULL", "NULL"))
+    attributes = ", ".join(f"'{a}', CAST({sql_literal(rule[a])} AS {_ATTRIBUTE_TYPES[a]})" for a in ATTRIBUTES)
+    finding = (
+        f"named_struct('rule_ord', {int(rule['ord'])}, 'rule_id', {sql_literal(rule['id'])}, {attributes}, "
+        f"'schema_errors', CAST({errors} AS ARRAY<STRING>), 'missing_fields', CAST({missing} AS ARRAY<STRING>))"
     )
+    return F.when(fires(rule["id"], doc), F.expr(finding))
 
 
 def _with_findings(checked: DataFrame, rules: RuleSet) -> DataFrame:
@@ -64,7 +62,7 @@ def audit_docs(docs: DataFrame, rules: RuleSet) -> DataFrame:
 
 def findings(audited: DataFrame) -> DataFrame:
     """One row per finding."""
-    return audited.select(*IDENTITY, F.inline("findings"))
+    return inline_once(audited, "findings", *IDENTITY)
 
 
 def file_results(audited: DataFrame) -> DataFrame:
@@ -77,8 +75,8 @@ def file_results(audited: DataFrame) -> DataFrame:
 def by_severity(audited: DataFrame) -> DataFrame:
     """Findings per severity; the three known ones are always listed."""
     known = F.array(*[F.struct(F.lit(s).alias("severity"), F.lit(0).cast("long").alias("n")) for s in SEVERITIES])
-    zeros = audited.sparkSession.range(1).select(F.inline(known))
-    counted = audited.select(F.explode("findings").alias("f")).groupBy(F.col("f.severity").alias("severity")).agg(F.count("*").alias("n"))
+    zeros = audited.sparkSession.range(0, 1, 1, 1).select(F.inline(known))
+    counted = inline_once(audited, "findings").groupBy("severity").agg(F.count("*").alias("n"))
     return zeros.unionByName(counted).groupBy("severity").agg(F.sum("n").alias("n"))
 
 

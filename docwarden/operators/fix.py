@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from docwarden.functions import text as tx
 from docwarden.functions.frontmatter import body_of, parse_block, present, with_frontmatter
-from docwarden.functions.shaping import filter_once
+from docwarden.functions.shaping import filter_once, inline_once
 from docwarden.operators import audit as au
-from docwarden.operators.rules import RuleSet, bad_version, no_heading, with_scores
+from docwarden.operators.rules import RuleSet, bad_version, no_heading
 
 # What the fixers write.
 DEFAULT_NAME = "Untitled Skill"
@@ -84,11 +84,10 @@ def register_fixer(rule_id: str, rewrite: Callable[[], Column], edits_block: boo
     FIXERS[rule_id] = Fixer(rewrite, edits_block)
 
 
-def fixer_order(rules: RuleSet, docs: DataFrame) -> list[str]:
+def fixer_order(rules: RuleSet) -> list[str]:
     """Ids of the fixable rules that have a fixer, most urgent first."""
-    table = rules.table(docs.sparkSession).where(F.col("id").isin(*FIXERS) & F.col("fixable"))
-    ranked = with_scores(table).orderBy("score", "ord").select("id")
-    return [r["id"] for r in ranked.limit(len(FIXERS)).collect()]  # at most one row per fixer
+    usable = [r for r in rules.rules if r["fixable"] and r["id"] in FIXERS]
+    return [r["id"] for r in sorted(usable, key=rules.urgency)]
 
 
 def _apply(docs: DataFrame, rule_id: str) -> DataFrame:
@@ -149,7 +148,7 @@ def fix_audited(audited: DataFrame, rules: RuleSet) -> DataFrame:
     fixable = F.filter("findings", lambda f: f["fixable"])
     wanted = F.transform(fixable, lambda f: f["rule_id"])
     docs = audited.withColumn("wanted", wanted).drop("body", "schema_errors")
-    return _run_chain(docs, fixer_order(rules, audited))
+    return _run_chain(docs, fixer_order(rules))
 
 
 def fix_planned(items: DataFrame, docs: DataFrame, rules: RuleSet) -> DataFrame:
@@ -159,12 +158,13 @@ def fix_planned(items: DataFrame, docs: DataFrame, rules: RuleSet) -> DataFrame:
     """
     usable = items.where(F.col("fixable") & F.col("rule_id").isin(*FIXERS) & (F.trim(F.col("abs_path")) != ""))
     per_doc = usable.groupBy("doc_key").agg(F.collect_set("rule_id").alias("wanted"))  # at most one id per fixer
-    return _run_chain(with_frontmatter(docs.join(per_doc, "doc_key")).drop("body"), fixer_order(rules, docs))
+    return _run_chain(with_frontmatter(docs.join(per_doc, "doc_key")).drop("body"), fixer_order(rules))
 
 
 def fix_actions(fixed: DataFrame, applied: bool = False) -> DataFrame:
     """One row per rewrite; ``step`` is its place in the document's chain."""
-    return fixed.select("abs_path", "path", "repo", F.posexplode("applied").alias("step", "rule_id")).select(
+    steps = fixed.select("abs_path", "path", "repo", F.posexplode_outer("applied").alias("step", "rule_id"))
+    return steps.where(F.col("step").isNotNull()).select(
         "abs_path",
         "path",
         "repo",
@@ -201,7 +201,7 @@ def fix_delta(reaudited: DataFrame) -> DataFrame:
     )
     both = F.concat(tag("findings_before", 1, 0), tag("findings", 0, 1))
     return (
-        reaudited.select(F.inline(both))
+        inline_once(reaudited.select(both.alias("both")), "both")
         .groupBy("rule_id")
         .agg(F.sum("before").cast("long").alias("before"), F.sum("after").cast("long").alias("after"))
     )

@@ -118,7 +118,7 @@ def _untagged(fm: Column) -> Column:
 CHECKS: dict[str, Callable[[Doc], Column]] = {
     "FM001": lambda d: ~present(d.fm),
     "FM002": lambda d: F.size(d.errors) > 0,
-    "FM003": lambda d: _is_map(d.fm) & (F.size(schema.missing_fields(d.fm)) > 0),
+    "FM003": lambda d: _is_map(d.fm) & (F.size(schema.missing_fields("fm")) > 0),
     "FM004": lambda d: ~d.fm["id"]["text"].rlike(tx.KEBAB_ID),
     "FM005": lambda d: bad_version(d.fm),
     "CT001": lambda d: F.char_length(tx.strip(d.body)) < SHORTEST_BODY,
@@ -248,6 +248,12 @@ class RuleSet:
             "rule_count": len(self.rules),
         }
 
+    def urgency(self, rule: dict[str, Any]) -> tuple[float, int]:
+        """Sort key of one fetched rule: :func:`priority_score` and its place in the table."""
+        severity = SEVERITY_ORDER.get(rule["severity"], UNKNOWN_SEVERITY)
+        effort = EFFORT_COST.get(rule["effort"], UNKNOWN_EFFORT)
+        return severity * 10 + effort + (0.0 if rule["fixable"] else 0.5), rule["ord"]
+
     def checked(self) -> list[dict[str, Any]]:
         """The rules that have a test, in table order; others are skipped."""
         return [r for r in self.rules if r["id"] in CHECKS]

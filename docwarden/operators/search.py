@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from docwarden.functions import text as tx
+from docwarden.functions.shaping import explode_once
 from docwarden.functions.vectors import NORM_FLOOR
 from docwarden.scratch import materialise
 
@@ -26,6 +27,8 @@ FLOOR = 0.25
 # Scores are summed as whole numbers of 1e-10, so that a sum does not depend on the order of rows
 # and equal documents tie exactly.
 UNIT = 1e10
+# Query words are broadcast up to this many rows (some 50 MB).
+MAX_BROADCAST_ROWS = 500_000
 
 
 # ---------------------------------------------------------------------------------------------
@@ -48,7 +51,7 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     tokens = docs.select(tx.tokenise(F.col("content")).alias("tokens"))
     each = F.concat(F.array_distinct("tokens"), F.array(F.lit(None).cast("string")))
     return (
-        tokens.select(F.size("tokens").cast("long").alias("dl"), F.explode(each).alias("token"))
+        tokens.select(F.size("tokens").cast("long").alias("dl"), F.explode_outer(each).alias("token"))
         .groupBy("token")
         .agg(F.count("*").alias("df"), F.sum(F.when(F.col("token").isNull(), F.col("dl"))).alias("n_words"))
     )
@@ -97,22 +100,22 @@ def bm25_stats(vocab: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """``(id, token, tf, dl)``, of the given ``terms(token)`` only.
+    """``(id, dl, token, tf)``; with ``terms(token)``, of those words only.
 
-    Occurrences are counted before the shuffle; other words are dropped before that.
+    With ``terms`` all other words are dropped before the shuffle, and rows are partitioned by
+    document alone: later steps per document and query then need no further shuffle.
     """
     tokens = docs.select("id", tx.tokenise(F.col("content")).alias("tokens"))
-    each = tokens.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("token"))
+    each = explode_once(tokens.withColumn("dl", F.size("tokens")), "tokens", "token", "id", "dl")
     if terms is not None:
-        each = each.join(terms, "token")
+        each = each.join(terms, "token").repartition("id")
     return each.groupBy("id", "dl", "token").agg(F.count("*").alias("tf"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """``(qid, token, qtf)``; a repeated word counts repeatedly."""
-    return queries.select("qid", F.explode(tx.tokenise(F.col("text"))).alias("token")).groupBy("qid", "token").agg(
-        F.count("*").alias("qtf")
-    )
+    words = explode_once(queries.select("qid", tx.tokenise(F.col("text")).alias("tokens")), "tokens", "token", "qid")
+    return words.groupBy("qid", "token").agg(F.count("*").alias("qtf"))
 
 
 def _scores(posted: DataFrame, weighted: DataFrame, stats: CorpusStats) -> DataFrame:
@@ -123,6 +126,11 @@ def _scores(posted: DataFrame, weighted: DataFrame, stats: CorpusStats) -> DataF
     return posted.join(weighted, "token").groupBy("qid", "id").agg(F.sum(units).alias("units"))
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """Broadcast a side whose size is counted and within bounds; a larger one is joined by shuffle."""
+    return F.broadcast(rows) if rows.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else rows
+
+
 def _top(scored: DataFrame, by: str, k: int) -> DataFrame:
     order = W.partitionBy("qid").orderBy(F.desc(by), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -157,11 +165,12 @@ def _zero_scored(docs: DataFrame, queries: DataFrame, scored: DataFrame, n_docs:
         reach *= 2
 
 
-def _bm25(docs: DataFrame, posted: DataFrame, weights: DataFrame, stats: CorpusStats, queries: DataFrame, k: int) -> DataFrame:
-    weighted = query_terms(queries).join(weights.select("token", "idf"), "token")
-    scored = materialise(_top(_scores(posted, weighted, stats), "units", k).drop("rank"), "scores") if stats.mean_weight >= 0 else None
-    if scored is None:
-        scored = materialise(_scores(posted, weighted, stats), "scores")
+def _bm25(docs: DataFrame, posted: DataFrame, asked: DataFrame, weights: DataFrame, stats: CorpusStats, queries: DataFrame, k: int) -> DataFrame:
+    weighted = _small(materialise(asked.join(weights.select("token", "idf"), "token"), "query-weights"))
+    scored = _scores(posted, weighted, stats)
+    if stats.mean_weight >= 0:  # no score is negative, so nothing below the best k can matter
+        scored = _top(scored, "units", k).drop("rank")
+    scored = materialise(scored, "scores")
     zero = _zero_scored(docs, queries, scored, stats.n_docs, k)
     ranked = _top(scored.where("units <> 0").unionByName(zero), "units", k)
     return ranked.select("qid", "rank", "id", (F.col("units") / UNIT).alias("score"))
@@ -173,30 +182,46 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_TOP_K) -> Da
     stats = corpus_stats(vocab)
     if stats.n_terms == 0:
         return docs.sparkSession.createDataFrame([], f"qid {queries.schema['qid'].dataType.simpleString()}, rank int, id {docs.schema['id'].dataType.simpleString()}, score double")
-    terms = query_terms(queries).select("token").distinct()
-    return _bm25(docs, postings(docs, terms), term_weights(vocab, stats), stats, queries, k)
+    asked = materialise(query_terms(queries), "query-terms")
+    terms = _small(asked.select("token").distinct())
+    return _bm25(docs, postings(docs, terms), asked, term_weights(vocab, stats), stats, queries, k)
 
 
 # ---------------------------------------------------------------------------------------------
 # Stored index
 
 
-def build_index(docs: DataFrame, path: str, buckets: int = 64, slices: int = 4) -> None:
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int")
+
+
+# About how many documents feed one bucket, and one task per bucket.
+DOCS_PER_BUCKET = 2_000
+DOCS_PER_SLICE = 100_000
+MAX_BUCKETS = 4_096
+
+
+def build_index(docs: DataFrame, path: str) -> None:
     """Write postings, term weights and document ids below ``path``.
 
     Postings lie in folders by word bucket, so a query reads the buckets of its words.  Within a
-    bucket they are dealt out by document, so a word found in most documents fills ``slices`` tasks
-    per bucket and not one; raise ``slices`` with the corpus.
+    bucket they are dealt out by document, so a word found in most documents is spread over many
+    tasks and files.  The text is read once; all statistics come from the stored postings.
     """
-    vocab = materialise(vocabulary(docs), "vocabulary")
-    stats = corpus_stats(vocab)
-    bucket = F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int")
-    posted = postings(docs).withColumn("bucket", bucket)
-    dealt = posted.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(slices)))
-    dealt.sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{path}/postings")
-    term_weights(vocab, stats).withColumn("bucket", bucket).write.parquet(f"{path}/terms")
-    docs.select("id").write.parquet(f"{path}/docs")
     spark = docs.sparkSession
+    docs.select("id").write.parquet(f"{path}/docs")
+    n_docs = spark.read.parquet(f"{path}/docs").count()
+    buckets = min(MAX_BUCKETS, 1 + n_docs // DOCS_PER_BUCKET)
+    slices = 1 + n_docs // DOCS_PER_SLICE
+    dealt = postings(docs).withColumn("bucket", _bucket(buckets)).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(slices)))
+    dealt.sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{path}/postings")
+    stored = spark.read.parquet(f"{path}/postings")
+    vocab = materialise(stored.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("n_words")), "vocabulary")
+    n_words = vocab.agg(F.sum("n_words")).first()[0] or 0
+    total = spark.createDataFrame([(None, n_docs, n_words)], "token string, df long, n_words long")
+    counted = vocab.unionByName(total)
+    stats = corpus_stats(counted)
+    term_weights(counted, stats).write.parquet(f"{path}/terms")
     spark.createDataFrame(
         [(stats.n_docs, stats.avg_words, stats.mean_weight, stats.n_terms, buckets)],
         "n_docs long, avg_words double, mean_weight double, n_terms long, buckets int",
@@ -207,11 +232,10 @@ def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int = DE
     """As :func:`bm25_topk`, from a stored index."""
     row = spark.read.parquet(f"{path}/stats").first()
     stats = CorpusStats(row["n_docs"], row["avg_words"], row["mean_weight"], row["n_terms"])
-    terms = query_terms(queries).select("token").distinct()
-    bucket = F.pmod(F.xxhash64("token"), F.lit(row["buckets"])).cast("int")
-    wanted = terms.withColumn("bucket", bucket)
-    posted = spark.read.parquet(f"{path}/postings").join(wanted, ["bucket", "token"])
-    return _bm25(spark.read.parquet(f"{path}/docs"), posted, spark.read.parquet(f"{path}/terms"), stats, queries, k)
+    asked = materialise(query_terms(queries), "query-terms")
+    wanted = _small(asked.select("token", _bucket(row["buckets"]).alias("bucket")).distinct())
+    posted = spark.read.parquet(f"{path}/postings").join(wanted, ["bucket", "token"]).repartition("id")
+    return _bm25(spark.read.parquet(f"{path}/docs"), posted, asked, spark.read.parquet(f"{path}/terms"), stats, queries, k)
 
 
 # ---------------------------------------------------------------------------------------------

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docwarden.functions import text as tx
 from docwarden.functions.frontmatter import render_block
+from docwarden.scratch import materialise
 
 DEFAULT_REPO = "droxey/agent-skills"  # fixed value: target repository of pointer links
 # Order in which documents are written; of several with one destination the last stays.
@@ -134,16 +135,17 @@ def migrate_collisions(planned: DataFrame) -> DataFrame:
 def overwritten(planned: DataFrame) -> DataFrame:
     """Keys of the documents that a later one with the same destination replaces.
 
-    Only keys are shuffled.  Destinations that hold a large share of the documents are few by
+    Texts are parsed once, to write the keys down; only keys are shuffled.  Destinations that hold a large share of the documents are few by
     definition (fewer than ``HOT_SHARE``), so they are joined by broadcast; the rest is joined by key.
     """
-    keys = planned.where(F.col("status") == "ok").select("doc_key", "dest_rel")
-    shared = migrate_collisions(planned).select("dest_rel", "n_sources", "kept_key")
+    keys = materialise(planned.select("doc_key", "dest_rel", "status", *WRITE_ORDER), "destinations")
+    keys = keys.where(F.col("status") == "ok")
+    shared = migrate_collisions(keys).select("dest_rel", "n_sources", "kept_key")
     least = max(1000, keys.count() // HOT_SHARE)
     hot = F.broadcast(shared.where(F.col("n_sources") > least).drop("n_sources"))
     cold = shared.where(F.col("n_sources") <= least).drop("n_sources")
     loser = F.col("doc_key") != F.col("kept_key")
-    in_hot = keys.join(hot, "dest_rel", "left").withColumnRenamed("kept_key", "hot_kept")
+    in_hot = keys.select("doc_key", "dest_rel").join(hot, "dest_rel", "left").withColumnRenamed("kept_key", "hot_kept")
     of_hot = in_hot.where(F.col("doc_key") != F.col("hot_kept")).select("doc_key")
     of_cold = in_hot.where(F.col("hot_kept").isNull()).join(cold, "dest_rel").where(loser).select("doc_key")
     return of_hot.unionAll(of_cold)

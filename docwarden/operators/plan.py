@@ -64,9 +64,14 @@ def plan_summary(found: DataFrame) -> DataFrame:
     scored = found if "risk" in found.columns else with_scores(found, "rule_id")
     # The first step leaves a few rows; the grouping sets run over those.
     cells = scored.groupBy("severity", "risk").agg(F.count("*").alias("n"), F.count_if("fixable").alias("fixable"))
-    sets = cells.groupingSets([["severity"], ["risk"], []], "severity", "risk").agg(
+    # An empty cell keeps the totals of an empty plan.
+    none_found = found.sparkSession.range(0, 1, 1, 1).selectExpr(
+        "CAST(NULL AS STRING) AS severity", "CAST(NULL AS STRING) AS risk", "0L AS n", "0L AS fixable"
+    )
+    sets = cells.unionByName(none_found).groupingSets([["severity"], ["risk"], []], "severity", "risk").agg(
         F.sum("n").alias("n"), F.sum("fixable").alias("fixable"), F.grouping_id().alias("gid")
     )
+    sets = sets.where((F.col("gid") == 3) | (F.col("n") > 0))
     by_field = F.when(F.col("gid") == 1, "severity").when(F.col("gid") == 2, "risk")
     entry = lambda d, k, n: F.struct(d.alias("dimension"), k.alias("key"), F.coalesce(n, F.lit(0)).alias("n"))
     none = F.lit(None).cast("string")

@@ -56,7 +56,8 @@ def global_rank(df: DataFrame, order: tuple[str, ...], name: str = "rank") -> Da
 
 def plan_items(found: DataFrame) -> DataFrame:
     """Findings as ranked items with risk and advice.  Ties go by document, then rule order."""
-    return global_rank(with_scores(found, "rule_id"), ORDER).select(*ITEM_COLUMNS)
+    scored = with_scores(found, "rule_id").select("score", "rule_ord", *[c for c in ITEM_COLUMNS if c != "rank"])
+    return global_rank(scored, ORDER).select(*ITEM_COLUMNS)
 
 
 def plan_summary(found: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from docwarden.functions import text as tx
 from docwarden.functions.shaping import explode_once
 from docwarden.functions.vectors import NORM_FLOOR
+from docwarden.operators.plan import global_rank
 from docwarden.scratch import materialise
 
 DEFAULT_TOP_K = 5
@@ -27,6 +28,8 @@ FLOOR = 0.25
 # Scores are summed as whole numbers of 1e-10, so that a sum does not depend on the order of rows
 # and equal documents tie exactly.
 UNIT = 1e10
+# The first documents by id are numbered by one task up to this many.
+MAX_SORTED_ROWS = 100_000
 # Query words are broadcast up to this many rows (some 50 MB).
 MAX_BROADCAST_ROWS = 500_000
 
@@ -148,10 +151,16 @@ def _zero_scored(docs: DataFrame, queries: DataFrame, scored: DataFrame, n_docs:
     short = materialise(short, "short-queries")
     if short.isEmpty():
         return scored.limit(0)
+    n_short = short.count()
     reach = 2 * k
+    ranked = None
     while True:
-        first = docs.select("id").orderBy("id").limit(reach)
-        slots = first.withColumn("slot", F.row_number().over(W.orderBy("id")))
+        if reach <= MAX_SORTED_ROWS:
+            first = docs.select("id").orderBy("id").limit(reach)
+            slots = first.withColumn("slot", F.row_number().over(W.orderBy("id")))
+        else:  # many documents score below zero: number all of them, in parallel
+            ranked = global_rank(docs.select("id"), ("id",), "slot") if ranked is None else ranked
+            slots = ranked.where(F.col("slot") <= reach)
         asked = short.withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(min(reach, n_docs)))))
         zero = materialise(
             asked.join(slots, "slot")
@@ -160,7 +169,7 @@ def _zero_scored(docs: DataFrame, queries: DataFrame, scored: DataFrame, n_docs:
             "zero-scored",
         )
         enough = zero.groupBy("qid").count().where(F.col("count") >= k).count()
-        if reach >= n_docs or enough == short.count():
+        if reach >= n_docs or enough == n_short:
             return zero
         reach *= 2
 

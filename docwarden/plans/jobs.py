@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from docwarden.functions.frontmatter import with_frontmatter
 from docwarden.functions import text as tx
+from docwarden.functions.shaping import filter_once
 from docwarden.operators import audit as au
 from docwarden.operators import candidates as cd
 from docwarden.operators import fix as fx
@@ -94,21 +95,24 @@ def run_scan(
 
 @dataclass(frozen=True)
 class Audit:
+    """``documents`` have text, metadata and findings; ``results`` the findings without the text."""
+
     documents: DataFrame
+    results: DataFrame
     rules: RuleSet
     created_at: str
 
     def findings(self) -> DataFrame:
-        return au.findings(self.documents)
+        return au.findings(self.results)
 
     def files(self) -> DataFrame:
-        return au.file_results(self.documents)
+        return au.file_results(self.results)
 
     def summary(self) -> DataFrame:
-        return au.summary(self.documents)
+        return au.summary(self.results)
 
     def by_severity(self) -> DataFrame:
-        return au.by_severity(self.documents)
+        return au.by_severity(self.results)
 
 
 def audit_manifest(manifest: DataFrame, contents: DataFrame) -> DataFrame:
@@ -136,13 +140,14 @@ def run_audit(
         docs = corpus.scan_files(spark.createDataFrame([(p,) for p in docs], "path string"))
     used = rules or fetch_rules(docs.sparkSession, fetched_at=stamp)
     audited = au.audit_docs(docs, used)
-    if output_path or report_md_path:
-        audited = materialise(audited, "audited")
+    results = audited.select(*au.IDENTITY, "content_hash", "findings")
+    if output_path or report_md_path:  # several reports read the results, so the texts are read once for all
+        results = materialise(results, "audited")
     if output_path:
-        reports.write_audit(audited, used, output_path, stamp, dry_run)
+        reports.write_audit(results, used, output_path, stamp, dry_run)
     if report_md_path:
-        reports.write_markdown(reports.audit_markdown(audited, used, stamp, dry_run), report_md_path)
-    return Audit(audited, used, stamp)
+        reports.write_markdown(reports.audit_markdown(results, used, stamp, dry_run), report_md_path)
+    return Audit(audited, results, used, stamp)
 
 
 @dataclass(frozen=True)
@@ -203,13 +208,13 @@ def run_fix(
     """
     effective = apply and not dry_run
     docs = audit.documents
-    fixed = fx.fix_audited(docs, audit.rules)
-    if plan_items is not None:
-        before = docs.select("doc_key", "findings")
-        fixed = fx.fix_planned(plan_items, docs.select(*au.IDENTITY, "content"), audit.rules).join(before, "doc_key")
+    if plan_items is None:
+        fixed = fx.fix_audited(docs, audit.rules)
+    else:
+        fixed = fx.fix_planned(plan_items, docs.select(*au.IDENTITY, "content", "findings"), audit.rules)
     written = None
-    if effective:
-        fixed = materialise(fixed, "fixed")
+    if effective:  # the changed texts are written once; sink, actions and re-audit read them back
+        fixed = materialise(filter_once(fixed, F.col("touched")).drop("content_before"), "fixed")
         changed = fx.fixed_docs(fixed)
         if output_path:
             written = writers.write_docs(changed, output_path)
@@ -255,7 +260,7 @@ def run_migrate(
     effective = apply and not dry_run
     actions = mg.migrate_actions(planned, apply, allow_delete, dry_run, write_pointer)
     if effective:
-        planned = materialise(planned, "migration")
+        planned = materialise(planned.drop("content", "head"), "migration")
         actions = mg.migrate_actions(planned, apply, allow_delete, dry_run, write_pointer)
     rendered = mg.migrate_rendered(planned, migrated_at or utc_now())
     pointers = mg.migrate_pointers(planned, skills_repo)

@@ -296,7 +296,7 @@ def audit_summary(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def audit_report(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "report")
-    stored = materialise(audited(spark, sf), "audited")
+    stored = materialise(audited(spark, sf).select(*au.IDENTITY, "content_hash", "findings"), "audited")
     reports.write_audit(stored, RULES, path, STAMP)
     kind = au.file_results(stored).drop("doc_key").schema
     files = spark.read.schema(kind).json(f"{path}/files")

@@ -49,12 +49,14 @@ def test_bm25(spark):
     assert got == brute_force(CONTENTS, QUERIES, 4)
 
 
-def test_negative_weights_sort_below_zero(spark):
+def test_negative_weights_sort_below_zero(spark, monkeypatch):
     contents = ["same words", "same words", "same words", "same words", "", "same", ""] + ["same words"] * 30 + [""]
     queries = ["same", "words absent", "none"]
     got = rows(se.bm25_topk(texts(spark, contents), asked(spark, queries), 3))
     assert got == brute_force(contents, queries, 3)
     assert [g[2] for g in got[:3]] == [4, 6, 37]
+    monkeypatch.setattr(se, "MAX_SORTED_ROWS", 1)
+    assert rows(se.bm25_topk(texts(spark, contents), asked(spark, queries), 3)) == got
 
 
 def test_more_asked_for_than_there_is(spark):

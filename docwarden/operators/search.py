@@ -124,9 +124,10 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def _scores(posted: DataFrame, weighted: DataFrame, stats: CorpusStats) -> DataFrame:
     """``(qid, id, units)`` of every document that shares a word with the query."""
     length = 1 - B + B * F.col("dl") / F.lit(stats.avg_words)
-    gain = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * length)
-    units = F.round(gain * UNIT).cast("long") * F.col("qtf")
-    return posted.join(weighted, "token").groupBy("qid", "id").agg(F.sum(units).alias("units"))
+    gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * length)  # once per posting, not per query
+    pairs = posted.select("id", "token", gain.alias("gain")).join(weighted, "token")
+    units = F.floor(F.col("idf") * F.col("gain") * UNIT + 0.5) * F.col("qtf")
+    return pairs.groupBy("qid", "id").agg(F.sum(units).alias("units"))
 
 
 def _small(rows: DataFrame) -> DataFrame:
@@ -204,10 +205,13 @@ def _bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int")
 
 
-# About how many documents feed one bucket, and one task per bucket.
+# Layout of a stored index: documents per bucket, and the postings a file should hold about.
 DOCS_PER_BUCKET = 2_000
-DOCS_PER_SLICE = 100_000
 MAX_BUCKETS = 4_096
+POSTINGS_PER_DOC = 150
+POSTINGS_PER_FILE = 4_000_000
+# Up to this many words are handed to the file reader, which then skips what holds none of them.
+MAX_PUSHED_WORDS = 100
 
 
 def build_index(docs: DataFrame, path: str) -> None:
@@ -221,7 +225,8 @@ def build_index(docs: DataFrame, path: str) -> None:
     docs.select("id").write.parquet(f"{path}/docs")
     n_docs = spark.read.parquet(f"{path}/docs").count()
     buckets = min(MAX_BUCKETS, 1 + n_docs // DOCS_PER_BUCKET)
-    slices = 1 + n_docs // DOCS_PER_SLICE
+    full_files = n_docs * POSTINGS_PER_DOC // (buckets * POSTINGS_PER_FILE)
+    slices = max(1 + full_files, -(-2 * spark.sparkContext.defaultParallelism // buckets))
     dealt = postings(docs).withColumn("bucket", _bucket(buckets)).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(slices)))
     dealt.sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{path}/postings")
     stored = spark.read.parquet(f"{path}/postings")
@@ -243,7 +248,12 @@ def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int = DE
     stats = CorpusStats(row["n_docs"], row["avg_words"], row["mean_weight"], row["n_terms"])
     asked = materialise(query_terms(queries), "query-terms")
     wanted = _small(asked.select("token", _bucket(row["buckets"]).alias("bucket")).distinct())
-    posted = spark.read.parquet(f"{path}/postings").join(wanted, ["bucket", "token"]).repartition("id")
+    hit = [r["bucket"] for r in wanted.select("bucket").distinct().collect()]  # at most MAX_BUCKETS numbers
+    stored = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(hit))
+    few = [r["token"] for r in wanted.select("token").limit(MAX_PUSHED_WORDS + 1).collect()]
+    if len(few) <= MAX_PUSHED_WORDS:
+        stored = stored.where(F.col("token").isin(few))
+    posted = stored.join(wanted, ["bucket", "token"]).repartition("id")
     return _bm25(spark.read.parquet(f"{path}/docs"), posted, asked, spark.read.parquet(f"{path}/terms"), stats, queries, k)
 
 

@@ -204,7 +204,7 @@ weight AS (SELECT token, CASE WHEN w < 0 THEN 0.25 * mean_weight ELSE w END AS i
 _BM25 = rf"""WITH {_WORDS},
 asked AS (SELECT qid, token, count(*) AS qtf FROM (SELECT item_id AS qid, unnest([x FOR x IN string_split_regex(lower(text), '{_SPACE}') IF x <> '']) AS token FROM benchmark) u GROUP BY ALL),
 matched AS (
-  SELECT qid, id, sum(CAST(round(idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avg_words)) * 1e10) AS BIGINT) * qtf) AS units
+  SELECT qid, id, sum(CAST(floor(idf * (tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avg_words))) * 1e10 + 0.5) AS BIGINT) * qtf) AS units
   FROM asked JOIN weight USING (token) JOIN tf USING (token) JOIN len USING (id), size GROUP BY qid, id),
 every AS (SELECT item_id AS qid, doc_id AS id FROM benchmark, documents),
 ranked AS (SELECT qid, id, coalesce(units, 0) AS units, row_number() OVER (PARTITION BY qid ORDER BY coalesce(units, 0) DESC, id) AS rank FROM every LEFT JOIN matched USING (qid, id))

@@ -9,7 +9,7 @@ from docwarden.functions import text as tx
 from docwarden.functions.frontmatter import render_block
 from docwarden.scratch import materialise
 
-DEFAULT_REPO = "droxey/agent-skills"  # fixed value: target repository of pointer links
+DEFAULT_REPO = "owner/library"  # target repository of pointer links, unless one is given
 # Order in which documents are written; of several with one destination the last stays.
 WRITE_ORDER = ("repo", "path", "abs_path")
 # A destination with more sources than one in this many documents is joined map-side.

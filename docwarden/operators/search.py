@@ -366,10 +366,23 @@ def cache_misses(texts: DataFrame, cache: DataFrame) -> DataFrame:
     return keyed.groupBy("content_key").agg(F.first("text").alias("text")).join(cache.select("content_key"), "content_key", "left_anti")
 
 
+def embed_missing(texts: DataFrame, cache: DataFrame, provider: Callable[[Column], Column]) -> DataFrame:
+    """Cache rows for all missing texts; ``provider`` turns a text column into vectors."""
+    vectors = provider(F.col("text")).cast("array<float>")
+    return cache_misses(texts, cache).select("content_key", vectors.alias("embedding"))
+
+
 def extend_cache(texts: DataFrame, cache: DataFrame, provider: Callable[[Column], Column]) -> DataFrame:
-    """The cache with the embeddings of all missing texts; ``provider`` turns a text column into vectors."""
-    new = cache_misses(texts, cache).select("content_key", provider(F.col("text")).cast("array<float>").alias("embedding"))
-    return cache.unionByName(new)
+    """The cache with the embeddings of all missing texts."""
+    return cache.unionByName(embed_missing(texts, cache, provider))
+
+
+def update_cache(texts: DataFrame, path: str, provider: Callable[[Column], Column]) -> DataFrame:
+    """Append the embeddings of all missing texts to the stored cache at ``path`` and open it."""
+    spark = texts.sparkSession
+    cache = cache_table(spark, path)
+    embed_missing(texts, cache, provider).write.mode("append").parquet(path)
+    return cache_table(spark, path)
 
 
 def embed_texts(texts: DataFrame, cache: DataFrame) -> DataFrame:

@@ -13,17 +13,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_local_folders: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for this application's intermediate tables."""
     base = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
+    app = spark.sparkContext.applicationId
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"set {_SETTING} to a folder that every executor can reach")
-        base = tempfile.mkdtemp(prefix="docwarden-")
-        spark.conf.set(_SETTING, base)
-    return f"{base.rstrip('/')}/docwarden-{spark.sparkContext.applicationId}"
+        base = _local_folders.get(app) or tempfile.mkdtemp(prefix="docwarden-")
+        _local_folders[app] = base
+    return f"{base.rstrip('/')}/docwarden-{app}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

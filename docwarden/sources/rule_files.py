@@ -78,7 +78,7 @@ def rules_of_files(files: DataFrame) -> DataFrame:
 
 def read_rule_files(spark: SparkSession, folder: str) -> DataFrame:
     """Rules found in a folder (usually one file)."""
-    texts = spark.read.option("wholetext", "true").text([f"{folder.rstrip('/')}/*.{s}" for s in ("json", "yaml", "yml")], recursiveFileLookup=False) if folder else None
+    texts = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.{json,yaml,yml}").text(folder)
     name = F.substring_index(F.input_file_name(), "/", -1)
     return rules_of_files(texts.select(F.lit(folder).alias("location"), name.alias("name"), F.col("value").alias("text")))
 

@@ -100,6 +100,8 @@ def test_unknown_severity_is_counted(spark):
 
 def test_rule_files(spark, tmp_path):
     assert rule_files.fetch_rules(spark).is_baseline
+    empty = rule_files.fetch_rules(spark, str(tmp_path), commit_sha="abc")
+    assert empty.is_baseline and empty.commit_sha == "abc" and len(empty.rules) == 10
     (tmp_path / "rules.json").write_text("{broken")
     (tmp_path / "rules.yaml").write_text("rules:\n- id: FM001\n  severity: info\n")
     (tmp_path / "rules.yml").write_text("- id: FM002\n")

@@ -127,6 +127,8 @@ def test_cache(spark, tmp_path):
     assert cache.count() == 2
     cache.write.parquet(str(tmp_path / "cache"))
     stored = se.cache_table(spark, str(tmp_path / "cache"))
+    assert se.update_cache(first, str(tmp_path / "own"), length_and_as).count() == 2
+    assert se.update_cache(first, str(tmp_path / "own"), length_and_as).count() == 2
     more = first.unionAll(spark.createDataFrame([("caa",)], "text string"))
     assert [r["text"] for r in se.cache_misses(more, stored).collect()] == ["caa"]
     full = se.extend_cache(more, stored, length_and_as)

@@ -48,6 +48,7 @@ EDGES = [
     "tail \x1c\x1d\x1e\x1f　",
     "﻿---\nid: x\n---\n",
 ]
+# The signals as Python patterns.
 PY_FENCE = re.compile(r"^---\s*\n(.*?)\n---\s*\n", re.DOTALL)
 PY_SIGNALS = [
     re.compile(r"^---\s*\n", re.M),

@@ -54,6 +54,11 @@ def audited(spark: SparkSession, sf: str) -> DataFrame:
     return au.audit_docs(docs(spark, sf), RULES)
 
 
+def results(spark: SparkSession, sf: str) -> DataFrame:
+    """Audit results without texts, written once for steps that read them several times."""
+    return materialise(audited(spark, sf).select(*au.IDENTITY, "content_hash", "findings"), "audited")
+
+
 def fixed(spark: SparkSession, sf: str) -> DataFrame:
     return fx.fix_audited(audited(spark, sf), RULES)
 
@@ -296,7 +301,7 @@ def audit_summary(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def audit_report(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "report")
-    stored = materialise(audited(spark, sf).select(*au.IDENTITY, "content_hash", "findings"), "audited")
+    stored = results(spark, sf)
     reports.write_audit(stored, RULES, path, STAMP)
     kind = au.file_results(stored).drop("doc_key").schema
     files = spark.read.schema(kind).json(f"{path}/files")
@@ -305,7 +310,7 @@ def audit_report(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def audit_markdown(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.audit_markdown(audited(spark, sf), RULES, STAMP)
+    return reports.audit_markdown(results(spark, sf), RULES, STAMP)
 
 
 # ---------------------------------------------------------------------------------------------

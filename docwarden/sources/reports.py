@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from docwarden.operators import audit as au
 from docwarden.operators.plan import plan_summary
 from docwarden.operators.rules import SEVERITY_ORDER, RuleSet
+from docwarden.scratch import materialise
 
 LINE_ORDER = ("part", "repo", "path", "abs_path", "line_no")
 LAST = 99  # fixed value: sort place of unknown severities
@@ -74,7 +75,7 @@ def audit_markdown(audited: DataFrame, rules: RuleSet, created_at: str, dry_run:
 
 def plan_markdown(items: DataFrame, found: DataFrame, created_at: str, dry_run: bool = True) -> DataFrame:
     """Header, counts by severity and risk, then the ranked items."""
-    counts = plan_summary(found)
+    counts = materialise(plan_summary(found), "plan-counts")  # a few rows that six parts below read
     empty = F.lit("")
     number = lambda dimension: F.sum(F.when(F.col("dimension") == dimension, F.col("n")))
     totals = counts.agg(number("total").alias("total"), number("fixable").alias("fixable"))

@@ -23,6 +23,33 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify_language, language_profiles
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (_remainder(3) == 1).alias("held_out"))
+    profiles = language_profiles(docs.where(~F.coalesce("held_out", F.lit(False))))
+    out = identify_language(docs.select("doc_id", "text", "held_out"), profiles)
+    return out.select("doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import COUNTS, fit_quality, quality_rules
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    trees = fit_quality(docs.where(F.coalesce(_remainder(3), F.lit(0)) != 1), _table(spark, sf_dir, "labels"))
+    return quality_rules(docs, trees).select("doc_id", *COUNTS, "base_failed", "kept", "quality_score")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit_toxicity, score_toxicity
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out"))
+    labels = _table(spark, sf_dir, "labels").where(F.coalesce(_remainder(3), F.lit(1)) != 1)
+    model = fit_toxicity(docs.where("NOT held_out"), labels)
+    out = score_toxicity(docs, model)
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import bpe_encode
 
@@ -55,6 +82,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language": op1_language,
+    "op3_quality": op3_quality,
+    "op6_toxicity": op6_toxicity,
     "op8_bpe": op8_bpe,
     "op10_sharding": op10_sharding,
 }

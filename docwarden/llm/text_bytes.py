@@ -120,7 +120,7 @@ def words_of(column: pa.Array, lower: bool = False) -> Words:
         before &= ~starts_row[at:to]
         s = np.flatnonzero(word & ~before)
         after = np.empty_like(word)
-        after[-1], after[:-1] = False, before[1:]
+        after[-1], after[:-1] = False, word[1:] & ~starts_row[at + 1 : to]
         e = np.flatnonzero(word & ~after) + 1
         if len(s):
             power, inverse = t["power"], t["inverse"]

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from .text_bytes import row_chunks, worker_cache
 
 #: Words whose ids a worker keeps at most, and pairs of tokens whose test it keeps; both start anew when full.
-WORDS_KEPT, PAIRS_KEPT = 150_000, 1_000_000
+WORDS_KEPT, PAIRS_KEPT = 500_000, 500_000
 _END = "\u0100"  # follows the last byte of a word; bytes are the characters below it
 # The white space that the tokenizer's normaliser folds: Unicode's White_Space property.
 _SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
@@ -35,6 +36,17 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class _Words(dict):
+    """Ids by run of characters, computed when first asked for."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, chunk: str) -> tuple[int, ...]:
+        return self.make(chunk)
+
+
 class WordBpe:
     """The model of one vocabulary file; ``spec`` is the file's text."""
 
@@ -63,7 +75,7 @@ class WordBpe:
             self.rank[made] = n
             self.merged[vocab[a], vocab[b]] = made
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words = _Words(self.encode_chunk)
         automaton = ahocorasick.Automaton()
         for text, i in vocab.items():
             ends = text.endswith(suffix)
@@ -90,56 +102,71 @@ class WordBpe:
                 before, b = rb + 1, self.parts[b][0]
 
     def _may_follow(self, a: int, b: int) -> bool:
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) >= PAIRS_KEPT:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self._stays_apart(a, b, float("inf"))
+        if len(self.pairs) >= PAIRS_KEPT:
+            self.pairs.clear()
+        known = self.pairs[a << 20 | b] = self._stays_apart(a, b, float("inf"))
         return known
 
     def encode_word(self, word: str) -> tuple[int, ...]:
         """Ids of one piece of the splitting pattern."""
         key = word.encode("utf-8", "surrogatepass").decode("latin-1") + _END
         n = len(key)
-        last = [-1] * (n + 1)
-        length = [0] * (n + 1)
+        last: list[int] = [-1] * (n + 1)
+        back = [0] * (n + 1)
+        known = self.pairs.get
+        last[n - 1] = 0  # the last byte belongs to a token with the word's end
         for end, (token, size) in self.automaton.iter(key):
             end += 1
-            if last[end] >= 0 or end == n - 1:  # the last byte belongs to a token with the word's end
+            if last[end] >= 0:
                 continue
             start = end - size
-            if start == 0 or (last[start] >= 0 and self._may_follow(last[start], token)):
-                last[end], length[end] = token, size
+            if start:
+                before = last[start]
+                if before < 0:
+                    continue
+                fits = known(before << 20 | token)
+                if fits is None:
+                    fits = self._may_follow(before, token)
+                if not fits:
+                    continue
+            last[end], back[end] = token, start
         out, at = [], n
         while at:
             out.append(last[at])
-            at -= length[at]
-        return tuple(reversed(out))
+            at = back[at]
+        return tuple(out[::-1])
 
     def encode_chunk(self, chunk: str) -> tuple[int, ...]:
-        """Ids of a run of characters without white space."""
-        found = self.words.get(chunk)
-        if found is None:
-            import unicodedata
-
-            text = unicodedata.normalize("NFC", chunk)
-            text = text.lower() if text.isascii() else "".join(c.lower() for c in text)
-            out: list[int] = []
-            for piece in self.split.findall(text):
-                ids = self.words.get("\0" + piece)
-                if ids is None:
-                    if len(self.words) >= WORDS_KEPT:
-                        self.words.clear()
-                    ids = self.words["\0" + piece] = self.encode_word(piece)
-                out += ids
-            found = tuple(out)
-            if len(chunk) <= 256:
-                self.words[chunk] = found
-        return found
+        """Ids of a run of characters without white space that is not in the store."""
+        words = self.words
+        plain = chunk.isascii()
+        text = chunk.lower() if plain else "".join([c.lower() for c in unicodedata.normalize("NFC", chunk)])
+        if text.isalpha() and (plain or text == chunk):  # one piece
+            if text != chunk:
+                return words[text]
+            found = self.encode_word(text)
+            if len(words) >= WORDS_KEPT:
+                words.clear()
+            if len(text) <= 64:
+                words[text] = found
+            return found
+        out: list[int] = []
+        for piece in self.split.findall(text):
+            if piece.isascii() and piece.isalpha():
+                out += words[piece]
+                continue
+            name = "\0" + piece
+            ids = words.get(name)
+            if ids is None:
+                ids = self.encode_word(piece)
+                if len(piece) <= 64:
+                    words[name] = ids
+            out += ids
+        return tuple(out)
 
     def encode_plain(self, text: str) -> Iterator[tuple[int, ...]]:
         chunks = [c for c in _SPACE.split(text) if c] if _CONTROL.search(text) else text.split()
-        return map(self.encode_chunk, chunks)
+        return map(self.words.__getitem__, chunks)
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text; special tokens in it get their own ids."""

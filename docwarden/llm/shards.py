@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docwarden.scratch import materialise
@@ -120,9 +120,9 @@ def shuffle_into_shards(docs: DataFrame, shards: int, seed: int = 0, block_rows:
     context = docs.sparkSession.sparkContext
     shared = context.broadcast((np.array(order, dtype=np.int64), bounds, sizes, owner, offset))
 
-    @F.pandas_udf("struct<block:int,place:long>")
+    @F.pandas_udf("struct<block:int,place:long,shard:int,start:long>")
     def sent(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        order, bounds, sizes, _, _ = shared.value
+        order, bounds, sizes, owner, offset = shared.value
         last, plan = -1, None
         for cell, row in parts:
             cell, row = cell.to_numpy(), row.to_numpy()
@@ -139,25 +139,12 @@ def shuffle_into_shards(docs: DataFrame, shards: int, seed: int = 0, block_rows:
                 to = np.searchsorted(upto, turn, side="right")
                 block[at] = to
                 place[at] = before[to] + turn - (upto[to] - sends[to])
-            yield pd.DataFrame({"block": block, "place": place})
-
-    @F.pandas_udf("struct<shard:int,slot:long>")
-    def placed(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        _, _, sizes, owner, offset = shared.value
-        mixed: dict[int, np.ndarray] = {}
-        for block, place in parts:
-            block, place = block.to_numpy(), place.to_numpy()
-            out = np.empty(len(block), np.int64)
-            for b in np.unique(block):
-                if b not in mixed:
-                    if len(mixed) >= 8:
-                        mixed.pop(next(iter(mixed)))
-                    mixed[b] = np.random.default_rng([seed, 2, int(b)]).permutation(int(sizes[b]))
-                at = np.flatnonzero(block == b)
-                out[at] = offset[b] + mixed[b][place[at]]
-            yield pd.DataFrame({"shard": owner[block].astype(np.int32), "slot": out})
+            yield pd.DataFrame({"block": block, "place": place, "shard": owner[block].astype(np.int32), "start": offset[block]})
 
     columns = [F.col(f"`{c}`") for c in kept.columns]
-    moved = written.withColumn("_to", sent("_cell", "_row")).select(*columns, F.col("_to.block").alias("_block"), F.col("_to.place").alias("_place"))
-    exchanged = moved.repartition("_block").withColumn("_at", placed("_block", "_place"))
-    return exchanged.select(*columns, F.col("_at.shard").alias(shard), F.col("_at.slot").alias(slot))
+    arrival = [F.col(f"_to.{c}").alias(f"_{c}") for c in ("block", "place", "shard", "start")]
+    moved = written.withColumn("_to", sent("_cell", "_row")).select(*columns, *arrival)
+    # The second permutation orders a block's rows by seeded random numbers; equal ones by the place of arrival.
+    within = Window.partitionBy("_block").orderBy(F.xxhash64(F.lit(seed), F.lit(2), "_block", "_place"), "_place")
+    placed = moved.withColumn("_turn", F.row_number().over(within) - 1)
+    return placed.select(*columns, F.col("_shard").alias(shard), (F.col("_start") + F.col("_turn")).alias(slot))

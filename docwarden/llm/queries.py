@@ -40,6 +40,13 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs, trees).select("doc_id", *COUNTS, "base_failed", "kept", "quality_score")
 
 
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import remove_repeated_passages
+
+    out = remove_repeated_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("n_words").cast("long"), F.col("n_removed").cast("long"), F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit_toxicity, score_toxicity
 
@@ -84,6 +91,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op3_quality": op3_quality,
+    "op4_substring": op4_substring,
     "op6_toxicity": op6_toxicity,
     "op8_bpe": op8_bpe,
     "op10_sharding": op10_sharding,

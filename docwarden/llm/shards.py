@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from docwarden.scratch import materialise
 
 #: Rows of a block at most; what a task permutes after the exchange.
-BLOCK_ROWS = 1 << 18
+BLOCK_ROWS = 1 << 16
 
 
 def _log_choose(n: int, k: int) -> float:

@@ -139,17 +139,36 @@ def words_of(column: pa.Array, lower: bool = False) -> Words:
     return Words(data, name, start, end, np.searchsorted(start, bounds))
 
 
+def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Names of two runs one after the other."""
+    with np.errstate(over="ignore"):
+        return mix64(left * U64(0xA24BAED4963EE407) + right)
+
+
 def runs(name: np.ndarray, length: int) -> np.ndarray:
     """Names of all runs of ``length`` consecutive words, by the place of their first word."""
     n = len(name) - length + 1
     if n <= 0:
         return np.zeros(0, U64)
-    weight = seeded(length, 2) | U64(1)
-    with np.errstate(over="ignore"):
-        out = np.zeros(n, dtype=U64)
-        for k in range(length):
-            out += mix64(name[k : k + n] + weight[k])
-        return mix64(out)
+    out, have, power, size = None, 0, name, 1  # power: names of all runs of size words
+    while True:
+        if length & size:
+            out = power[:n] if out is None else _joined(out[:n], power[have : have + n])
+            have += size
+        if have == length:
+            return mix64(out + U64(length))
+        power = _joined(power[:-size], power[size:])
+        size *= 2
+
+
+def sliding_least(value: np.ndarray, width: int) -> np.ndarray:
+    """The least of every ``width`` consecutive values."""
+    size = 1
+    while size * 2 <= width:
+        value = np.minimum(value[:-size], value[size:])
+        size *= 2
+    rest = width - size
+    return np.minimum(value[: len(value) - rest], value[rest:]) if rest else value
 
 
 def distinct_shingles(name: np.ndarray, length: int = 5) -> np.ndarray:

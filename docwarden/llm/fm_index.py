@@ -28,7 +28,7 @@ class BitVector:
 
 
 class FmIndex:
-    """``sequence``: numbers from 0 to ``size - 1``."""
+    """``sequence``: numbers from 0 to ``size - 1``; its last one is a border that no run searched for holds."""
 
     def __init__(self, sequence: np.ndarray, size: int, depth: int):
         n = len(sequence)

@@ -56,8 +56,8 @@ def test_rows_that_share_an_id_and_rows_without(spark):
 
 def test_index_counts_every_run():
     rng = np.random.default_rng(2)
-    for size in (2, 3, 50):
-        s = rng.integers(0, size, 400)
+    for size in (3, 4, 50):
+        s = np.append(rng.integers(1, size, 400), 0)
         index = FmIndex(s, size, 6)
         found, name = index.repeated(s, np.arange(395), 6)
         runs = [tuple(s[i : i + 6]) for i in range(395)]

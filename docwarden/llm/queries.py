@@ -77,6 +77,14 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .katz import katz_scores
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = katz_scores(docs, F.coalesce(_remainder(10), F.lit(1)) != 0)
+    return out.select(F.col("key").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .shards import shuffle_into_shards
 
@@ -101,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_jaccard": op7_jaccard,
     "op8_bpe": op8_bpe,
+    "op9_katz": op9_katz,
     "op10_sharding": op10_sharding,
 }
 ORACLES: dict[str, str] = {}

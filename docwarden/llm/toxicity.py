@@ -27,7 +27,7 @@ from .text_bytes import U64, mix64, row_chunks, text_buffer, worker_cache
 #: Buckets of hashed n-grams, features kept of them, and labelled rows that are learned from at most (in expectation).
 BUCKETS = 1 << 22
 FEATURES = 1024
-MAX_ROWS = 20_000
+MAX_ROWS = 10_000
 SHORTEST, LONGEST = 2, 6
 _PIECE = 1 << 18
 
@@ -41,9 +41,11 @@ def _byte_map() -> np.ndarray:
     return out
 
 
-def gram_buckets(data: np.ndarray, row: np.ndarray) -> np.ndarray:
+def gram_buckets(data: np.ndarray, row: np.ndarray, wanted: np.ndarray | None = None) -> np.ndarray:
     """Distinct (row, bucket) pairs as ``row * BUCKETS + bucket``, sorted; row: the row of each byte.
 
+    ``wanted``, one flag per bucket, leaves out all others.
+
     N-grams are of UTF-8 bytes, lie in one word and its two blanks, and never cross rows.
     """
     table = worker_cache("toxicity_bytes", _byte_map)
@@ -71,18 +73,22 @@ def gram_buckets(data: np.ndarray, row: np.ndarray) -> np.ndarray:
                     inner |= border[n - 2 : n - 2 + m]
                 if n >= SHORTEST:
                     ok = np.flatnonzero(~inner[:_PIECE])
-                    parts.append(own[ok].astype(np.int64) * BUCKETS + (mix64(h[ok] + U64(n)) % U64(BUCKETS)).astype(np.int64))
+                    bucket = (mix64(h[ok] + U64(n)) & U64(BUCKETS - 1)).astype(np.int64)
+                    if wanted is not None:
+                        hit = np.flatnonzero(wanted[bucket])
+                        ok, bucket = ok[hit], bucket[hit]
+                    parts.append(own[ok].astype(np.int64) * BUCKETS + bucket)
         if parts:
             found.append(np.unique(np.concatenate(parts)))
     return found[0] if len(found) == 1 else np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
-def batch_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def batch_features(column: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """``row, bucket`` of all distinct features of a column of texts, with a blank before and after each."""
     column = pa.compute.fill_null(column, "")
     column = pa.compute.binary_join_element_wise(" ", column, " ", "")
     data, bounds = text_buffer(column)
-    both = gram_buckets(data, np.repeat(np.arange(len(column), dtype=np.int32), np.diff(bounds)))
+    both = gram_buckets(data, np.repeat(np.arange(len(column), dtype=np.int32), np.diff(bounds)), wanted)
     return both // BUCKETS, both % BUCKETS
 
 
@@ -103,7 +109,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, other = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
-        for batch in row_chunks(batches, "_text"):
+        for batch in row_chunks(batches, "_text", _PIECE):
             y = np.asarray(batch.column("_y"))
             row, bucket = batch_features(batch.column("_text"))
             toxic += np.bincount(bucket[y[row] > 0], minlength=BUCKETS).astype(np.int32)
@@ -130,8 +136,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     bucket, r = bucket[order], r[order]
 
     def design(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in row_chunks(batches, "_text"):
-            row, found = batch_features(batch.column("_text"))
+        wanted = np.zeros(BUCKETS, dtype=bool)
+        wanted[bucket] = True
+        for batch in row_chunks(batches, "_text", _PIECE):
+            row, found = batch_features(batch.column("_text"), wanted)
             at = np.minimum(np.searchsorted(bucket, found), len(bucket) - 1)
             hit = bucket[at] == found
             first = np.searchsorted(row[hit], np.arange(batch.num_rows + 1))
@@ -172,10 +180,10 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", sc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = ToxicityModel(*shared.value)
-        dense = np.zeros(BUCKETS, np.float64)
-        dense[m.bucket] = m.weight
+        dense, wanted = np.zeros(BUCKETS, np.float64), np.zeros(BUCKETS, dtype=bool)
+        dense[m.bucket], wanted[m.bucket] = m.weight, True
         for batch in row_chunks(batches, text):
-            row, bucket = batch_features(batch.column(text))
+            row, bucket = batch_features(batch.column(text), wanted)
             z = np.bincount(row, dense[bucket], batch.num_rows) + m.bias
             p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*batch.schema.names, score])

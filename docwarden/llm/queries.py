@@ -32,6 +32,13 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_leaks
+
+    out = find_leaks(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return out.select("doc_id", F.explode("leaks").alias("l")).select("doc_id", F.col("l.item").alias("item_id"), "l.similarity", "l.start", "l.words")
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import COUNTS, fit_quality, quality_rules
 
@@ -47,6 +54,14 @@ def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_words").cast("long"), F.col("n_removed").cast("long"), F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import TEMPLATES, scan_licenses
+
+    templates = spark.createDataFrame(TEMPLATES, "template string, text string")
+    out = scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text"), templates)
+    return out.select("doc_id", F.explode("licenses").alias("l")).select("doc_id", "l.template", "l.containment", "l.start", "l.words")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit_toxicity, score_toxicity
 
@@ -104,8 +119,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
+    "op2_decontamination": op2_decontamination,
     "op3_quality": op3_quality,
     "op4_substring": op4_substring,
+    "op5_licenses": op5_licenses,
     "op6_toxicity": op6_toxicity,
     "op7_jaccard": op7_jaccard,
     "op8_bpe": op8_bpe,

@@ -47,10 +47,13 @@ def _tables() -> dict:
     space[[0x20, *range(0x09, 0x0E)]] = True
     lower = np.arange(256, dtype=np.uint8)
     lower[65:91] += 32
+    plain = lower.copy()
+    plain[[i for i in range(128) if not chr(i).isalnum()]] = 0x20
     base, inverse = 0x9E3779B97F4A7C13, pow(0x9E3779B97F4A7C13, -1, 1 << 64)
     return {
         "space": space,
         "lower": lower,
+        "plain": plain,
         "value": seeded(256, 1),
         "power": _powers(base, PIECE * 2),
         "inverse": _powers(inverse, PIECE * 2),
@@ -96,10 +99,15 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def words_of(column: pa.Array, lower: bool = False) -> Words:
-    """All words of a column of strings; ``lower`` maps A-Z to a-z before they are named."""
+def words_of(column: pa.Array, lower: bool = False, plain: bool = False) -> Words:
+    """All words of a column of strings.
+
+    ``lower`` maps A-Z to a-z before they are named; ``plain`` also takes all ASCII but letters and digits for blanks.
+    """
     t = worker_cache("text_bytes", _tables)
     data, bounds = text_buffer(column)
+    if plain:
+        data = t["plain"][data]
     starts_row = np.zeros(len(data) + 1, dtype=bool)
     starts_row[bounds] = True
     names, starts, ends = [], [], []

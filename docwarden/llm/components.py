@@ -25,14 +25,15 @@ def connected_components(links: DataFrame) -> Stored:
     state = _state(now.df)
     while True:
         both = now.df.unionByName(now.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # Written before the join, so that Spark can split the rows of a node with very many links among tasks.
+        least = Stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least-neighbours")
+        large = both.where("v > u").join(least.df, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         step = Stored(large, "large-stars")
         small_least = step.df.groupBy("u").agg(F.min("v").alias("m"))
         small = step.df.join(small_least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("l"))
         after = Stored(small.select("l.u", "l.v").where("u <> v").distinct(), "small-stars")
-        step.drop()
-        now.drop()
+        for t in (step, now, least):
+            t.drop()
         now, before, state = after, state, _state(after.df)
         if state == before:
             break

@@ -188,8 +188,9 @@ def component_table(docs: DataFrame, length: int = SHINGLE, percent: int = PERCE
 
     # Likely links: each class and the least class of each of its least shingles.
     byte = classes.df.select(F.explode("keys").alias("key"), "cls")
-    centre = byte.groupBy("key").agg(F.min("cls").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
-    likely = byte.join(centre, "key").where("a <> cls").select("a", F.col("cls").alias("b")).distinct()
+    # Written before the join, so that Spark can split the rows of a common shingle among tasks; so below.
+    centre = Stored(byte.groupBy("key").agg(F.min("cls").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a"), "centres")
+    likely = byte.join(centre.df, "key").where("a <> cls").select("a", F.col("cls").alias("b")).distinct()
     x, y = outline.df.select(F.col("cls").alias("a"), side.alias("x")), outline.df.select(F.col("cls").alias("b"), side.alias("y"))
     likely = likely.join(x, "a").join(y, "b").where(_may_link(percent)).select("a", "b")
     first_links = _verified(likely, docs, members, length, percent)
@@ -222,10 +223,10 @@ def component_table(docs: DataFrame, length: int = SHINGLE, percent: int = PERCE
     roots = connected_components(every)
     named = least.df.select("cls", "_doc").join(roots.df.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     component = named.groupBy("root").agg(F.min("_doc").alias("component"))
-    by_class = named.join(component, "root").select("cls", "component")
-    out = documents.df.join(by_class, "cls", "left")
+    by_class = Stored(named.join(component, "root").select("cls", "component"), "class-components")
+    out = documents.df.join(by_class.df, "cls", "left")
     out = Stored(out.select("_doc", "size", "cls", F.coalesce("component", "_doc").alias("component")), "document-components")
-    for t in (documents, least, first_links, first_groups, links, roots):
+    for t in (documents, least, centre, first_links, first_groups, links, roots, by_class):
         t.drop()
     release(spark)
     return out

@@ -17,6 +17,11 @@ def _remainder(modulus: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % modulus
 
 
+def learned_from() -> Column:
+    """Rows that classifiers may learn from: all but a third, by the id."""
+    return F.coalesce(_remainder(3), F.lit(0)) != 1
+
+
 def vocabulary_path() -> str:
     import public_tokenizers
 
@@ -43,7 +48,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import COUNTS, fit_quality, quality_rules
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    trees = fit_quality(docs.where(F.coalesce(_remainder(3), F.lit(0)) != 1), _table(spark, sf_dir, "labels"))
+    trees = fit_quality(docs.where(learned_from()), _table(spark, sf_dir, "labels"))
     return quality_rules(docs, trees).select("doc_id", *COUNTS, "base_failed", "kept", "quality_score")
 
 
@@ -66,7 +71,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit_toxicity, score_toxicity
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out"))
-    labels = _table(spark, sf_dir, "labels").where(F.coalesce(_remainder(3), F.lit(1)) != 1)
+    labels = _table(spark, sf_dir, "labels").where(learned_from())
     model = fit_toxicity(docs.where("NOT held_out"), labels)
     out = score_toxicity(docs, model)
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

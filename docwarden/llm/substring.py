@@ -209,14 +209,16 @@ def remove_repeated_passages(
     anchors = Stored(_anchor_rows(keyed, length), "anchors")
     rows = anchors.df
     texts = rows.select("_doc", "_key", "same").distinct()
-    earliest = texts.groupBy("same").agg(F.min(F.struct("_doc", "_key")).alias("first"))
-    copies = texts.join(earliest, "same").where(F.struct("_doc", "_key") > F.col("first")).select("_key")
-    again = rows.groupBy("anchor").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("anchor")
-    hits = rows.select("anchor", "_key").join(again, "anchor", "left_semi").groupBy("_key").agg(F.collect_set("anchor").alias("anchors"))
+    # Counts are written before they are joined, so that Spark can split the rows of a common key among tasks.
+    earliest = Stored(texts.groupBy("same").agg(F.min(F.struct("_doc", "_key")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "earliest")
+    copies = texts.join(earliest.df, "same").where(F.struct("_doc", "_key") > F.col("first")).select("_key")
+    again = Stored(rows.groupBy("anchor").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("anchor"), "repeated-anchors")
+    hits = rows.select("anchor", "_key").join(again.df, "anchor", "left_semi").groupBy("_key").agg(F.collect_set("anchor").alias("anchors"))
     marks = hits.withColumn("copy", F.lit(False)).unionByName(copies.withColumns({"anchors": F.array().cast("array<long>"), "copy": F.lit(True)}))
     marks = Stored(marks.groupBy("_key").agg(F.max("copy").alias("copy"), F.flatten(F.collect_list("anchors")).alias("anchors")), "anchor-lists")
-    del rows, texts, earliest, copies, again, hits
-    anchors.drop()
+    del rows, texts, copies, hits
+    for t in (anchors, earliest, again):
+        t.drop()
     release(spark)
 
     # Documents with their repeated anchors, moved once.
@@ -229,20 +231,19 @@ def remove_repeated_passages(
     place = F.struct("_doc", "_key", "start")
     firsts = Stored(segments.df.groupBy("anchor", "content", "windows").agg(F.min(place).alias("first")), "first-segments")
     later = segments.df.join(firsts.df, ["anchor", "content", "windows"]).where(place > F.col("first")).select("_key", "start", "windows")
-    often = firsts.df.groupBy("anchor").count()
-    single = often.where(F.col("count") == 1).select("anchor")
-    hot = often.where(F.col("count") > hot_segments).select("anchor", F.lit(True).alias("hot"))
+    often = Stored(firsts.df.groupBy("anchor").count(), "anchor-counts")
+    compared = firsts.df.join(often.df.where("count > 1"), "anchor").withColumn("hot", F.col("count") > hot_segments)
 
     # 3. Different segments of one anchor, searched in shards.
-    compared = firsts.df.join(single, "anchor", "left_anti").join(hot, "anchor", "left")
-    pieces = compared.select("first._key", F.struct("first.start", "windows", "anchor", F.coalesce("hot", F.lit(False)).alias("hot")).alias("p"))
+    pieces = compared.select("first._key", F.struct("first.start", "windows", "anchor", "hot").alias("p"))
     pieces = pieces.groupBy("_key").agg(F.collect_list("p").alias("pieces"))
     with_pieces = suspects.select("_doc", "_key", "_text").join(pieces, "_key")
     indexed = _index_shards(_contents(with_pieces, length), length, shard_words)
     cuts = later.unionByName(indexed).groupBy("_key").agg(F.collect_list(F.struct("start", "windows")).alias("removed_spans"))
     cuts = Stored(cuts, "cuts")
-    del later, firsts, often, single, hot, compared, pieces, with_pieces, indexed
-    segments.drop()
+    del later, compared, pieces, with_pieces, indexed
+    for t in (segments, firsts, often):
+        t.drop()
     release(spark)
 
     # 4. Cut.

@@ -120,11 +120,14 @@ def _may_link(percent: int) -> Column:
     return sizes & near(_apart(F.col("x.bits"), F.col("y.bits"))) & wide
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, length: int, percent: int) -> Stored:
-    """Those of ``pairs(a, b)`` of classes whose sets are similar enough, by exact intersection."""
+def _verified(pairs: DataFrame, docs: DataFrame, least: DataFrame, length: int, percent: int) -> Stored:
+    """Those of ``pairs(a, b)`` of classes whose sets are similar enough, by exact intersection.
+
+    ``least(cls, _doc)`` names a document of each class.
+    """
     pairs = Stored(pairs, "pairs")
     needed = pairs.df.select(F.col("a").alias("cls")).unionByName(pairs.df.select(F.col("b").alias("cls"))).distinct()
-    ids = Stored(members.join(needed, "cls", "left_semi").groupBy("cls").agg(F.min("_doc").alias("_doc")), "needed-ids")
+    ids = Stored(least.select("cls", "_doc").join(needed, "cls", "left_semi"), "needed-ids")
     chosen = ids.df.select("_doc").distinct()
     if ids.df.count() <= BROADCAST_IDS:  # either way the same rows
         chosen = F.broadcast(chosen)
@@ -177,7 +180,6 @@ def component_table(docs: DataFrame, length: int = SHINGLE, percent: int = PERCE
     spark = docs.sparkSession
     described = Stored(_describe(docs, common_shingles(docs, length), length, percent).withColumn("_row", F.monotonically_increasing_id()), "described")
     documents = Stored(described.df.select("_doc", "size", "cls"), "document-classes")
-    members = documents.df.where("cls IS NOT NULL").select("cls", "_doc")
     # One row describes each class: that of its least document.
     least = described.df.where("cls IS NOT NULL").groupBy("cls").agg(F.min(F.struct("_doc", "_row")).alias("r")).select("cls", "r._doc", "r._row")
     least = Stored(least, "classes")
@@ -193,13 +195,14 @@ def component_table(docs: DataFrame, length: int = SHINGLE, percent: int = PERCE
     likely = byte.join(centre.df, "key").where("a <> cls").select("a", F.col("cls").alias("b")).distinct()
     x, y = outline.df.select(F.col("cls").alias("a"), side.alias("x")), outline.df.select(F.col("cls").alias("b"), side.alias("y"))
     likely = likely.join(x, "a").join(y, "b").where(_may_link(percent)).select("a", "b")
-    first_links = _verified(likely, docs, members, length, percent)
+    first_links = _verified(likely, docs, least.df, length, percent)
     first_groups = connected_components(first_links.df)
 
     # Tiles with classes of two groups or more.
-    sizes = classes.df.select("cls", "size").join(first_groups.df.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    bits = [F.col("bits")[i].alias(f"b{i}") for i in range(NARROW)]
+    sizes = classes.df.select("cls", "size", *bits).join(first_groups.df.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     sizes = Stored(sizes, "class-groups")
-    rooted = Stored(classes.df.select("cls", "prefix").join(sizes.df, "cls").select("prefix", "cls", "root"), "prefixes")
+    rooted = Stored(classes.df.select("cls", "prefix").join(sizes.df.select("cls", "root"), "cls").select("prefix", "cls", "root"), "prefixes")
     classes.drop()
     mixed = rooted.df.select(F.explode("prefix").alias("shingle"), "root").groupBy("shingle").agg(F.min("root").alias("p"), F.max("root").alias("q"))
     mixed = Stored(mixed.where("p <> q").select("shingle"), "mixed-shingles")
@@ -209,13 +212,17 @@ def component_table(docs: DataFrame, length: int = SHINGLE, percent: int = PERCE
     mixed.drop()
     # Sizes of similar sets lie in one band or in two neighbouring ones (a band is a little wider than the ratio allowed).
     band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100.01 / percent)))
-    small = tiles.df.select("shingle", band.alias("band"), F.struct("cls", "root", "size").alias("s"))
-    large = tiles.df.select("shingle", F.explode(F.array(band, band - 1)).alias("band"), F.struct("cls", "root", "size").alias("l"))
+    row = F.struct("cls", "root", "size", *(f"b{i}" for i in range(NARROW)))
+    small = tiles.df.select("shingle", band.alias("band"), row.alias("s"))
+    large = tiles.df.select("shingle", F.explode(F.array(band, band - 1)).alias("band"), row.alias("l"))
     meet = (F.col("s.root") != F.col("l.root")) & (100 * F.col("s.size") >= percent * F.col("l.size"))
     meet &= (F.col("s.size") < F.col("l.size")) | ((F.col("s.size") == F.col("l.size")) & (F.col("s.cls") < F.col("l.cls")))
+    # The bitmaps are compared inside the join, so a tile of many unlike classes makes no rows.
+    differ = sum((F.bit_count(F.col(f"s.b{i}").bitwiseXOR(F.col(f"l.b{i}"))) for i in range(NARROW)), F.lit(0))
+    meet &= (100 + percent) * differ <= (100 - percent) * (F.col("s.size") + F.col("l.size"))
     pairs = small.join(large, ["shingle", "band"]).where(meet).select(F.col("s.cls").alias("a"), F.col("l.cls").alias("b")).distinct()
     pairs = pairs.join(x, "a").join(y, "b").where(_may_link(percent)).select("a", "b")
-    links = _verified(pairs, docs, members, length, percent)
+    links = _verified(pairs, docs, least.df, length, percent)
     for t in (tiles, sizes, outline):
         t.drop()
 

@@ -185,6 +185,7 @@ def component_table(docs: DataFrame, length: int = SHINGLE, percent: int = PERCE
     least = Stored(least, "classes")
     classes = Stored(described.df.drop("_doc").join(least.df.select("_row"), "_row", "left_semi").drop("_row"), "class-sets")
     described.drop()
+    release(spark)
     outline = Stored(classes.df.select("cls", "size", "bits", "wide"), "class-bitmaps")
     side = F.struct("cls", "size", "bits", "wide")
 
@@ -210,6 +211,7 @@ def component_table(docs: DataFrame, length: int = SHINGLE, percent: int = PERCE
     tiles = Stored(tiles, "tiles")
     rooted.drop()
     mixed.drop()
+    release(spark)
     # Sizes of similar sets lie in one band or in two neighbouring ones (a band is a little wider than the ratio allowed).
     band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100.01 / percent)))
     row = F.struct("cls", "root", "size", *(f"b{i}" for i in range(NARROW)))

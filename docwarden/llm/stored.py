@@ -24,8 +24,6 @@ class Stored:
             schema = df.schema
             df.write.parquet(self.path)
             self.df = spark.read.schema(schema).parquet(self.path)
-        del df
-        release(spark)
 
     def drop(self) -> None:
         if self.table:

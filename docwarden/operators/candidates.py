@@ -26,6 +26,10 @@ CONTENT_SIGNALS = {
 ENOUGH_SIGNALS = 2
 
 
+# Suffixes in any case, as a pattern of file names.
+TEXT_GLOB = "*{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in EXTENSIONS) + "}"
+
+
 def file_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 

@@ -6,16 +6,19 @@ content_hash``.  ``(repo, path, abs_path)`` is the order of documents wherever a
 
 from __future__ import annotations
 
+import contextlib
 import os
+import re
+import uuid
 from collections.abc import Iterator
-from urllib.parse import urlparse
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docwarden.functions import text as tx
-from docwarden.operators.candidates import IGNORED_DIRS, has_text_extension
+from docwarden.operators.candidates import IGNORED_DIRS, TEXT_GLOB, has_text_extension, in_ignored_dir
 from docwarden.scratch import materialise
 
 DOC_COLUMNS = ("doc_key", "repo", "path", "abs_path", "content", "size_bytes", "content_hash")
@@ -45,67 +48,102 @@ def corpus_from_table(table: DataFrame, repo: Column, path: Column, content: Col
 
 
 # ---------------------------------------------------------------------------------------------
-# Files.  Local mounts go through the operating system, other addresses through Arrow.
-
-
-def _remote(path: str):
+# Files, through Arrow's file systems.  A path is an address (``s3a://bucket/x``, ``hdfs://host/x``, ``file:/x``) or has
+# no scheme; the latter are paths of Hadoop's default file system (see :func:`addressed`).  Names are never parsed as
+# addresses, so blanks and signs in them do no harm.
+
+# Entries of a listing, and bytes of files, that a task hands on at once.
+LISTED, READ_BYTES = 10_000, 32 << 20
+# Only these two mean that a single file or folder is out of reach; anything else fails the task, which is then repeated.
+_OUT_OF_REACH = (FileNotFoundError, PermissionError, NotADirectoryError)
+_systems: dict[str, tuple] = {}
+
+
+def addressed(spark: SparkSession, path: Column) -> Column:
+    """Paths without a scheme as addresses of the default file system; local ones stay plain paths."""
+    default = (spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "").rstrip("/")
+    if not default or default.startswith("file:"):
+        return path
+    return F.when(path.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*:"), path).otherwise(F.concat(F.lit(default), path))
+
+
+def split_address(path: str) -> tuple[str, str]:
+    """``(scheme://host, path)``; the first part is empty for files of this machine."""
+    scheme, found, rest = path.partition("://")
+    if path.startswith("file:"):
+        return "", "/" + path[len("file:") :].lstrip("/")
+    if not found or "/" in scheme:
+        return "", path
+    host, _, inner = rest.partition("/")
+    return f"{scheme}://{host}", "/" + inner
+
+
+def file_system(path: str):
+    """``(file system, path in it)``; one handle per host and worker."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path)
-
-
-def _is_mounted(path: str) -> bool:
-    return urlparse(path).scheme in ("", "file")
-
-
-def _local(path: str) -> str:
-    return urlparse(path).path if path.startswith("file:") else path
+    root, inner = split_address(path)
+    if root not in _systems:
+        if not root:
+            _systems[root] = fs.LocalFileSystem(), ""
+        else:
+            scheme, _, host = root.partition("://")
+            _systems[root] = fs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}://{host}/")
+    system, base = _systems[root]
+    return system, base.rstrip("/") + inner if base.strip("/") or not root else inner
 
 
 def _entries(folder: str) -> Iterator[tuple[str, bool]]:
-    """``(path, is_dir)`` of a folder; linked folders are not followed, unreadable ones are empty."""
+    """``(path, is_dir)`` of a folder; linked folders are not followed, those out of reach are empty."""
+    from pyarrow import fs
+
+    root, inner = split_address(folder)
     try:
-        if _is_mounted(folder):
-            with os.scandir(_local(folder)) as listing:
+        if not root:
+            prefix = folder[: len(folder) - len(inner)] if folder.endswith(inner) else "file:"
+            with os.scandir(inner) as listing:
                 for e in listing:
-                    if e.is_dir():
-                        if not e.is_symlink():
-                            yield e.path, True
-                    else:
-                        yield e.path, False
+                    if not e.is_dir():
+                        yield prefix + e.path, False
+                    elif not e.is_symlink():
+                        yield prefix + e.path, True
         else:
-            from pyarrow import fs
-
-            system, inner = _remote(folder)
-            for info in system.get_file_info(fs.FileSelector(inner)):
+            system, place = file_system(folder)
+            for info in system.get_file_info(fs.FileSelector(place)):
                 yield folder.rstrip("/") + "/" + info.base_name, info.type == fs.FileType.Directory
-    except OSError:
+    except _OUT_OF_REACH:
         return
 
 
 def read_bytes(path: str) -> bytes | None:
+    """The content of a file; None if it is gone or may not be read."""
     try:
-        if _is_mounted(path):
-            with open(_local(path), "rb") as f:
-                return f.read()
-        system, inner = _remote(path)
-        with system.open_input_stream(inner) as f:
+        system, inner = file_system(path)
+        with system.open_input_stream(inner, compression=None) as f:
             return f.read()
-    except OSError:
+    except _OUT_OF_REACH:
         return None
 
 
 def write_bytes(path: str, data: bytes) -> None:
-    if _is_mounted(path):
-        target = _local(path)
-        os.makedirs(os.path.dirname(target), exist_ok=True)
-        with open(target, "wb") as f:
-            f.write(data)
-    else:
-        system, inner = _remote(path)
-        system.create_dir(inner.rpartition("/")[0], recursive=True)
-        with system.open_output_stream(inner) as f:
+    """Write a file whole: under another name first, then renamed, so no reader sees a part of it."""
+    system, inner = file_system(path)
+    folder, _, name = inner.rpartition("/")
+    system.create_dir(folder or "/", recursive=True)
+    part = f"{folder}/.{name}.{uuid.uuid4().hex}.part"
+    try:
+        with system.open_output_stream(part, compression=None) as f:
             f.write(data)
+        system.move(part, inner)
+    except BaseException:
+        with contextlib.suppress(OSError):
+            system.delete_file(part)
+        raise
+
+
+def delete_file(path: str) -> None:
+    system, inner = file_system(path)
+    system.delete_file(inner)
 
 
 _ENTRY = "repo string, root string, path string, is_dir boolean"
@@ -114,8 +152,8 @@ _ENTRY = "repo string, root string, path string, is_dir boolean"
 def _list_folders(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in frames:
         for repo, root, folder in zip(pdf["repo"], pdf["root"], pdf["path"]):
-            found = list(_entries(folder))
-            if found:
+            listing = _entries(folder)
+            while found := list(islice(listing, LISTED)):
                 paths, dirs = zip(*found)
                 yield pd.DataFrame({"repo": repo, "root": root, "path": paths, "is_dir": dirs})
 
@@ -127,7 +165,7 @@ def list_tree(roots: DataFrame) -> DataFrame:
     neither a deep nor a wide tree passes through the driver.  Skipped folders are never entered.
     """
     spark = roots.sparkSession
-    level = roots.select("repo", "root", F.col("root").alias("path"))
+    level = roots.select("repo", "root", addressed(spark, F.col("root")).alias("path"))
     files = spark.createDataFrame([], "repo string, root string, path string")
     while True:
         spread = level.repartition(spark.sparkContext.defaultParallelism)
@@ -140,23 +178,33 @@ def list_tree(roots: DataFrame) -> DataFrame:
 
 def _read_files(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in frames:
-        for start in range(0, len(pdf), 64):  # a batch holds few whole files
-            part = pdf.iloc[start : start + 64].copy()
-            part["content"] = [read_bytes(p) for p in part["abs_path"]]
-            yield part
+        start, held, size = 0, [], 0
+        for at, address in enumerate(pdf["address"]):
+            content = read_bytes(address)
+            held.append(content)
+            size += len(content or b"")
+            if size >= READ_BYTES or at == len(pdf) - 1:
+                yield pdf.iloc[start : at + 1].drop(columns="address").assign(content=held)
+                start, held, size = at + 1, [], 0
+
+
+def read_contents(files: DataFrame) -> DataFrame:
+    """``files(repo, path, abs_path)`` with ``content``; NULL where a file is gone or may not be read."""
+    spark = files.sparkSession
+    named = files.select("repo", "path", "abs_path", addressed(spark, F.col("abs_path")).alias("address"))
+    spread = named.repartition(spark.sparkContext.defaultParallelism * 4)
+    return spread.mapInPandas(_read_files, "repo string, path string, abs_path string, content binary")
 
 
 def read_files(files: DataFrame) -> DataFrame:
-    """Documents of ``files(repo, path, abs_path)``; unreadable files are dropped."""
-    spread = files.select("repo", "path", "abs_path").repartition(files.sparkSession.sparkContext.defaultParallelism * 4)
-    raw = spread.mapInPandas(_read_files, "repo string, path string, abs_path string, content binary")
-    return as_docs(raw.where(F.col("content").isNotNull()))
+    """Documents of ``files(repo, path, abs_path)`` that can be read."""
+    return as_docs(read_contents(files).where(F.col("content").isNotNull()))
 
 
 def scan_tree(roots: DataFrame) -> DataFrame:
     """Text documents below ``roots(repo, root)``; suffix and folder tests precede any reading."""
     files = list_tree(roots.withColumn("root", F.rtrim(F.col("root"), F.lit("/"))))
-    relative = F.substr("path", F.char_length("root") + 2)
+    relative = F.substr("path", F.char_length(addressed(files.sparkSession, F.col("root"))) + 2)
     named = files.select("repo", relative.alias("path"), F.col("path").alias("abs_path"))
     return read_files(named.where(has_text_extension(F.col("path"))))
 
@@ -169,24 +217,62 @@ def scan_files(paths: DataFrame) -> DataFrame:
     return read_files(paths.select(F.when(parent == "", "/").otherwise(parent).alias("repo"), name.alias("path"), p.alias("abs_path")))
 
 
-def scan_object_store(spark: SparkSession, repo: str, root: str, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Documents below ``root`` through Spark's own file listing.
+def _hidden(spark: SparkSession, root: str) -> tuple[list[str], list[str]]:
+    """Folders and files below ``root`` that Spark's listing leaves out: names with a leading dot or underscore.
 
-    That listing skips names that start with a dot, so such folders are named in ``extra``.
+    Folders are listed on the driver; skipped ones are not entered.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([root, *extra])
-    where = F.regexp_replace("path", r"\A[a-z0-9]+:/*(?=/)", "")
-    base = urlparse(root).path.rstrip("/")
-    named = raw.select(
-        F.lit(repo).alias("repo"), F.substr(where, F.lit(len(base) + 2)).alias("path"), where.alias("abs_path"), "content", F.col("length").alias("size")
-    )
-    kept = named.where(has_text_extension(F.col("path")))
-    return as_docs(kept, F.col("size"))
-
-
-def sources_table(roots: DataFrame, found: DataFrame) -> DataFrame:
-    """Per source its record and how many candidates it gave; sources without any stay listed."""
-    counts = found.groupBy("repo").agg(F.count("*").alias("n_candidates"))
-    return roots.join(counts, roots["label"] == counts["repo"], "left").select(
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found: tuple[list[str], list[str]] = [], []
+    folders = [path]
+    while folders:
+        for status in system.listStatus(folders.pop()):
+            name = status.getPath().getName()
+            if status.isDirectory() and name in IGNORED_DIRS:
+                continue
+            if name[:1] in "._":
+                found[status.isFile()].append(status.getPath().toString())
+            if status.isDirectory():
+                folders.append(status.getPath())
+    return found
+
+
+def scan_object_store(spark: SparkSession, repo: str, root: str) -> DataFrame:
+    """Documents below ``root`` through Spark's own file reading, for addresses that Arrow does not know.
+
+    ``abs_path`` keeps the address.  Hidden folders and files, which Spark's listing skips, are looked up and
+    named to it.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base = system.makeQualified(path).toString().rstrip("/")
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", TEXT_GLOB)
+    folders, files = _hidden(spark, base)
+    # Names are taken literally, not as patterns.
+    raw = reader.load([re.sub(r"([\\*?\[\]{}])", r"\\\1", p) for p in (base, *folders)]).select("path", "content", "length")
+    # Spark reads no hidden file, even by its name; these few go through Arrow.
+    single = spark.createDataFrame([(repo, f, f) for f in files], "repo string, path string, abs_path string")
+    single = read_contents(single.where(has_text_extension(F.col("path")))).where(F.col("content").isNotNull())
+    raw = raw.unionByName(single.select("path", "content", F.octet_length("content").cast("long").alias("length")))
+    return as_docs(named_below(raw.dropDuplicates(["path"]), repo, base), F.col("size"))
+
+
+def named_below(raw: DataFrame, repo: str, base: str) -> DataFrame:
+    """Files ``raw(path, content, length)`` by their place below the address ``base``."""
+    place = F.substr("path", F.lit(len(base) + 2))
+    local = F.regexp_replace("path", r"\Afile:/+", "/")
+    named = raw.select(F.lit(repo).alias("repo"), place.alias("path"), local.alias("abs_path"), "content", F.col("length").alias("size"))
+    return named.where(has_text_extension(F.col("path")) & ~in_ignored_dir(F.col("path")))
+
+
+def sources_table(roots: DataFrame, found: DataFrame, key: str = "label", found_key: str = "repo") -> DataFrame:
+    """Per source its record and how many candidates it gave; sources without any stay listed.
+
+    Sources may share a label; with a ``key`` column that tells them apart (and candidates that carry it
+    as ``found_key``) each gets its own count.
+    """
+    counts = found.groupBy(F.col(found_key).alias("_found")).agg(F.count("*").alias("n_candidates"))
+    return roots.join(counts, roots[key] == counts["_found"], "left").select(
         *roots.columns, F.coalesce("n_candidates", F.lit(0)).alias("n_candidates")
     )

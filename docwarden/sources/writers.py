@@ -5,14 +5,13 @@ Nothing is ever written over the table a job reads; trees are changed in place o
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docwarden.sources.corpus import _is_mounted, _local, _remote, write_bytes
+from docwarden.sources.corpus import addressed, delete_file, write_bytes
 
 
 def write_docs(docs: DataFrame, path: str) -> DataFrame:
@@ -27,44 +26,46 @@ def write_by_domain(docs: DataFrame, path: str) -> DataFrame:
     Rebalancing splits a domain that holds much of the corpus over many tasks and files.
     """
     docs.hint("rebalance", "domain").write.partitionBy("domain").parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    # With a schema, a domain such as 007 stays text.
+    return docs.sparkSession.read.schema(docs.schema).parquet(path)
 
 
-_DONE = "path string, done boolean"
+_DONE = "path string, key string, done boolean"
 
 
 def _write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in frames:
         done = []
-        for path, content in zip(pdf["path"], pdf["content"]):
+        for path, content in zip(pdf["address"], pdf["content"]):
             try:
                 write_bytes(path, content.encode("utf-8"))
                 done.append(True)
             except OSError:
                 done.append(False)
-        yield pd.DataFrame({"path": pdf["path"], "done": done})
+        yield pdf.drop(columns=["address", "content"]).assign(done=done)
 
 
 def _delete(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in frames:
         done = []
-        for path in pdf["path"]:
+        for path in pdf["address"]:
             try:
-                if _is_mounted(path):
-                    os.unlink(_local(path))
-                else:
-                    system, inner = _remote(path)
-                    system.delete_file(inner)
+                delete_file(path)
                 done.append(True)
             except OSError:
                 done.append(False)
-        yield pd.DataFrame({"path": pdf["path"], "done": done})
+        yield pdf.drop(columns="address").assign(done=done)
+
+
+def _named(docs: DataFrame, path: str) -> DataFrame:
+    key = F.col("doc_key") if "doc_key" in docs.columns else F.lit(None).cast("string")
+    return docs.withColumns({"key": key, "address": addressed(docs.sparkSession, F.col(path))})
 
 
 def write_files(docs: DataFrame, path: str = "abs_path") -> DataFrame:
     """Write ``content`` of every row to the file it names; ``done`` tells which succeeded."""
-    return docs.select(F.col(path).alias("path"), "content").mapInPandas(_write, _DONE)
+    return _named(docs, path).select(F.col(path).alias("path"), "key", "address", "content").mapInPandas(_write, _DONE)
 
 
 def delete_files(docs: DataFrame, path: str = "abs_path") -> DataFrame:
-    return docs.select(F.col(path).alias("path")).mapInPandas(_delete, _DONE)
+    return _named(docs, path).select(F.col(path).alias("path"), "key", "address").mapInPandas(_delete, _DONE)

@@ -1,3 +1,4 @@
+import pytest
 import os
 
 from pyspark.sql import functions as F
@@ -65,12 +66,62 @@ def test_file_list(spark, tmp_path):
 
 def test_object_store(spark, tmp_path):
     tree(tmp_path)
-    docs = corpus.scan_object_store(spark, "r", f"file://{tmp_path}", (f"file://{tmp_path}/.github",))
+    (tmp_path / "with blank").mkdir()
+    (tmp_path / "with blank" / ".My #1 Skill?.md").write_text("hidden file")
+    docs = corpus.scan_object_store(spark, "r", f"file://{tmp_path}")
     rows = {r["path"]: r for r in docs.collect()}
+    assert rows["with blank/.My #1 Skill?.md"]["content"] == "hidden file"
     assert ".github/prompts/hidden.md" in rows and rows["prompts/a.md"]["abs_path"] == f"{tmp_path}/prompts/a.md"
     assert "prompts/a.md" in [r["path"] for r in cd.candidates(docs, "relative").collect()]
 
 
+def test_names_are_cut_from_the_full_address(spark):
+    raw = spark.createDataFrame([("s3a://bucket/root/a b.md", b"x", 1), ("s3a://bucket/root/.git/c.md", b"x", 1), ("s3a://bucket/root/p.png", b"x", 1)], "path string, content binary, length long")
+    rows = corpus.named_below(raw, "r", "s3a://bucket/root").collect()
+    assert [(r["path"], r["abs_path"]) for r in rows] == [("a b.md", "s3a://bucket/root/a b.md")]
+    raw = spark.createDataFrame([("hdfs://nn:8020/data/x/a.md", b"x", 1)], "path string, content binary, length long")
+    assert corpus.named_below(raw, "r", "hdfs://nn:8020/data/x").first()["path"] == "a.md"
+
+
+def test_addresses_are_split_at_the_host():
+    assert corpus.split_address("s3a://bucket/a b/#c.md") == ("s3a://bucket", "/a b/#c.md")
+    assert corpus.split_address("file:///x/My Skill?.md") == ("", "/x/My Skill?.md")
+    assert corpus.split_address("/x/a://b.md") == ("", "/x/a://b.md")
+
+
+def test_odd_names_in_trees_and_lists(spark, tmp_path):
+    names = ["My Skill.md", "a#b.md", "q?x=1.md", "100%.md"]
+    for n in names:
+        (tmp_path / n).write_text("text " + n)
+    for root in (str(tmp_path), f"file://{tmp_path}"):
+        docs = corpus.scan_tree(spark.createDataFrame([("r", root)], "repo string, root string")).collect()
+        assert {r["path"]: r["content"] for r in docs} == {n: "text " + n for n in names}
+        paths = spark.createDataFrame([(f"{root}/{n}",) for n in names], "path string")
+        assert sorted(r["path"] for r in corpus.scan_files(paths).collect()) == sorted(names)
+
+
+def test_only_files_out_of_reach_are_skipped(spark, tmp_path, monkeypatch):
+    assert corpus.read_bytes(str(tmp_path / "gone.md")) is None
+    with pytest.raises(OSError):
+        corpus.read_bytes(str(tmp_path))
+
+
+def test_a_write_is_whole_or_not_at_all(tmp_path):
+    corpus.write_bytes(str(tmp_path / "new" / "a.md"), b"1")
+    corpus.write_bytes(str(tmp_path / "new" / "a.md"), b"22")
+    assert [p.read_bytes() for p in (tmp_path / "new").iterdir()] == [b"22"]
+    (tmp_path / "file").write_text("x")
+    with pytest.raises(OSError):
+        corpus.write_bytes(str(tmp_path / "file" / "a.md"), b"1")
+
+
+def test_sources_with_one_label_are_counted_apart(spark):
+    roots = spark.createDataFrame([("k1", "lib"), ("k2", "lib"), ("k3", "x")], "key string, label string")
+    found = spark.createDataFrame([("k1",), ("k2",), ("k2",)], "source string")
+    rows = corpus.sources_table(roots, found, "key", "source").collect()
+    assert {r["key"]: r["n_candidates"] for r in rows} == {"k1": 1, "k2": 2, "k3": 0}
+
+
 def test_manifest_entries(spark):
     entries = {r["path"]: r for r in cd.describe(docs_of(spark, [CLEAN, BARE, "---\n[]\n---\n", "---\n- 1\n---\n"])).collect()}
     assert [entries[f"d{i:03d}.md"]["has_frontmatter"] for i in range(4)] == [True, False, True, True]

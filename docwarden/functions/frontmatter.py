@@ -206,42 +206,44 @@ def body_of(content: Column) -> Column:
     return F.when(F.col("fm")["kind"].isNotNull(), tx.after_head(content, F.col("head"))).otherwise(content)
 
 
+# Nesting beyond this depth (and values that hold themselves) is shown as text only.
+DEEPEST = 50
+_ENTRIES = ArrayType(_struct(key_path=_TEXT, kind=_TEXT, value=_TEXT))
+
+
+def _walk(path: str, v: Any, depth: int, out: list[dict]) -> None:
+    if path:
+        out.append({"key_path": path, "kind": _kind(v), "value": _clean(v)})
+    inner = v.items() if isinstance(v, dict) else enumerate(v) if isinstance(v, list) else ()
+    if depth < DEEPEST:
+        for k, x in inner:
+            _walk(f"{path}.{_clean(k)}" if path else _clean(k), x, depth + 1, out)
+
+
+def _entries_udf():
+    arrow_type = to_arrow_type(_ENTRIES)
+
+    @F.arrow_udf(_ENTRIES)
+    def entries(blocks: pa.Array) -> pa.Array:
+        _need_yaml()
+        rows = []
+        for block in blocks.to_pylist():
+            valid, data = load_yaml(block) if block is not None else (False, None)
+            found: list[dict] = []
+            if valid and data is not None:
+                _walk("", data, 0, found)
+            rows.append(found)
+        return pa.array(rows, type=arrow_type)
+
+    return entries.asNondeterministic()
+
+
 def frontmatter_long(docs: DataFrame) -> DataFrame:
-    """One row per known key and list element: ``(doc_key, key_path, kind, value)``."""
-
-    def entry(path: Column, node: Column) -> Column:
-        return F.when(
-            node["kind"].isNotNull(),
-            F.struct(path.alias("key_path"), node["kind"].alias("kind"), node["text"].alias("value")),
-        )
-
-    def numbered(prefix: str, nodes: Column) -> Column:
-        at = lambda i: F.concat(F.lit(prefix + "."), i.cast("string"))
-        return F.coalesce(F.transform(nodes, lambda n, i: entry(at(i), n)), F.array())
-
-    def objects(key: str, fields: tuple[str, ...]) -> Column:
-        def members(item: Column, i: Column) -> Column:
-            stem = F.concat(F.lit(key + "."), i.cast("string"))
-            return F.array(entry(stem, item), *[entry(F.concat(stem, F.lit("." + f)), item[f]) for f in fields])
-
-        return F.coalesce(F.flatten(F.transform(fm[key]["items"], members)), F.array())
-
-    fm = F.col("fm")
-    parts = [F.array(*[entry(F.lit(f), fm[f]) for f in SCALARS], entry(F.lit("tags"), fm["tags"]))]
-    parts.append(numbered("tags", fm["tags"]["items"]))
-    for key, fields in ITEM_FIELDS.items():
-        parts.append(F.array(entry(F.lit(key), fm[key])))
-        parts.append(objects(key, fields))
-    tool = fm["tooling"]
-    parts.append(
-        F.array(
-            entry(F.lit("tooling"), tool),
-            entry(F.lit("tooling.min_context_tokens"), tool["min_context_tokens"]),
-            *[entry(F.lit(f"tooling.{k}"), tool[k]) for k in ("models", "tools")],
-        )
-    )
-    parts += [numbered(f"tooling.{k}", tool[k]["items"]) for k in ("models", "tools")]
-    entries = docs.select("doc_key", F.when(present(fm), F.array_compact(F.concat(*parts))).alias("entries"))
+    """One row per key and list element at any depth: ``(doc_key, key_path, kind, value)``.
+
+    Path parts are keys, or places in lists; keys outside the schema are there like all others.
+    """
+    entries = docs.select("doc_key", _entries_udf()(F.col("block")).alias("entries"))
     return inline_once(entries, "entries", "doc_key")
 
 

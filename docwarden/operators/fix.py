@@ -19,6 +19,7 @@ from docwarden.functions.frontmatter import body_of, parse_block, present, with_
 from docwarden.functions.shaping import filter_once, inline_once
 from docwarden.operators import audit as au
 from docwarden.operators.rules import RuleSet, bad_version, no_heading
+from docwarden.scratch import materialise
 
 # What the fixers write.
 DEFAULT_NAME = "Untitled Skill"
@@ -121,7 +122,10 @@ def _reparse(docs: DataFrame) -> DataFrame:
     ).drop("_head", "_block", "_fm")
 
 
-def _run_chain(docs: DataFrame, order: list[str]) -> DataFrame:
+def _run_chain(docs: DataFrame, order: list[str], rounds: int = 0) -> DataFrame:
+    """Apply the wanted fixers in ``order``; with ``rounds`` in each document's own, one of its fixers a round."""
+    if rounds:
+        docs = docs.withColumn("_each", F.col("wanted"))
     docs = docs.withColumns(
         {
             "content_before": F.col("content"),
@@ -130,9 +134,11 @@ def _run_chain(docs: DataFrame, order: list[str]) -> DataFrame:
         }
     )
     stale = False
-    for rule_id in order:
+    for n, rule_id in enumerate(order * max(1, rounds)):
         if stale:
             docs = _reparse(docs)
+        if rounds:
+            docs = docs.withColumn("wanted", F.slice("_each", n // len(order) + 1, 1))
         docs = _apply(docs, rule_id)
         stale = FIXERS[rule_id].edits_block
     if stale or not order:
@@ -140,7 +146,7 @@ def _run_chain(docs: DataFrame, order: list[str]) -> DataFrame:
     else:
         # The last fixer only moved the body, so the parsed metadata holds and the fence may have grown.
         docs = docs.withColumn("head", F.when(F.col("_stale"), tx.fence_head(F.col("content"))).otherwise(F.col("head")))
-    return docs.withColumn("touched", F.size("applied") > 0).drop("_stale", "wanted")
+    return docs.withColumn("touched", F.size("applied") > 0).drop("_stale", "wanted", "_each")
 
 
 def fix_audited(audited: DataFrame, rules: RuleSet) -> DataFrame:
@@ -151,14 +157,39 @@ def fix_audited(audited: DataFrame, rules: RuleSet) -> DataFrame:
     return _run_chain(docs, fixer_order(rules))
 
 
+def _common_order(per_doc: DataFrame, ids: list[str]) -> list[str] | None:
+    """An order of the fixers that agrees with that of every document, if there is one."""
+    at = F.posexplode("wanted")
+    first, then = (per_doc.select("doc_key", at.alias(f"{n}_at", n)) for n in ("a", "b"))
+    pairs = first.join(then, "doc_key").where("a_at < b_at").select("a", "b").distinct().collect()  # at most fixers squared
+    before = {i: {r["a"] for r in pairs if r["b"] == i} for i in ids}
+    order: list[str] = []
+    while len(order) < len(ids):
+        free = [i for i in ids if i not in order and before[i] <= set(order)]
+        if not free:
+            return None
+        order.append(free[0])
+    return order
+
+
 def fix_planned(items: DataFrame, docs: DataFrame, rules: RuleSet) -> DataFrame:
     """As :func:`fix_audited`, for a plan that was stored or edited since: joins its items to ``docs``.
 
-    Per document the join carries a handful of rule ids; the text moves once.
+    The plan decides: an item is fixed if it says ``fixable`` and there is a fixer, in the order of ``rank``
+    (items without one come last, in rule order).  Per document the join carries a handful of rule ids; the text moves once.
     """
     usable = items.where(F.col("fixable") & F.col("rule_id").isin(*FIXERS) & (F.trim(F.col("abs_path")) != ""))
-    per_doc = usable.groupBy("doc_key").agg(F.collect_set("rule_id").alias("wanted"))  # at most one id per fixer
-    return _run_chain(with_frontmatter(docs.join(per_doc, "doc_key")).drop("body"), fixer_order(rules))
+    ids = fixer_order(rules)
+    ids += [i for i in FIXERS if i not in ids]
+    place = F.element_at(F.create_map(*[F.lit(x) for k, i in enumerate(ids) for x in (i, k)]), F.col("rule_id"))
+    rank = F.col("rank").cast("long") if "rank" in items.columns else F.lit(None).cast("long")
+    step = F.struct(rank.isNull().alias("last"), rank.alias("rank"), place.alias("place"), "rule_id")
+    steps = usable.groupBy("doc_key").agg(F.sort_array(F.collect_set(step)).alias("steps"))
+    per_doc = steps.select("doc_key", F.array_distinct(F.transform("steps", lambda s: s["rule_id"])).alias("wanted"))
+    per_doc = materialise(per_doc, "planned-fixes")
+    joined = with_frontmatter(docs.join(per_doc, "doc_key")).drop("body")
+    order = _common_order(per_doc, ids)
+    return _run_chain(joined, order) if order is not None else _run_chain(joined, ids, len(ids))
 
 
 def fix_actions(fixed: DataFrame, applied: bool = False) -> DataFrame:

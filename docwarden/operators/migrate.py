@@ -14,6 +14,7 @@ DEFAULT_REPO = "owner/library"  # target repository of pointer links, unless one
 WRITE_ORDER = ("repo", "path", "abs_path")
 # A destination with more sources than one in this many documents is joined map-side.
 HOT_SHARE = 1000
+FLAGS = ("applied", "deleted_source", "wrote_pointer")
 
 
 def _url(repo: Column | str) -> Column:
@@ -76,6 +77,14 @@ def migrate_actions(
     )
 
 
+def migrate_outcomes(actions: DataFrame, copied: DataFrame, pointed: DataFrame, deleted: DataFrame) -> DataFrame:
+    """``actions`` with their flags taken from what was really done: frames of the ``doc_key`` of each success."""
+    each = [d.select("doc_key", *(F.lit(i == k).alias(c) for k, c in enumerate(FLAGS))) for i, d in enumerate((copied, deleted, pointed))]
+    marks = each[0].unionByName(each[1]).unionByName(each[2]).groupBy("doc_key").agg(*(F.max(c).alias(f"_{c}") for c in FLAGS))
+    done = actions.join(marks, "doc_key", "left")
+    return done.withColumns({c: F.coalesce(f"_{c}", F.lit(False)) for c in FLAGS}).select(*actions.columns)
+
+
 def migrate_summary(actions: DataFrame) -> DataFrame:
     done = actions.where(F.col("status") == "ok")
     return done.agg(

@@ -60,8 +60,6 @@ EXAMPLE_MARKS = ("example", "usage", "sample", "e.g.", "```")
 SHORTEST_BODY = 20
 
 RULES_DDL = "ord long, id string, name string, severity string, description string, effort string, fixable boolean"
-# The rule table is folded into the audit expression, so its size is checked when it is fetched.
-MAX_RULES = 10_000
 
 
 # ---------------------------------------------------------------------------------------------
@@ -211,13 +209,18 @@ def with_scores(rules: DataFrame, id_column: str = "id") -> DataFrame:
 
 @dataclass(frozen=True)
 class RuleSet:
-    """A fetched rule table (tens of rows) and where it came from."""
+    """The rules of a table that have a test, and where the table came from.
+
+    Rules without a test find nothing; of those only the number is known here, and ``full`` has their rows.
+    """
 
     rules: tuple[dict[str, Any], ...]
     source_url: str = "(built-in)"
     commit_sha: str = "N/A"
     fetched_at: str = ""
     is_baseline: bool = True
+    full: DataFrame | None = None
+    count: int | None = None
     by_id: dict[str, dict[str, Any]] = field(init=False, repr=False)
 
     def __post_init__(self) -> None:
@@ -225,10 +228,9 @@ class RuleSet:
 
     @classmethod
     def of_table(cls, rules: DataFrame, **origin: Any) -> RuleSet:
-        rows = rules.orderBy("ord").limit(MAX_RULES + 1).collect()
-        if len(rows) > MAX_RULES:
-            raise ValueError(f"a rule table has at most {MAX_RULES} rules")
-        return cls(tuple({**r.asDict(), "ord": i} for i, r in enumerate(rows)), **origin)
+        # As many rows as there are registered tests, however long the table is.
+        rows = rules.where(F.col("id").isin(*CHECKS)).orderBy("ord").collect()
+        return cls(tuple(r.asDict() for r in rows), full=rules, count=rules.count(), **origin)
 
     @classmethod
     def baseline(cls, fetched_at: str = "") -> RuleSet:
@@ -237,6 +239,8 @@ class RuleSet:
 
     def table(self, spark: SparkSession) -> DataFrame:
         names = ("ord", "id", *ATTRIBUTES)
+        if self.full is not None:
+            return self.full.select(*names)
         return spark.createDataFrame([tuple(r[n] for n in names) for r in self.rules], RULES_DDL)
 
     def provenance(self) -> dict[str, Any]:
@@ -245,7 +249,7 @@ class RuleSet:
             "commit_sha": self.commit_sha,
             "fetched_at": self.fetched_at,
             "is_baseline": self.is_baseline,
-            "rule_count": len(self.rules),
+            "rule_count": len(self.rules) if self.count is None else self.count,
         }
 
     def urgency(self, rule: dict[str, Any]) -> tuple[float, int]:

@@ -5,11 +5,13 @@ Queries are a frame ``(qid, text)``, so many run in one job.  Ties go to the low
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -20,6 +22,8 @@ from docwarden.functions.vectors import NORM_FLOOR
 from docwarden.operators.plan import global_rank
 from docwarden.scratch import materialise
 
+logger = logging.getLogger(__name__)
+
 DEFAULT_TOP_K = 5
 # BM25 parameters; a negative weight becomes FLOOR times the mean weight.
 K1 = 1.5
@@ -79,11 +83,12 @@ def corpus_stats(vocab: DataFrame) -> CorpusStats:
     if totals is None:
         return CorpusStats(0, 0.0, 0.0, 0)
     n_docs, n_words = totals["df"], totals["n_words"]
-    # Words of equal frequency weigh the same: the mean runs over frequencies, in a fixed order.
+    # Words of equal frequency weigh the same, so the mean runs over frequencies; whole units add up in any order.
     levels = vocab.where(F.col("token").isNotNull()).groupBy("df").agg(F.count("*").alias("n"))
-    row = levels.agg(F.sum(F.col("n") * _raw_weight(F.col("df"), n_docs)).alias("w"), F.sum("n").alias("n")).first()
+    units = F.round(F.col("n") * _raw_weight(F.col("df"), n_docs) * 1e10).cast("decimal(38,0)")
+    row = levels.agg(F.sum(units).alias("w"), F.sum("n").alias("n")).first()
     n_terms = row["n"] or 0
-    return CorpusStats(n_docs, n_words / n_docs, row["w"] / n_terms if n_terms else 0.0, n_terms)
+    return CorpusStats(n_docs, n_words / n_docs, float(row["w"]) / 1e10 / n_terms if n_terms else 0.0, n_terms)
 
 
 def term_weights(vocab: DataFrame, stats: CorpusStats) -> DataFrame:
@@ -262,7 +267,9 @@ def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int = DE
 
 # A query matrix of at most this many numbers is sent to every task; beyond it both sides are blocked.
 MAX_SHARED_NUMBERS = 4_000_000
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 2048
+# Scores that a task holds at once, and digits of a score: products of other shapes differ beyond them.
+BLOCK_SCORES, SCORE_DIGITS = 4_000_000, 12
 
 
 def _matrix(values: pd.Series) -> np.ndarray:
@@ -272,7 +279,7 @@ def _matrix(values: pd.Series) -> np.ndarray:
 def _best(ids: np.ndarray, vectors: np.ndarray, qids: np.ndarray, matrix: np.ndarray, k: int) -> pd.DataFrame:
     """The best ``k`` of these vectors for every query; ties go to the lower id."""
     norms = np.linalg.norm(vectors, axis=1)[:, None] * np.linalg.norm(matrix, axis=1)[None, :]
-    scores = (vectors @ matrix.T) / np.maximum(norms, NORM_FLOOR)
+    scores = np.round((vectors @ matrix.T) / np.maximum(norms, NORM_FLOOR), SCORE_DIGITS)
     by_id = np.argsort(ids, kind="stable")
     ids, scores = ids[by_id], scores[by_id]
     best = np.argsort(-scores, axis=0, kind="stable")[:k]
@@ -294,8 +301,9 @@ def _shared_scores(vectors: DataFrame, rows: list, schema: str, k: int) -> DataF
         qids, matrix = shared.value
         best = None
         for pdf in frames:
-            for start in range(0, len(pdf), BLOCK_ROWS):
-                part = pdf.iloc[start : start + BLOCK_ROWS]
+            step = max(1, min(BLOCK_ROWS, BLOCK_SCORES // max(1, len(qids))))
+            for start in range(0, len(pdf), step):
+                part = pdf.iloc[start : start + step]
                 new = _best(part["id"].to_numpy(), _matrix(part["embedding"]), qids, matrix, k)
                 best = new if best is None else _keep_best(pd.concat([best, new]), k)
         if best is not None:
@@ -346,24 +354,34 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_TOP_K,
 HOT_SHARE = 1000
 
 
+# Missing keys that are sent to every task, to leave known texts where they are.
+MAX_SHARED_KEYS = 500_000
+
+
 def cache_table(spark: SparkSession, path: str) -> DataFrame:
-    """A stored cache; a missing or unreadable one counts as empty."""
+    """A stored cache, one row per key; a missing one counts as empty.  Any other failure to read it is raised."""
+    schema = "content_key string, embedding array<float>"
     try:
-        stored = spark.read.schema("content_key string, embedding array<float>").parquet(path)
-        stored.limit(1).collect()
-        return stored
-    except Exception:  # noqa: BLE001 - any unreadable cache is rebuilt
-        return spark.createDataFrame([], "content_key string, embedding array<float>")
+        return spark.read.schema(schema).parquet(path).dropDuplicates(["content_key"])
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def cache_misses(texts: DataFrame, cache: DataFrame) -> DataFrame:
     """``(content_key, text)`` of every distinct text the cache lacks.
 
-    Copies are folded by key before the shuffle, so a text that fills a third of the rows costs one
-    row per task.
+    Keys are folded and looked up first.  Copies of a text are folded before they move, so one that fills a third
+    of the rows costs one row per task; up to ``MAX_SHARED_KEYS`` missing keys, no other texts move at all.
     """
     keyed = texts.select(tx.content_hash(F.col("text")).alias("content_key"), "text")
-    return keyed.groupBy("content_key").agg(F.first("text").alias("text")).join(cache.select("content_key"), "content_key", "left_anti")
+    missing = keyed.select("content_key").distinct().join(cache.select("content_key"), "content_key", "left_anti")
+    missing = materialise(missing, "missing-keys")
+    if missing.count() <= MAX_SHARED_KEYS:
+        keyed = keyed.join(F.broadcast(missing), "content_key", "left_semi")
+    new = keyed.groupBy("content_key").agg(F.first("text").alias("text"))
+    return new.join(missing, "content_key", "left_semi")
 
 
 def embed_missing(texts: DataFrame, cache: DataFrame, provider: Callable[[Column], Column]) -> DataFrame:
@@ -392,21 +410,23 @@ def embed_texts(texts: DataFrame, cache: DataFrame) -> DataFrame:
     (fewer than ``HOT_SHARE``), so their embeddings are joined by broadcast; the rest is joined by key.
     """
     keyed = texts.withColumn("content_key", tx.content_hash(F.col("text")))
-    counts = keyed.groupBy("content_key").agg(F.count("*").alias("n"))
+    counts = materialise(keyed.groupBy("content_key").agg(F.count("*").alias("n")), "key-counts")
     total = counts.agg(F.sum("n")).first()[0] or 0
     least = max(1000, total // HOT_SHARE)
-    hot_keys = counts.where(F.col("n") > least).select("content_key")  # fewer than HOT_SHARE rows
-    hot = F.broadcast(cache.join(hot_keys, "content_key").select("content_key", F.col("embedding").alias("hot_embedding")))
-    with_hot = keyed.join(hot, "content_key", "left")
-    key = F.when(F.col("hot_embedding").isNull(), F.col("content_key"))
-    cold = cache.withColumnRenamed("content_key", "_key")
-    joined = with_hot.withColumn("_cold", key).join(cold, F.col("_cold") == F.col("_key"), "left")
-    return joined.withColumn("embedding", F.coalesce("hot_embedding", "embedding")).drop("hot_embedding", "_cold", "_key")
+    hot_keys = F.broadcast(counts.where(F.col("n") > least).select("content_key"))  # fewer than HOT_SHARE rows
+    hot = F.broadcast(hot_keys.join(cache, "content_key", "left").select("content_key", "embedding"))
+    of_hot = keyed.join(hot, "content_key")
+    of_cold = keyed.join(hot_keys, "content_key", "left_anti").join(cache, "content_key", "left")
+    return of_hot.unionByName(of_cold)
 
 
 @dataclass(frozen=True)
 class DocumentIndex:
-    """Search over ``docs(id, content)``: by vectors when there is a provider or a vector table, else by words."""
+    """Search over ``docs(id, content)``: by vectors when there is a provider or a vector table, else by words.
+
+    With a vector table and no provider, queries bring their own ``embedding``; those without one, and all queries
+    if the provider fails to give an expression, are answered by words.
+    """
 
     docs: DataFrame
     provider: Callable[[Column], Column] | None = None
@@ -415,7 +435,7 @@ class DocumentIndex:
 
     @property
     def mode(self) -> str:
-        if self.provider is not None:
+        if self.provider is not None or self.vectors is not None:
             return "dense"
         return "bm25" if self.words else "none"
 
@@ -425,12 +445,24 @@ class DocumentIndex:
             return self.docs.limit(0).select(
                 "id", F.lit(0).alias("qid"), F.lit(0).alias("rank"), F.lit(0.0).alias("score"), *[c for c in self.docs.columns if c != "id"]
             )
-        if self.mode == "dense":
-            vectors = self.vectors
-            if vectors is None:
-                vectors = self.docs.select("id", self.provider(F.col("content")).alias("embedding"))
-            asked = queries.select("qid", self.provider(F.col("text")).alias("embedding"))
-            found = cosine_topk(vectors, asked, top_k)
+        dense = self._dense(queries) if self.mode == "dense" else None
+        if dense is not None:
+            found = cosine_topk(*dense, top_k)
         else:
             found = bm25_topk(self.docs, queries, top_k)
         return found.join(self.docs, "id")
+
+    def _dense(self, queries: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+        """Vectors of documents and queries, or None where they cannot be had."""
+        try:
+            vectors = self.vectors
+            if vectors is None:
+                vectors = self.docs.select("id", self.provider(F.col("content")).alias("embedding"))
+            if "embedding" in queries.columns:
+                return vectors, queries.select("qid", "embedding")
+            return vectors, queries.select("qid", self.provider(F.col("text")).alias("embedding"))
+        except Exception:  # noqa: BLE001 - whatever the provider raises, words still answer
+            if not self.words:
+                raise
+            logger.warning("No vectors for this search; it goes by words", exc_info=True)
+            return None

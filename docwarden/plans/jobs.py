@@ -55,7 +55,7 @@ def describe_sources(specs: DataFrame) -> DataFrame:
 def run_scan(
     spark: SparkSession,
     local_paths: list[str] | None = None,
-    repos: dict[str, str | None] | None = None,
+    repos: dict[str, str | tuple[str, str] | None] | None = None,
     output_path: str | None = None,
     dry_run: bool = True,
     path_scope: str = "absolute",
@@ -63,8 +63,9 @@ def run_scan(
 ) -> Scan:
     """Candidate documents below the given folders.
 
-    ``repos`` maps a repository (``owner/name`` or address) to the folder of its checkout; None
-    stands for a checkout that failed.
+    ``repos`` maps a repository (``owner/name`` or address) to the folder of its checkout, or to
+    ``(folder, commit_sha)``; None stands for a checkout that failed.  Candidates are written once, so later steps
+    see one content even if the files change.
     """
     stamp = created_at or utc_now()
     records: list[tuple[Any, ...]] = []
@@ -83,10 +84,11 @@ def run_scan(
         if checkout is None:
             records.append(("remote", None, row["url"], row["label"], None, "clone_failed"))
         else:
-            records.append(("remote", None, row["url"], row["label"], None, None))
-            roots.append((row["label"], checkout))
+            folder, sha = checkout if isinstance(checkout, tuple) else (checkout, None)
+            records.append(("remote", None, row["url"], row["label"], sha, None))
+            roots.append((row["label"], folder))
     docs = corpus.scan_tree(spark.createDataFrame(roots, "repo string, root string"))
-    found = cd.candidates(docs, path_scope)
+    found = materialise(cd.candidates(docs, path_scope), "scan")
     scan = Scan(spark.createDataFrame(records, SOURCE_DDL), found, stamp)
     if output_path:
         reports.write_manifest(scan.manifest(), scan.sources, output_path, stamp, dry_run)
@@ -253,7 +255,8 @@ def run_migrate(
     """Relocate documents; of several with one destination the last in document order stays.
 
     With ``apply`` (and not ``dry_run``) the relocated documents and pointers go to tables below
-    ``output_path``, or to files with ``in_place``.
+    ``output_path``, or to files with ``in_place``.  Then the flags of ``actions`` tell what was done: a document whose
+    destination could not be written keeps its source as it is and has ``applied`` false.
     """
     docs = docs.candidates if isinstance(docs, Scan) else docs
     planned = mg.migrate_plan(with_frontmatter(docs), skills_root)
@@ -270,13 +273,16 @@ def run_migrate(
         if write_pointer:
             writers.write_docs(pointers, f"{output_path}/pointers")
     if effective and in_place:
+        # A source is touched only after the copy that stays at its destination is known to be written.
         kept = mg.surviving(rendered.withColumn("status", F.lit("ok"))).drop("status")
-        done = writers.write_files(kept, "dest_path")
-        materialise(done, "migrated")
-        if write_pointer:
-            materialise(writers.write_files(pointers), "pointers")
-        elif allow_delete:
-            materialise(writers.delete_files(planned.where(F.col("status") == "ok")), "deleted")
+        written = materialise(writers.write_files(kept, "dest_path"), "migrated").where("done").select(F.col("path").alias("dest_path"))
+        copied = planned.where(F.col("status") == "ok").join(written, "dest_path")
+        copied = materialise(copied.where(F.col("abs_path") != F.col("dest_path")).select("doc_key", "abs_path", "skill_id", "dest_rel", "repo", "path", "status"), "copied")
+        none = copied.limit(0)
+        pointed = materialise(writers.write_files(mg.migrate_pointers(copied, skills_repo)), "pointers") if write_pointer else none
+        deleted = materialise(writers.delete_files(copied), "deleted") if allow_delete and not write_pointer else none
+        done = [d if d is none else d.where("done").select(F.col("key").alias("doc_key")) for d in (pointed, deleted)]
+        actions = mg.migrate_outcomes(actions, copied, *done)
     return Migration(planned, actions, rendered, pointers, effective)
 
 

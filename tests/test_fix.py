@@ -143,3 +143,15 @@ def test_reparse_matches_a_fresh_parse(spark):
     fixed = fx.fix_audited(audit_of(spark, [CLEAN, BROKEN, PARTIAL, BARE, "x", "---\nid: [x\n---\nb"]), RULES)
     fresh = with_frontmatter(fixed.select("path", "content")).select("path", "fm", "head")
     assert fixed.select("path", "fm", "head").exceptAll(fresh).count() == 0
+
+
+def test_a_stored_plan_decides(spark):
+    """Items are fixed as they say, whatever the rule table says, in the order of their ranks."""
+    manual = RuleSet(tuple({**r, "fixable": False} for r in RULES.rules))
+    docs = audit_of(spark, [BROKEN, BARE]).select(*au.IDENTITY, "content", "findings")
+    keys = [r["doc_key"] for r in docs.orderBy("path").collect()]
+    rows = [(keys[0], "/x", "FM005", True, 1), (keys[0], "/x", "FM004", True, 2), (keys[0], "/x", "ST001", False, 3), (keys[1], "/x", "FM001", True, 4)]
+    items = lambda r: spark.createDataFrame(r, "doc_key string, abs_path string, rule_id string, fixable boolean, rank long")
+    for plan in (rows, rows + [(keys[1], "/x", "FM004", True, 5), (keys[1], "/x", "FM005", True, 6)]):  # the second has two orders
+        fixed = {r["doc_key"]: list(r["applied"]) for r in fx.fix_planned(items(plan), docs, manual).collect()}
+        assert fixed[keys[0]] == ["FM005", "FM004"] and fixed[keys[1]][0] == "FM001"

@@ -116,3 +116,13 @@ def test_render_keeps_order_and_unicode(spark):
     cut = fm.with_block(docs)
     text = cut.select(fm.render_block(F.col("block"), F.lit("new"), F.lit("src"), F.lit("now"))).first()[0]
     assert text == "name: Ä\nid: new\nwhen: 2024-01-02\ntags:\n- a\nsource: src\nmigrated_at: now\n"
+
+
+def test_long_view_has_every_key_at_any_depth(spark):
+    block = "id: a\ncustom:\n  deep: [1, {x: y}]\ntooling:\n  other: z\ninputs:\n- name: n\n  more: [q]\n"
+    docs = parsed_of(spark, [f"---\n{block}---\n", "---\n- 1\n- {k: v}\n---\n", "---\n[bad\n---\n", "no block"])
+    rows = fm.frontmatter_long(docs).collect()
+    got = {(r["key_path"], r["kind"], r["value"]) for r in rows}
+    for row in [("id", "string", "a"), ("custom.deep.0", "int", "1"), ("custom.deep.1.x", "string", "y"), ("tooling.other", "string", "z"), ("inputs.0.more.0", "string", "q"), ("0", "int", "1"), ("1.k", "string", "v")]:
+        assert row in got
+    assert len(rows) == len(got) == 16

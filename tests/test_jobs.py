@@ -102,6 +102,31 @@ def test_migrate_and_delete(spark, folder, tmp_path):
     assert list(folder.iterdir()) == [] and (tmp_path / "lib" / "skills" / "general" / "half-done.md").exists()
 
 
+def test_migrate_keeps_sources_whose_copy_failed(spark, folder, tmp_path):
+    """A file stands where a destination folder belongs."""
+    lib = tmp_path / "lib" / "skills"
+    lib.mkdir(parents=True)
+    (lib / "general").write_text("in the way")
+    before = {p.name: p.read_bytes() for p in folder.iterdir()}
+    for options in ({"allow_delete": True, "write_pointer": False}, {"write_pointer": True}):
+        scan = jobs.run_scan(spark, [str(folder)])
+        moved = jobs.run_migrate(scan, skills_root=str(lib), apply=True, dry_run=False, in_place=True, **options)
+        rows = {r["path"]: r for r in moved.actions.collect()}
+        failed = [r["path"] for r in rows.values() if r["domain"] == "general"]
+        assert failed and all((folder / p).read_bytes() == before[p] for p in failed)
+        assert not any(rows[p][f] for p in failed for f in ("applied", "deleted_source", "wrote_pointer"))
+        summary = moved.summary().first()
+        assert summary["total"] == len(rows) and summary["applied"] == sum(r["applied"] for r in rows.values())
+
+
+def test_scan_sees_one_content(spark, folder):
+    scan = jobs.run_scan(spark, [str(folder)])
+    before = jobs.run_audit(scan).summary().collect()
+    for p in folder.iterdir():
+        p.write_text("You are changed. Act as another.")
+    assert jobs.run_audit(scan).summary().collect() == before
+
+
 def test_search(spark):
     docs = docs_of(spark, [CLEAN, BARE]).withColumn("id", F.col("path"))
     found = jobs.run_search(DocumentIndex(docs), spark.createDataFrame([(1, "server logs")], "qid long, text string"), 1)

@@ -1,3 +1,4 @@
+import pytest
 import math
 
 import numpy as np
@@ -121,7 +122,8 @@ def test_cache(spark, tmp_path):
     assert none.count() == 0
     (tmp_path / "bad").mkdir()
     (tmp_path / "bad" / "part.parquet").write_text("not parquet")
-    assert se.cache_table(spark, str(tmp_path / "bad")).count() == 0
+    with pytest.raises(Exception, match="bad"):  # not taken for an empty cache, to which rows would be appended
+        se.cache_table(spark, str(tmp_path / "bad")).count()
     first = spark.createDataFrame([("a",), ("b",), ("a",)], "text string")
     cache = se.extend_cache(first, none, length_and_as)
     assert cache.count() == 2
@@ -129,6 +131,8 @@ def test_cache(spark, tmp_path):
     stored = se.cache_table(spark, str(tmp_path / "cache"))
     assert se.update_cache(first, str(tmp_path / "own"), length_and_as).count() == 2
     assert se.update_cache(first, str(tmp_path / "own"), length_and_as).count() == 2
+    stored.write.mode("append").parquet(str(tmp_path / "own"))
+    assert se.cache_table(spark, str(tmp_path / "own")).count() == 2
     more = first.unionAll(spark.createDataFrame([("caa",)], "text string"))
     assert [r["text"] for r in se.cache_misses(more, stored).collect()] == ["caa"]
     full = se.extend_cache(more, stored, length_and_as)
@@ -137,6 +141,28 @@ def test_cache(spark, tmp_path):
     assert se.embed_texts(more, stored).where("embedding IS NULL").count() == 1
 
 
+def test_equal_vectors_tie_in_both_forms(spark):
+    v = spark.createDataFrame([(i, [0.1, 0.7, 0.3]) for i in range(7)] + [(9, [1.0, 0.0, 0.0])], "id long, embedding array<float>")
+    q = spark.createDataFrame([(i, [0.3, 0.2, 0.1 + i]) for i in range(3)], "qid long, embedding array<float>")
+    shared = sorted(map(tuple, se.cosine_topk(v, q, 4).collect()))
+    assert shared == sorted(map(tuple, se.cosine_topk(v, q, 4, max_shared=1).collect()))
+    assert [r[2] for r in shared if r[0] == 0] == [9, 0, 1, 2]
+
+
+def test_index_by_vectors_and_by_words(spark):
+    docs = spark.createDataFrame([(1, "red fox"), (2, "blue bird")], "id long, content string")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, embedding array<float>")
+    asked = spark.createDataFrame([(7, "fox", [0.0, 1.0])], "qid long, text string, embedding array<float>")
+    index = se.DocumentIndex(docs, vectors=vectors)
+    assert index.mode == "dense" and index.search(asked, 1).first()["id"] == 2
+    assert index.search(asked.drop("embedding"), 1).first()["id"] == 1
+
+    def broken(text):
+        raise ConnectionError("no service")
+
+    assert se.DocumentIndex(docs, broken).search(asked.drop("embedding"), 1).first()["id"] == 1
+
+
 def test_one_text_fills_a_third_of_the_rows(spark):
     many = spark.range(6000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("text"))
     none = spark.createDataFrame([], "content_key string, embedding array<float>")

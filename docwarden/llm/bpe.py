@@ -12,6 +12,7 @@ from __future__ import annotations
 import itertools
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from .text_bytes import row_chunks, worker_cache
 
 #: Words whose ids a worker keeps at most, and pairs of tokens whose test it keeps; both start anew when full.
-WORDS_KEPT, PAIRS_KEPT = 500_000, 500_000
+WORDS_KEPT, PAIRS_KEPT = 350_000, 250_000
 _END = "\u0100"  # follows the last byte of a word; bytes are the characters below it
 # The white space that the tokenizer's normaliser folds: Unicode's White_Space property.
 _SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
@@ -43,7 +44,7 @@ class _Words(dict):
         super().__init__()
         self.make = make
 
-    def __missing__(self, chunk: str) -> tuple[int, ...]:
+    def __missing__(self, chunk: str) -> bytes:
         return self.make(chunk)
 
 
@@ -107,8 +108,8 @@ class WordBpe:
         known = self.pairs[a << 20 | b] = self._stays_apart(a, b, float("inf"))
         return known
 
-    def encode_word(self, word: str) -> tuple[int, ...]:
-        """Ids of one piece of the splitting pattern."""
+    def encode_word(self, word: str) -> bytes:
+        """Ids of one piece of the splitting pattern, as 32-bit numbers."""
         key = word.encode("utf-8", "surrogatepass").decode("latin-1") + _END
         n = len(key)
         last: list[int] = [-1] * (n + 1)
@@ -134,9 +135,9 @@ class WordBpe:
         while at:
             out.append(last[at])
             at = back[at]
-        return tuple(out[::-1])
+        return array("i", out[::-1]).tobytes()
 
-    def encode_chunk(self, chunk: str) -> tuple[int, ...]:
+    def encode_chunk(self, chunk: str) -> bytes:
         """Ids of a run of characters without white space that is not in the store."""
         words = self.words
         plain = chunk.isascii()
@@ -150,10 +151,10 @@ class WordBpe:
             if len(text) <= 64:
                 words[text] = found
             return found
-        out: list[int] = []
+        out = []
         for piece in self.split.findall(text):
             if piece.isascii() and piece.isalpha():
-                out += words[piece]
+                out.append(words[piece])
                 continue
             name = "\0" + piece
             ids = words.get(name)
@@ -161,23 +162,23 @@ class WordBpe:
                 ids = self.encode_word(piece)
                 if len(piece) <= 64:
                     words[name] = ids
-            out += ids
-        return tuple(out)
+            out.append(ids)
+        return b"".join(out)
 
-    def encode_plain(self, text: str) -> Iterator[tuple[int, ...]]:
+    def encode_plain(self, text: str) -> Iterator[bytes]:
         chunks = [c for c in _SPACE.split(text) if c] if _CONTROL.search(text) else text.split()
         return map(self.words.__getitem__, chunks)
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text; special tokens in it get their own ids."""
-        parts: Iterable[tuple[int, ...]]
+        parts: Iterable[bytes]
         if self.special_re is not None and self.special_re.search(text):
             parts = itertools.chain.from_iterable(
-                ((self.special[p],),) if p in self.special else self.encode_plain(p) for p in self.special_re.split(text)
+                (array("i", [self.special[p]]).tobytes(),) if p in self.special else self.encode_plain(p) for p in self.special_re.split(text)
             )
         else:
             parts = self.encode_plain(text)
-        return np.fromiter(itertools.chain.from_iterable(parts), dtype=np.int32)
+        return np.frombuffer(b"".join(parts), dtype=np.int32)
 
 
 def read_vocabulary(path: str) -> str:

@@ -55,8 +55,8 @@ def _tables() -> dict:
         "lower": lower,
         "plain": plain,
         "value": seeded(256, 1),
-        "power": _powers(base, PIECE * 2),
-        "inverse": _powers(inverse, PIECE * 2),
+        "power": _powers(base, PIECE + 65536),
+        "inverse": _powers(inverse, PIECE + 65536),
         "base": base,
         "inverse_base": inverse,
     }

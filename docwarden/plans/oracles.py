@@ -228,6 +228,10 @@ ORACLES: dict[str, str] = {
     "scan_files": _with(
         [_DOCS, _HASHED], f"SELECT regexp_extract(path, '[^/]+$') AS path, content_hash, size_bytes FROM hashed"
     ),
+    "scan_object_store": _with(
+        [_DOCS, _HASHED],
+        """SELECT repo || '/' || path AS path, content_hash, size_bytes FROM hashed WHERE path NOT LIKE '%.png' AND path NOT LIKE 'node_modules/%'""",
+    ),
     "corpus_from_table": f"""SELECT {_KEY.format("source", "doc_id || '.txt'", "'/corpus/' || source || '/' || doc_id || '.txt'")} AS doc_key, source AS repo, doc_id || '.txt' AS path,
   '/corpus/' || source || '/' || doc_id || '.txt' AS abs_path, sha256(text) AS content_hash, strlen(text) AS size_bytes FROM documents""",
     "scan_sources": _with(

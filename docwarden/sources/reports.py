@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docwarden.operators import audit as au
 from docwarden.operators.plan import plan_summary
 from docwarden.operators.rules import SEVERITY_ORDER, RuleSet
 from docwarden.scratch import materialise
+from docwarden.sources.corpus import doc_key
 
 LINE_ORDER = ("part", "repo", "path", "abs_path", "line_no")
 LAST = 99  # fixed value: sort place of unknown severities
@@ -195,3 +196,35 @@ def write_plan(items: DataFrame, found: DataFrame, rules: RuleSet, path: str, cr
     _meta(items.sparkSession, f"{path}/plan", meta)
     plan_summary(found).write.json(f"{path}/summary")
     items.write.json(f"{path}/items")
+
+
+# ---------------------------------------------------------------------------------------------
+# Reading stored reports back
+
+
+_IDENTITY_DDL = "repo string, path string, abs_path string"
+_FINDING_DDL = "rule_id string, name string, severity string, description string, effort string, fixable boolean, schema_errors array<string>, missing_fields array<string>"
+
+
+_FINDING_NAMES = [part.split()[0] for part in _FINDING_DDL.split(", ")]
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The candidates of a stored manifest."""
+    kinds = f"{_IDENTITY_DDL}, content_hash string, has_frontmatter boolean, frontmatter string, size_bytes long"
+    return spark.read.schema(kinds).json(f"{path}/candidates")
+
+
+def read_audit(spark: SparkSession, path: str) -> DataFrame:
+    """The files of a stored audit report with their findings, keyed as documents are."""
+    kinds = f"{_IDENTITY_DDL}, content_hash string, finding_count long, findings array<struct<{_FINDING_DDL.replace(' ', ':').replace(',:', ',')}>>"
+    stored = spark.read.schema(kinds).json(f"{path}/files")
+    # A file's findings are stored in rule order.
+    numbered = F.transform("findings", lambda f, i: F.struct(i.alias("rule_ord"), *(f[c].alias(c) for c in _FINDING_NAMES)))
+    return stored.withColumns({"findings": numbered, "doc_key": doc_key()})
+
+
+def read_plan(spark: SparkSession, path: str) -> DataFrame:
+    """The items of a stored plan, keyed as documents are."""
+    kinds = f"rank long, {_IDENTITY_DDL}, rule_id string, name string, severity string, effort string, fixable boolean, risk string, description string, action string"
+    return spark.read.schema(kinds).json(f"{path}/items").withColumn("doc_key", doc_key())

@@ -13,7 +13,7 @@ def sql():
     return sql_session(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query(spark, sql, name):
     assert difference(entry.queries()[name](spark, SF_DIR), sql, entry.oracle_sql()[name]) is None
 

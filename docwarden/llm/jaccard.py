@@ -27,13 +27,15 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .stored import Stored, release
-from .text_bytes import U64, distinct_shingles, row_chunks, words_of
+from .text_bytes import U64, distinct_shingles, row_chunks, seeded, words_of
 
 SHINGLE = 5
 #: Similarity, in hundredths.
 PERCENT = 80
 #: Least shingles by which likely links are found.
 KEYS = 4
+#: A least shingle of more classes than this has several classes drawn by lot to compare all others with.
+CROWDED, DRAWN = 32, 24
 #: Longs of the bitmaps of all sets, and of the further bitmaps of sets with over ``WIDE_FROM`` shingles.
 NARROW, WIDE, WIDE_FROM = 8, 64, 600
 #: Documents that the commonness of shingles is estimated on, and the share of them that makes a shingle common.
@@ -120,6 +122,36 @@ def _may_link(percent: int) -> Column:
     return sizes & near(_apart(F.col("x.bits"), F.col("y.bits"))) & wide
 
 
+def _narrow_test(s: str, t: str, percent: int) -> Column:
+    """Size and narrow bitmap tests of two structs with ``size, b0, b1 ...``."""
+    n, m = F.col(f"{s}.size"), F.col(f"{t}.size")
+    differ = sum((F.bit_count(F.col(f"{s}.b{i}").bitwiseXOR(F.col(f"{t}.b{i}"))) for i in range(NARROW)), F.lit(0))
+    sizes = 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    return sizes & ((100 + percent) * differ <= (100 - percent) * (n + m))
+
+
+def _drawn_pairs(byte: DataFrame, crowded: DataFrame, outline: DataFrame, percent: int) -> Stored:
+    """In each crowded shingle, pairs ``a, b`` of a few classes drawn by lot with all others that may link with them.
+
+    A large group of near copies, few of which need resemble any one of it, falls into one group by these links
+    with a number of comparisons in proportion to its size.  The lots: the class nearest to a fixed number.
+    """
+    rows = Stored(byte.join(crowded, "key", "left_semi"), "crowded-shingles")
+    marks = seeded(DRAWN, 13).view(np.int64).tolist()
+    nearest = [F.min(F.col("cls").bitwiseXOR(F.lit(m))).bitwiseXOR(F.lit(m)) for m in marks]
+    drawn = rows.df.groupBy("key").agg(*(n.alias(f"d{i}") for i, n in enumerate(nearest)))
+    drawn = drawn.select("key", F.explode(F.array_distinct(F.array(*(f"d{i}" for i in range(DRAWN))))).alias("cls"))
+    flat = F.struct("cls", "size", *(F.col("bits")[i].alias(f"b{i}") for i in range(NARROW)))
+    described = outline.select("cls", flat.alias("row"))
+    centres = Stored(drawn.join(described, "cls").select("key", F.col("row").alias("s")), "drawn-classes")
+    others = rows.df.join(described, "cls").select("key", F.col("row").alias("t"))
+    near = others.join(centres.df, "key").where((F.col("s.cls") != F.col("t.cls")) & _narrow_test("s", "t", percent))
+    out = Stored(near.select(F.col("s.cls").alias("a"), F.col("t.cls").alias("b")).distinct(), "drawn-pairs")
+    rows.drop()
+    centres.drop()
+    return out
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, least: DataFrame, length: int, percent: int) -> Stored:
     """Those of ``pairs(a, b)`` of classes whose sets are similar enough, by exact intersection.
 
@@ -192,10 +224,12 @@ def component_table(docs: DataFrame, length: int = SHINGLE, percent: int = PERCE
     # Likely links: each class and the least class of each of its least shingles.
     byte = classes.df.select(F.explode("keys").alias("key"), "cls")
     # Written before the join, so that Spark can split the rows of a common shingle among tasks; so below.
-    centre = Stored(byte.groupBy("key").agg(F.min("cls").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a"), "centres")
+    centre = Stored(byte.groupBy("key").agg(F.min("cls").alias("a"), F.count("*").alias("n")).where("n > 1"), "centres")
     likely = byte.join(centre.df, "key").where("a <> cls").select("a", F.col("cls").alias("b")).distinct()
     x, y = outline.df.select(F.col("cls").alias("a"), side.alias("x")), outline.df.select(F.col("cls").alias("b"), side.alias("y"))
     likely = likely.join(x, "a").join(y, "b").where(_may_link(percent)).select("a", "b")
+    drawn = _drawn_pairs(byte, centre.df.where(F.col("n") > CROWDED).select("key"), outline.df, percent)
+    likely = likely.unionByName(drawn.df).distinct()
     first_links = _verified(likely, docs, least.df, length, percent)
     first_groups = connected_components(first_links.df)
 
@@ -220,8 +254,7 @@ def component_table(docs: DataFrame, length: int = SHINGLE, percent: int = PERCE
     meet = (F.col("s.root") != F.col("l.root")) & (100 * F.col("s.size") >= percent * F.col("l.size"))
     meet &= (F.col("s.size") < F.col("l.size")) | ((F.col("s.size") == F.col("l.size")) & (F.col("s.cls") < F.col("l.cls")))
     # The bitmaps are compared inside the join, so a tile of many unlike classes makes no rows.
-    differ = sum((F.bit_count(F.col(f"s.b{i}").bitwiseXOR(F.col(f"l.b{i}"))) for i in range(NARROW)), F.lit(0))
-    meet &= (100 + percent) * differ <= (100 - percent) * (F.col("s.size") + F.col("l.size"))
+    meet &= _narrow_test("s", "l", percent)
     pairs = small.join(large, ["shingle", "band"]).where(meet).select(F.col("s.cls").alias("a"), F.col("l.cls").alias("b")).distinct()
     pairs = pairs.join(x, "a").join(y, "b").where(_may_link(percent)).select("a", "b")
     links = _verified(pairs, docs, least.df, length, percent)
@@ -235,7 +268,7 @@ def component_table(docs: DataFrame, length: int = SHINGLE, percent: int = PERCE
     by_class = Stored(named.join(component, "root").select("cls", "component"), "class-components")
     out = documents.df.join(by_class.df, "cls", "left")
     out = Stored(out.select("_doc", "size", "cls", F.coalesce("component", "_doc").alias("component")), "document-components")
-    for t in (documents, least, centre, first_links, first_groups, links, roots, by_class):
+    for t in (documents, least, centre, drawn, first_links, first_groups, links, roots, by_class):
         t.drop()
     release(spark)
     return out

@@ -348,8 +348,8 @@ def katz_scores(docs: DataFrame, train: Column, key: str = "doc_id", text: str =
     buckets = max(partitions(spark), -(-(size["n"] or 0) // bucket_keys))
 
     answers = Stored(_answers(_requests(cells.df, buckets), buckets), "count-answers")
-    release(spark)
     shared = spark.sparkContext.broadcast(tuple(_model(answers.df, size["d"] or 0)))
+    release(spark)
     by_cell = answers.df.groupBy("cell").agg(F.collect_list(F.struct("kind", "bucket", "totals", "owned")).alias("answers"))
     sums = _context_sums(cells.df.join(by_cell, "cell"), shared, buckets)
     contexts = Stored(_summed_contexts(sums, buckets), "context-answers")

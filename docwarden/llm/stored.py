@@ -35,8 +35,10 @@ class Stored:
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of frames that nothing refers to any more.
 
-    The cleaner acts when the driver collects garbage, which a driver with little to do does rarely.
+    The cleaner acts when the driver collects garbage, which a driver with little to do does rarely.  The last
+    job is remembered until another one runs, so a tiny one runs first.
     """
+    spark.range(1).collect()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

@@ -1,9 +1,9 @@
 """Toxicity by a linear classifier over character n-grams whose features are scaled by naive Bayes ratios.
 
-Features are the hashed character n-grams (two to six characters of a padded, lower-cased word) that occur in
-a text at all.  A feature's ratio is the logarithm of how much more often toxic texts have it than others.
-The features with the most significant ratios are kept, each present one counts as its ratio, and a
-logistic regression with an L2 penalty weighs them.
+Features are the hashed character n-grams (two to six bytes of a padded, lower-cased word) of a text, valued
+1 + log(occurrences).  A feature's ratio is the logarithm of how much more of it toxic texts have than others.
+The features with the most significant ratios are kept, each value is scaled by its ratio, and a logistic
+regression with an L2 penalty weighs them.
 
 The classifier is fitted on a bounded sample of labelled rows (``max_rows``), drawn by a hash of the id from all
 that may be used.
@@ -41,8 +41,8 @@ def _byte_map() -> np.ndarray:
     return out
 
 
-def gram_buckets(data: np.ndarray, row: np.ndarray, wanted: np.ndarray | None = None) -> np.ndarray:
-    """Distinct (row, bucket) pairs as ``row * BUCKETS + bucket``, sorted; row: the row of each byte.
+def gram_buckets(data: np.ndarray, row: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, bucket) pairs as ``row * BUCKETS + bucket``, sorted, and their counts; row: the row of each byte.
 
     ``wanted``, one flag per bucket, leaves out all others.
 
@@ -79,17 +79,20 @@ def gram_buckets(data: np.ndarray, row: np.ndarray, wanted: np.ndarray | None =
                         ok, bucket = ok[hit], bucket[hit]
                     parts.append(own[ok].astype(np.int64) * BUCKETS + bucket)
         if parts:
-            found.append(np.unique(np.concatenate(parts)))
-    return found[0] if len(found) == 1 else np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+            found.append(np.unique(np.concatenate(parts), return_counts=True))
+    if len(found) == 1:
+        return found[0]
+    pairs, where = np.unique(np.concatenate([np.zeros(0, np.int64), *(f[0] for f in found)]), return_inverse=True)
+    return pairs, np.bincount(where, np.concatenate([np.zeros(0), *(f[1] for f in found)]), len(pairs))
 
 
-def batch_features(column: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """``row, bucket`` of all distinct features of a column of texts, with a blank before and after each."""
+def batch_features(column: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``row, bucket, value`` of all distinct features of a column of texts, with a blank before and after each."""
     column = pa.compute.fill_null(column, "")
     column = pa.compute.binary_join_element_wise(" ", column, " ", "")
     data, bounds = text_buffer(column)
-    both = gram_buckets(data, np.repeat(np.arange(len(column), dtype=np.int32), np.diff(bounds)), wanted)
-    return both // BUCKETS, both % BUCKETS
+    both, counts = gram_buckets(data, np.repeat(np.arange(len(column), dtype=np.int32), np.diff(bounds)), wanted)
+    return both // BUCKETS, both % BUCKETS, 1 + np.log(counts)
 
 
 class ToxicityModel(NamedTuple):
@@ -108,16 +111,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     rows = materialise(sample_labelled(docs, labels, key, text, label, max_rows), "toxicity-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        toxic, other = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
+        toxic, other = np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32)
         for batch in row_chunks(batches, "_text", _PIECE):
             y = np.asarray(batch.column("_y"))
-            row, bucket = batch_features(batch.column("_text"))
-            toxic += np.bincount(bucket[y[row] > 0], minlength=BUCKETS).astype(np.int32)
-            other += np.bincount(bucket[y[row] <= 0], minlength=BUCKETS).astype(np.int32)
+            row, bucket, value = batch_features(batch.column("_text"))
+            for sums, chosen in ((toxic, y[row] > 0), (other, y[row] <= 0)):
+                sums += np.bincount(bucket[chosen], value[chosen], BUCKETS).astype(np.float32)
         at = np.flatnonzero(toxic + other)
         for k in range(0, len(at), 100_000):
             part = at[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(toxic[part].astype(np.int64)), pa.array(other[part].astype(np.int64))], names=["bucket", "p", "q"])
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(toxic[part].astype(float)), pa.array(other[part].astype(float))], names=["bucket", "p", "q"])
 
     sums = rows.groupBy(F.col("_y") > 0).count().collect()
     totals = {bool(r[0]): r["count"] for r in sums}
@@ -125,7 +128,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     base = float(np.log((n_toxic + 0.5) / (n_other + 0.5)))
     if not n_toxic or not n_other:
         return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), base)
-    counts = rows.repartition(8).mapInArrow(count, "bucket long, p long, q long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    counts = rows.repartition(8).mapInArrow(count, "bucket long, p double, q double").groupBy("bucket")
+    # Sums of whole units do not depend on the order of rows.
+    unit = lambda c: (F.sum(F.round(F.col(c) * 1000).cast("long")) / 1000).alias(c)
+    counts = counts.agg(unit("p"), unit("q")).where("p + q >= 3")
     p, q = (F.col("p") + 0.5) / (n_toxic + 1.0), (F.col("q") + 0.5) / (n_other + 1.0)
     spread = F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("q") + 0.5))
     ratio = counts.select("bucket", (F.log(p) - F.log(q)).alias("r"), (F.abs(F.log(p) - F.log(q)) / spread).alias("z"))
@@ -139,23 +145,24 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
         wanted = np.zeros(BUCKETS, dtype=bool)
         wanted[bucket] = True
         for batch in row_chunks(batches, "_text", _PIECE):
-            row, found = batch_features(batch.column("_text"), wanted)
+            row, found, value = batch_features(batch.column("_text"), wanted)
             at = np.minimum(np.searchsorted(bucket, found), len(bucket) - 1)
             hit = bucket[at] == found
             first = np.searchsorted(row[hit], np.arange(batch.num_rows + 1))
-            lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(at[hit].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([lists, batch.column("_y")], names=["x", "_y"])
+            bounds = pa.array(first.astype(np.int32))
+            lists = [pa.ListArray.from_arrays(bounds, pa.array(v)) for v in (at[hit].astype(np.int32), value[hit])]
+            yield pa.RecordBatch.from_arrays([*lists, batch.column("_y")], names=["x", "v", "_y"])
 
-    table = rows.repartition(8).mapInArrow(design, "x array<int>, _y int").toArrow().combine_chunks()
-    x = table.column("x").combine_chunks()
-    weight, bias = _logistic(np.asarray(x.flatten()), np.asarray(x.value_lengths()), np.asarray(table.column("_y")) > 0, r, base)
+    table = rows.repartition(8).mapInArrow(design, "x array<int>, v array<double>, _y int").toArrow().combine_chunks()
+    x, v = table.column("x").combine_chunks(), table.column("v").combine_chunks()
+    weight, bias = _logistic(np.asarray(x.flatten()), np.asarray(v.flatten()), np.asarray(x.value_lengths()), np.asarray(table.column("_y")) > 0, r, base)
     return ToxicityModel(bucket, weight * r, bias)
 
 
-def _logistic(at: np.ndarray, lengths: np.ndarray, y: np.ndarray, r: np.ndarray, bias: float, penalty: float = 3e-4, steps: int = 200) -> tuple[np.ndarray, float]:
+def _logistic(at: np.ndarray, value: np.ndarray, lengths: np.ndarray, y: np.ndarray, r: np.ndarray, bias: float, penalty: float = 3e-4, steps: int = 200) -> tuple[np.ndarray, float]:
     """Weights of the scaled features by gradient steps with per-weight rates (Adam)."""
     row = np.repeat(np.arange(len(lengths)), lengths)
-    value = r[at]
+    value = value * r[at]
     w = np.zeros(len(r) + 1)
     w[-1] = bias
     m, v = np.zeros_like(w), np.zeros_like(w)
@@ -183,8 +190,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", sc
         dense, wanted = np.zeros(BUCKETS, np.float64), np.zeros(BUCKETS, dtype=bool)
         dense[m.bucket], wanted[m.bucket] = m.weight, True
         for batch in row_chunks(batches, text):
-            row, bucket = batch_features(batch.column(text), wanted)
-            z = np.bincount(row, dense[bucket], batch.num_rows) + m.bias
+            row, bucket, value = batch_features(batch.column(text), wanted)
+            z = np.bincount(row, dense[bucket] * value, batch.num_rows) + m.bias
             p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*batch.schema.names, score])
 

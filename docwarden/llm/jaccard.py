@@ -140,11 +140,11 @@ def _drawn_pairs(byte: DataFrame, crowded: DataFrame, outline: DataFrame, percen
     marks = seeded(DRAWN, 13).view(np.int64).tolist()
     nearest = [F.min(F.col("cls").bitwiseXOR(F.lit(m))).bitwiseXOR(F.lit(m)) for m in marks]
     drawn = rows.df.groupBy("key").agg(*(n.alias(f"d{i}") for i, n in enumerate(nearest)))
-    drawn = drawn.select("key", F.explode(F.array_distinct(F.array(*(f"d{i}" for i in range(DRAWN))))).alias("cls"))
+    drawn = drawn.select("key", F.explode(F.array_distinct(F.array(*(f"d{i}" for i in range(DRAWN))))).alias("member"))
     flat = F.struct("cls", "size", *(F.col("bits")[i].alias(f"b{i}") for i in range(NARROW)))
-    described = outline.select("cls", flat.alias("row"))
-    centres = Stored(drawn.join(described, "cls").select("key", F.col("row").alias("s")), "drawn-classes")
-    others = rows.df.join(described, "cls").select("key", F.col("row").alias("t"))
+    described = outline.select(F.col("cls").alias("member"), flat.alias("row"))
+    centres = Stored(drawn.join(described, "member").select("key", F.col("row").alias("s")), "drawn-classes")
+    others = rows.df.withColumnRenamed("cls", "member").join(described, "member").select("key", F.col("row").alias("t"))
     near = others.join(centres.df, "key").where((F.col("s.cls") != F.col("t.cls")) & _narrow_test("s", "t", percent))
     out = Stored(near.select(F.col("s.cls").alias("a"), F.col("t.cls").alias("b")).distinct(), "drawn-pairs")
     rows.drop()

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from .text_bytes import row_chunks, worker_cache
 
 #: Words whose ids a worker keeps at most, and pairs of tokens whose test it keeps; both start anew when full.
-WORDS_KEPT, PAIRS_KEPT = 350_000, 250_000
+WORDS_KEPT, PAIRS_KEPT = 150_000, 150_000
 _END = "\u0100"  # follows the last byte of a word; bytes are the characters below it
 # The white space that the tokenizer's normaliser folds: Unicode's White_Space property.
 _SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
@@ -221,5 +221,6 @@ def bpe_encode(docs: DataFrame, vocabulary_path: str, text: str = "text", ids: s
             lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(found)))
             columns = [*batch.columns, lists] + ([decode_lists(token, lists)] if decoded else [])
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *new])
+        bpe.words.clear()  # the worker may do other work next
 
     return kept.mapInArrow(run, ", ".join(fields))

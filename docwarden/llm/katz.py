@@ -29,8 +29,8 @@ from .stored import Stored, partitions, release
 from .text_bytes import U64, mix64, row_chunks, words_of
 
 #: Bytes of text of a cell, about, and keys of a bucket, about.
-CELL = 8 << 20
-BUCKET_KEYS = 1 << 21
+CELL = 4 << 20
+BUCKET_KEYS = 1 << 20
 #: Counts above this are not discounted.
 DISCOUNTED = 5
 _END, _START = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)

@@ -1,7 +1,8 @@
 """Scores of texts under a Katz back-off bigram model learned from a part of them.
 
 P(w | v) = d(c(vw)) c(vw) / c(v) for pairs seen in training, else a(v) P(w); P(w) is a discounted unigram, and all
-words not seen in training share its freed mass.  d is the Good-Turing discount of counts up to five; a(v) makes
+words not seen in training share its freed mass.  d is the Good-Turing discount of counts up to five, from
+smoothed counts of counts; a(v) makes
 the probabilities of all words after v add up to one exactly: the mass freed after v over the unigram mass of
 words never seen after v.
 
@@ -193,21 +194,26 @@ def _answers(requests: DataFrame, buckets: int) -> DataFrame:
 def discounts(spectrum: list[int]) -> np.ndarray:
     """Factors of the counts 0 to ``DISCOUNTED`` from the numbers of keys with the counts 1, 2, 3 ...
 
-    Good-Turing estimates, scaled so that in all they free the mass of the keys seen once.  Where those are not
-    between 0 and 1 (too few keys), the factors of absolute discounting stand in: (r - D) / r, D = n1 / (n1 + 2 n2).
+    Good-Turing estimates, scaled so that in all they free the mass of the keys seen once.  The numbers are first
+    smoothed as in Simple Good-Turing, by the line through their logarithms; with n_r = C r^b the estimates are
+    r* / r = ((r + 1) / r)^(b + 1), and all factors lie between 0 and 1 for every slope b.  Only without a line (no
+    key seen once, or fewer than two different counts) the factors of absolute discounting stand in: (r - D) / r,
+    D = n1 / (n1 + 2 n2), at most 0.9.
     """
-    n = [0, *spectrum[: DISCOUNTED + 1]]
+    n = np.array(spectrum[: DISCOUNTED + 1], dtype=np.float64)
+    count = np.arange(1, DISCOUNTED + 1)
     out = np.ones(DISCOUNTED + 1)
-    ok = all(n[1:])
-    if ok:
-        rest = (DISCOUNTED + 1) * n[DISCOUNTED + 1] / n[1]
-        for r in range(1, DISCOUNTED + 1):
-            out[r] = ((r + 1) * n[r + 1] / (r * n[r]) - rest) / (1 - rest) if rest < 1 else -1
-        ok = bool(((out[1:] > 0) & (out[1:] < 1)).all())
-    if not ok:
-        d = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.0
-        d = min(d, 0.9)
-        out[1:] = [(r - d) / r for r in range(1, DISCOUNTED + 1)]
+    seen = np.flatnonzero(n) + 1
+    if len(seen) > 1 and n[0]:
+        # A count without keys spreads over the gap: each n_r over half the distance of its neighbours.
+        below, above = np.append(0, seen[:-1]), np.append(seen[1:], 2 * seen[-1] - seen[-2])
+        slope = np.polyfit(np.log(seen), np.log(2 * n[seen - 1] / (above - below)), 1)[0]
+        # x^(b + 1) - 1 over b + 1, which for b = -1 is log x.
+        power = lambda x: np.log(x) if abs(slope + 1) < 1e-9 else np.expm1((slope + 1) * np.log(x))
+        out[1:] = 1 - power((count + 1) / count) / power(DISCOUNTED + 1)
+    else:
+        d = min(n[0] / (n[0] + 2 * n[1]), 0.9) if n[0] else 0.0
+        out[1:] = (count - d) / count
     return out
 
 

@@ -101,3 +101,31 @@ def test_without_training_or_rows(spark):
 def test_packing():
     x = np.array([0, 5, -7, 1 << 60])
     assert (unpack(pack(x)) == x).all() and len(unpack(pack(x[:0]))) == 0
+
+
+def test_discounts_by_hand():
+    # n_r = C / r^2: r* / r = r / (r + 1), of which 1 / 6 is left to the count 6.
+    assert discounts([3600, 900, 400, 225, 144, 100]) == pytest.approx([1, 0.4, 0.6, 0.7, 0.76, 0.8])
+    # n_r = C / r, the limit: 1 - log((r + 1) / r) / log 6.
+    assert discounts([60, 30, 20, 15, 12, 10]) == pytest.approx([1, 0.613147, 0.773706, 0.839441, 0.875461, 0.898244], abs=1e-6)
+    # A gap: n_1 = 40 over (2 - 0) / 2, n_2 = 10 over (4 - 1) / 2, n_4 = 3 over (6 - 2) / 2; slope of logs through them.
+    slope = np.polyfit(np.log([1, 2, 4]), np.log([40, 10 / 1.5, 3 / 2]), 1)[0]
+    want = [((r + 1) / r) ** (slope + 1) - 6 ** (slope + 1) for r in range(1, 6)]
+    assert discounts([40, 10, 0, 3, 0, 0])[1:] == pytest.approx([w / (1 - 6 ** (slope + 1)) for w in want])
+
+
+# Unigrams and bigrams of the training fold at sf0.1, whose n_5 is above the line.
+@pytest.mark.parametrize("n", [[215810, 61309, 26017, 14862, 13741, 7222], [1655711, 262472, 56325, 23262, 20048, 8151]])
+def test_discounts_are_good_turing_on_uneven_counts(n):
+    d = discounts(n)
+    x, y = np.log(np.arange(1, 7)), np.log(n)
+    b = ((x - x.mean()) * (y - y.mean())).sum() / ((x - x.mean()) ** 2).sum()
+    want = [(((r + 1) / r) ** (b + 1) - 6 ** (b + 1)) / (1 - 6 ** (b + 1)) for r in range(1, 6)]
+    assert d[1:] == pytest.approx(want) and (np.diff(d[1:]) > 0).all() and (d[1:] > 0).all() and (d[1:] < 1).all()
+    absolute = n[0] / (n[0] + 2 * n[1])  # the factors before
+    assert abs(d[2:] - (1 - absolute / np.arange(2, 6))).min() > 0.05
+
+
+def test_discounts_without_a_line():
+    assert discounts([7, 0, 0, 0, 0, 0])[1:] == pytest.approx([(r - 0.9) / r for r in range(1, 6)])
+    assert (discounts([0, 4, 2, 0, 0, 0]) == 1).all() and (discounts([0] * 6) == 1).all()

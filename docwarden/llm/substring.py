@@ -7,12 +7,14 @@ form a segment.
 1. Anchors that occur at one place only cannot hold a repeated window; counting them drops most of the text.
 2. Segments with equal words are reduced to the earliest one; in the others every window is a repeat.
 3. The remaining segments go to shards by anchor.  Each shard is indexed; backward search over the wavelet tree finds
-   the windows that occur in it twice or more, and all but the earliest of each are repeats.
+   the windows that occur in it twice or more, and all but the earliest of each are repeats.  Anchors with very many
+   different segments (the surroundings of a common passage) are not indexed: their windows are segments of their own,
+   reduced to the earliest one as in step 2.
 4. Words under repeated windows are cut from the documents.
 
-A shard is the part of a task's anchors that has about ``SHARD_WORDS`` words; anchors with very many different
-segments (the surroundings of a common passage) are dealt window by window, so that no shard depends on
-one anchor's frequency.  Documents are moved once, into a table bucketed by document, and read from there.
+A shard is the part of a task's anchors that has about ``SHARD_WORDS`` words, and no shard depends on one
+anchor's or window's frequency: the earliest of equal windows is found by tasks' own minima, and the others by a join
+that streams and that Spark splits.  Documents are moved once, into a table bucketed by document, and read from there.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from .text_bytes import U64, mix64, row_chunks, runs, sliding_least, words_of
 WINDOW = 20
 GRAM = 8
 SHARD_WORDS = 300_000
-#: Different segments of an anchor beyond which its windows are dealt singly.
+#: Different segments of an anchor beyond which its windows are taken singly.
 HOT_SEGMENTS = 20_000
 
 
@@ -116,20 +118,33 @@ def _contents(table: DataFrame, length: int) -> DataFrame:
                 doc, key = batch.column("_doc")[i].as_py(), batch.column("_key")[i].as_py()
                 name = w.name[w.first[i] : w.first[i + 1]]
                 for p in pieces:
-                    if p["hot"]:
-                        own = runs(name[p["start"] : p["start"] + p["windows"] + length - 1], length)
-                        spans = [(p["start"] + k, 1, int(s)) for k, s in enumerate(own.view(np.int64))]
-                    else:
-                        spans = [(p["start"], p["windows"], p["anchor"])]
-                    for start, windows, shard in spans:
-                        out["shard"].append(shard), out["_doc"].append(doc), out["_key"].append(key), out["start"].append(start)
-                        out["words"].append(name[start : start + windows + length - 1].tobytes())
+                    start = p["start"]
+                    out["shard"].append(p["anchor"]), out["_doc"].append(doc), out["_key"].append(key), out["start"].append(start)
+                    out["words"].append(name[start : start + p["windows"] + length - 1].tobytes())
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], names=list(out))
 
     return table.mapInArrow(run, "shard long, _doc long, _key long, start int, words binary")
 
 
+def _single_windows(table: DataFrame, length: int) -> DataFrame:
+    """Each window of the segments in ``pieces``, named by a hash of its words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in row_chunks(batches, "_text"):
+            w = words_of(batch.column("_text"))
+            lists = batch.column("pieces")
+            flat = lists.flatten()
+            begin, windows = (np.asarray(flat.field(c)).astype(np.int64) for c in ("start", "windows"))
+            row = np.repeat(np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths())), windows)
+            start = np.repeat(begin - (np.cumsum(windows) - windows), windows) + np.arange(len(row))
+            doc, key = (batch.column(c).take(pa.array(row)) for c in ("_doc", "_key"))
+            name = runs(w.name, length)[w.first[row] + start]
+            yield pa.RecordBatch.from_arrays([_signed(name), doc, key, pa.array(start.astype(np.int32))], names=["window", "_doc", "_key", "start"])
+
+    return table.mapInArrow(run, "window long, _doc long, _key long, start int")
+
+
 def _index_shards(contents: DataFrame, length: int, shard_words: int) -> DataFrame:
     """``_key, start, windows``: windows of a shard that occurred earlier in it, as runs of consecutive starts."""
 
@@ -234,15 +249,25 @@ def remove_repeated_passages(
     often = Stored(firsts.df.groupBy("anchor").count(), "anchor-counts")
     compared = firsts.df.join(often.df.where("count > 1"), "anchor").withColumn("hot", F.col("count") > hot_segments)
 
-    # 3. Different segments of one anchor, searched in shards.
-    pieces = compared.select("first._key", F.struct("first.start", "windows", "anchor", "hot").alias("p"))
-    pieces = pieces.groupBy("_key").agg(F.collect_list("p").alias("pieces"))
-    with_pieces = suspects.select("_doc", "_key", "_text").join(pieces, "_key")
-    indexed = _index_shards(_contents(with_pieces, length), length, shard_words)
+    # 3. Different segments of one anchor, searched in shards; those of hot anchors window by window as in step 2.
+    def with_pieces(hot: bool) -> DataFrame:
+        pieces = compared.where(F.col("hot") == hot).select("first._key", F.struct("first.start", "windows", "anchor").alias("p"))
+        pieces = pieces.groupBy("_key").agg(F.collect_list("p").alias("pieces"))
+        return suspects.select("_doc", "_key", "_text").join(pieces, "_key")
+
+    singles = []
+    if not often.df.where(F.col("count") > max(hot_segments, 1)).isEmpty():
+        windows = Stored(_single_windows(with_pieces(True), length), "hot-windows")
+        earliest = Stored(windows.df.groupBy("window").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first-windows")
+        repeats = windows.df.join(earliest.df, "window").where(place > F.col("first"))
+        later = later.unionByName(repeats.select("_key", "start", F.lit(1).alias("windows")))
+        singles = [windows, earliest]
+    indexed = _index_shards(_contents(with_pieces(False), length), length, shard_words)
     cuts = later.unionByName(indexed).groupBy("_key").agg(F.collect_list(F.struct("start", "windows")).alias("removed_spans"))
     cuts = Stored(cuts, "cuts")
-    del later, compared, pieces, with_pieces, indexed
-    for t in (segments, firsts, often):
+    repeats = None
+    del later, compared, with_pieces, indexed
+    for t in (segments, firsts, often, *singles):
         t.drop()
     release(spark)
 

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from docwarden.llm import substring
 from docwarden.llm.fm_index import FmIndex
 from docwarden.llm.substring import remove_repeated_passages
 
@@ -63,3 +64,19 @@ def test_index_counts_every_run():
         runs = [tuple(s[i : i + 6]) for i in range(395)]
         assert found.tolist() == [i for i in range(395) if runs.count(runs[i]) > 1]
         assert len(set(zip(name.tolist(), (runs[i] for i in found)))) == len(set(name.tolist()))
+
+
+def test_a_common_passage_is_not_indexed_by_one_task(spark, monkeypatch):
+    passage = " ".join(f"p{i}" for i in range(32))
+    around = lambda i, side: " ".join(f"{side}{i}w{k}" for k in range(25))
+    rows = [(i, f"{around(i, 'a')} {passage} {around(i, 'b')}") for i in range(60)]
+    held, index = [], substring._index_shards
+
+    def watched(contents, *options):
+        held.extend(r["count"] for r in contents.groupBy("shard").count().collect())
+        return index(contents, *options)
+
+    monkeypatch.setattr(substring, "_index_shards", watched)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in result(spark, rows, hot_segments=20)}
+    assert got == brute(rows, 20) and got[0][1] == 0 and got[59][1] == 32
+    assert max(held, default=0) <= 20  # 60 before, one for each document

@@ -187,6 +187,26 @@ CHAINED_SQL["audit_from_manifest"] = (
 )
 
 
+@query
+def audit_from_manifest_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings of all entries of that manifest: of those with joined texts and of those whose texts are gone."""
+    path = scratch_path(spark, "manifest")
+    docs = rg.docs(spark, sf)
+    every = docs.where(cd.has_text_extension(F.col("path")))
+    reports.write_manifest(cd.describe(every), spark.createDataFrame([("local",)], "type string"), path, rg.STAMP)
+    there = docs.where(~F.col("path").rlike(r"\Aprompts/"))
+    audited = au.audit_docs(audit_manifest(reports.read_manifest(spark, path), there), rg.RULES)
+    return au.findings(audited).select("repo", "path", "rule_id")
+
+
+# Entries are all but the images, doc_id % 7 = 5.
+CHAINED_SQL["audit_from_manifest_findings"] = (
+    f"SELECT repo, path, rule_id FROM ({ORACLES['findings']}) f WHERE NOT starts_with(path, 'prompts/') AND NOT ends_with(path, '.png') "
+    "UNION ALL SELECT 'owner/' || source, 'prompts/doc-' || doc_id || '.md', rule_id "
+    "FROM documents, (SELECT unnest(['FM001', 'CT001', 'CT002', 'ST001']) AS rule_id) r WHERE doc_id % 7 = 0"
+)
+
+
 @query
 def migrate_applied(spark: SparkSession, sf: str) -> DataFrame:
     """Flags from outcomes, when every third destination could not be written; delete without apply is refused."""

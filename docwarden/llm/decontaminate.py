@@ -5,6 +5,9 @@ shingle with one of that length (others have similarity 0 and are skipped).  The
 ``RADIUS + 1`` blocks, each with an index of the items; two hashes that differ in at most ``RADIUS`` bits agree in a
 block, so the index returns all items within the radius.  These are compared exactly: the weighted Jaccard
 similarity of the multisets of five-word shingles, where a shingle weighs one over the number of items that have it.
+
+Items are searched in blocks of bounded size.  With several blocks the items of each shingle are counted over all of
+them, and each block and each document gets the counts above one of its own shingles, so blocks change no result.
 """
 
 from __future__ import annotations
@@ -17,11 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .passages import References, prepare, reference_blocks, seed_hits, window_starts
+from .passages import References, in_block, prepare, reference_blocks, reference_rows, seed_hits, window_starts
+from .stored import Stored
 from .text_bytes import U64, row_chunks, runs, words_of
 
 RADIUS = 12
 SIMILAR = 0.8
+#: Counts of shingles that are sent to all tasks at once, about.
+COUNTS = 2_000_000
 
 
 def simhash(sums: np.ndarray, words: np.ndarray | int) -> np.ndarray:
@@ -66,31 +72,35 @@ class MultiIndex:
 
 
 class Items:
-    def __init__(self, refs: References, radius: int):
+    def __init__(self, refs: References, radius: int, common: tuple[np.ndarray, np.ndarray] | None = None):
+        """``common``: sorted shingles of several items and their counts, where these are not all the items."""
         self.refs = refs
         self.length = np.array([len(w) for w in refs.words], dtype=np.int64)
         self.index = MultiIndex(np.concatenate([simhash(_bits(w).sum(axis=0, dtype=np.int64)[None], len(w)) for w in refs.words]), radius)
-        every, items = np.unique(np.concatenate([np.unique(s) for s in refs.shingles]), return_counts=True)
+        every, items = common or np.unique(np.concatenate([np.unique(s) for s in refs.shingles]), return_counts=True)
         self.shingle, self.weight = every, 1 / items
         self.counts = [np.unique(s, return_counts=True) for s in refs.shingles]
         self.total = [float((self.weights(s) * n).sum()) for s, n in self.counts]
 
-    def weights(self, shingles: np.ndarray) -> np.ndarray:
-        """Of shingles; those of no item weigh one."""
-        at = np.minimum(np.searchsorted(self.shingle, shingles), len(self.shingle) - 1)
-        return np.where(self.shingle[at] == shingles, self.weight[at], 1.0)
+    def weights(self, shingles: np.ndarray, known: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """Of shingles, by ``known`` names and weights or the items' own; those of no item weigh one."""
+        name, weight = known or (self.shingle, self.weight)
+        if not len(name):
+            return np.ones(len(shingles))
+        at = np.minimum(np.searchsorted(name, shingles), len(name) - 1)
+        return np.where(name[at] == shingles, weight[at], 1.0)
 
-    def similarity(self, item: int, window: np.ndarray) -> float:
+    def similarity(self, item: int, window: np.ndarray, known: tuple[np.ndarray, np.ndarray] | None = None) -> float:
         """Weighted Jaccard similarity of an item and a window's shingles."""
         mine, n = self.counts[item]
         theirs, m = np.unique(window, return_counts=True)
         both, i, j = np.intersect1d(mine, theirs, assume_unique=True, return_indices=True)
         shared = float((self.weights(both) * np.minimum(n[i], m[j])).sum())
-        whole = self.total[item] + float((self.weights(theirs) * m).sum()) - shared
+        whole = self.total[item] + float((self.weights(theirs, known) * m).sum()) - shared
         return shared / whole if whole else 0.0
 
 
-def _leaks_of(items: Items, name: np.ndarray, hits: dict[int, tuple[np.ndarray, np.ndarray]], least: float) -> list[dict]:
+def _leaks_of(items: Items, name: np.ndarray, hits: dict[int, tuple[np.ndarray, np.ndarray]], least: float, known: tuple[np.ndarray, np.ndarray] | None = None) -> list[dict]:
     """The best window of each item that the words hold; hits: places and seeds by width of shingles."""
     best: dict[int, tuple[float, int, int]] = {}
     sums = None
@@ -112,12 +122,65 @@ def _leaks_of(items: Items, name: np.ndarray, hits: dict[int, tuple[np.ndarray,
                 fits = items.length[item] == size
                 for q, i in zip(query[fits].tolist(), item[fits].tolist()):
                     start = int(part[q])
-                    s = items.similarity(i, shingles[start : start + have - width + 1])
+                    s = items.similarity(i, shingles[start : start + have - width + 1], known)
                     if s >= least - 1e-12 and (i not in best or (-s, start) < (-best[i][0], best[i][1])):
                         best[i] = (s, start, have)
     return [{"item": items.refs.ids[i], "similarity": s, "start": start, "words": n} for i, (s, start, n) in sorted(best.items())]
 
 
+def _counted(rows: DataFrame) -> DataFrame:
+    """``shingle, width`` once for each item of ``rows(t)`` that has it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in row_chunks(batches, "t"):
+            refs = prepare(list(range(batch.num_rows)), batch.column("t").to_pylist(), plain=False)
+            each = [np.unique(s) for s in refs.shingles]
+            found = np.concatenate([np.zeros(0, U64), *each])
+            width = np.repeat(refs.width, np.array([len(e) for e in each], dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(width.astype(np.int32))], names=["shingle", "width"])
+
+    return rows.select("t").mapInArrow(run, "shingle long, width int")
+
+
+def _sorted_counts(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    t = counts.select("shingle", "n", "width").toArrow()
+    name, n, width = (t.column(c).to_numpy() for c in t.column_names)
+    name = name.astype(np.int64).view(U64)
+    order = np.argsort(name)
+    return name[order], n[order], width[order]
+
+
+def _with_counts(docs: DataFrame, counts: Stored, text: str, fields: str) -> tuple[DataFrame, list[str]]:
+    """Documents with columns of those of their shingles that several items have, and of these items' numbers."""
+    parts, names = max(1, -(-counts.df.count() // COUNTS)), []
+    for k in range(parts):
+        shared = docs.sparkSession.sparkContext.broadcast(_sorted_counts(counts.df.where(F.pmod("shingle", F.lit(parts)) == k)))
+        name = f"_counts{k}"
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
+            common, n, widths = shared.value
+            for batch in row_chunks(batches, text):
+                w = words_of(batch.column(text), lower=True)
+                lists: list[list[int]] = []
+                for a, b in zip(w.first[:-1], w.first[1:]):
+                    own = [runs(w.name[a:b], int(width)) for width in np.unique(widths) if b - a >= width]
+                    at = np.flatnonzero(np.isin(common, np.concatenate([np.zeros(0, U64), *own])))
+                    lists.append(np.stack([common[at].view(np.int64), n[at]]).ravel().tolist())
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int64()))], names=[*batch.schema.names, name])
+
+        fields += f", `{name}` array<long>"
+        docs = docs.mapInArrow(run, fields)
+        names.append(name)
+    return docs, names
+
+
+def _known(batch: pa.RecordBatch, names: list[str], row: int) -> tuple[np.ndarray, np.ndarray]:
+    parts = [np.array(batch.column(c)[row].as_py(), dtype=np.int64).reshape(2, -1) for c in names]
+    name, n = np.concatenate(parts, axis=1)
+    order = np.argsort(name.view(U64))
+    return name.view(U64)[order], 1 / n[order]
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, item_key: str = "item_id", item_text: str = "text", text: str = "text", leaks: str = "leaks", radius: int = RADIUS, least: float = SIMILAR) -> DataFrame:
     """Add ``leaks``, one entry per item found: ``item, similarity, start, words`` of its most similar window.
 
@@ -133,16 +196,27 @@ def find_leaks(docs: DataFrame, items: DataFrame, item_key: str = "item_id", ite
     columns = list(out.columns)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
     found = []
+    rows, blocks = reference_rows(items, item_key, item_text)
+    counts, known = None, []
+    if blocks > 1:
+        common = _counted(rows).groupBy("shingle").agg(F.count("*").alias("n"), F.max("width").alias("width")).where("n > 1")
+        counts = Stored(common, "item-counts")
+        out, known = _with_counts(out, counts, text, fields)
+        fields += "".join(f", `{c}` array<long>" for c in known)
     for n, (ids, texts) in enumerate(reference_blocks(items, item_key, item_text)):
         shared = spark.sparkContext.broadcast((ids, texts))
+        own = None
+        if counts is not None:
+            names = _counted(rows.where(in_block(n, blocks))).select("shingle").distinct()
+            own = spark.sparkContext.broadcast(_sorted_counts(counts.df.join(names, "shingle", "left_semi"))[:2])
         name = f"_leaks{n}"
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name, own=own) -> Iterator[pa.RecordBatch]:
             made = None
             for batch in row_chunks(batches, text):
                 if made is None:
                     refs = prepare(*shared.value, plain=False)
-                    made = (Items(refs, radius) if refs.ids else None,)
+                    made = (Items(refs, radius, own and own.value) if refs.ids else None,)
                 lists = [[] for _ in range(batch.num_rows)]
                 if made[0] is not None:
                     w = words_of(batch.column(text), lower=True)
@@ -156,7 +230,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, item_key: str = "item_id", ite
                             own = row[place] == i
                             by_row.setdefault(int(i), {})[width] = (place[own] - w.first[i], seed[own])
                     for i, hits in by_row.items():
-                        lists[i] = _leaks_of(made[0], w.name[w.first[i] : w.first[i + 1]], hits, least)
+                        lists[i] = _leaks_of(made[0], w.name[w.first[i] : w.first[i + 1]], hits, least, _known(batch, known, i) if known else None)
                 spec = pa.list_(pa.struct([("item", item_arrow), ("similarity", pa.float64()), ("start", pa.int32()), ("words", pa.int32())]))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, spec)], names=[*batch.schema.names, name])
 

@@ -7,7 +7,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text_bytes import U64, runs, words_of
@@ -25,16 +25,25 @@ class References(NamedTuple):
     seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # by width: sorted names, offsets, lengths; filter
 
 
+def reference_rows(table: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
+    """Rows ``k, t`` of the reference table that have a text, and the number of their blocks."""
+    rows = table.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"))
+    size = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("t")).alias("b")).first()
+    return rows, max(1, -(-size["n"] // BLOCK_TEXTS), -(-(size["b"] or 0) // BLOCK_BYTES))
+
+
+def in_block(i: int, blocks: int) -> Column:
+    return F.pmod(F.xxhash64("k", "t"), F.lit(blocks)) == i
+
+
 def reference_blocks(table: DataFrame, key: str, text: str) -> Iterator[tuple[list, list[str]]]:
     """Ids and texts of the reference table in blocks of bounded size, together all of its rows with a text.
 
     The table is a stated set of queries; all documents meet every block.
     """
-    rows = table.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"))
-    size = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("t")).alias("b")).first()
-    blocks = max(1, -(-size["n"] // BLOCK_TEXTS), -(-(size["b"] or 0) // BLOCK_BYTES))
+    rows, blocks = reference_rows(table, key, text)
     for i in range(blocks):
-        found = rows.where(F.pmod(F.xxhash64("k", "t"), F.lit(blocks)) == i).orderBy("k", "t").collect()
+        found = rows.where(in_block(i, blocks)).orderBy("k", "t").collect()
         yield [r["k"] for r in found], [r["t"] for r in found]
 
 

@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from docwarden.llm import passages
 from docwarden.llm.decontaminate import MultiIndex, find_leaks
 from docwarden.llm.licenses import TEMPLATES, bands_for, scan_licenses, window_shape
 
@@ -139,3 +140,18 @@ def test_bands():
         bands, rows = bands_for(words, 5, 0.8, 1e-4)
         size, step = window_shape(words)
         assert size >= words + step - 1 and bands >= 1 and rows in (1, 2)
+
+
+def test_leaks_do_not_depend_on_blocks(spark, monkeypatch):
+    rng = random.Random(15)
+    text_of = lambda n: [f"y{rng.randrange(500)}" for _ in range(n)]
+    frame = text_of(30)  # shared by the items, so their own words weigh more
+    items = [(i, " ".join(frame + text_of(12))) for i in range(12)] + [(20, "zz"), (21, "zz")]
+    docs = [(i, " ".join([*text_of(5), *t.split()[:-1], "other", *text_of(5)])) for i, t in items[:12]] + [(30, None), (31, "zz"), (32, " ".join(frame))]
+    given = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(passages, "BLOCK_TEXTS", 4)
+    got = find_leaks(*given, radius=30).collect()
+    assert given[0].columns + ["leaks"] == list(got[0].asDict())
+    for r in got:
+        assert {x["item"]: round(x["similarity"], 9) for x in r["leaks"]} == {k: round(s, 9) for k, (s, _) in brute_leaks(r["text"], items).items()}
+    assert sum(len(r["leaks"]) for r in got) > 10

@@ -122,6 +122,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .clusters import ADDED, cluster_vectors
+
+    return cluster_vectors(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).where("cluster IS NOT NULL").select("vec_id", *ADDED)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_decontamination": op2_decontamination,
@@ -133,12 +139,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_katz": op9_katz,
     "op10_sharding": op10_sharding,
+    "op11_centroids": op11_centroids,
 }
 _WORDS = r"[x for x in regexp_split_to_array({text}, '[\x20\x09-\x0D]+') if x <> '']"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _centroids_sql(rounds: int = 3, k: int = 16, dim: int = 64) -> str:
+    """Assignments and means of all rounds, one after the other, over every vector and centroid."""
+    usable = f"len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dim}"
+    steps = [
+        f"v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings WHERE {usable})",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), q) - 1 AS c, q FROM v QUALIFY row_number() OVER (ORDER BY sha256('1:' || vec_id), q) <= {k})",
+    ]
+    for i in range(rounds + 1):
+        away = "list_sum(list_transform(list_zip(v.q, c.q), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+        steps.append(f"a{i} AS MATERIALIZED (SELECT r, any_value(vec_id) AS vec_id, any_value(v.q) AS q, min(struct_pack(d := CAST({away} AS BIGINT), c := c.c)) AS b FROM v, c{i} c GROUP BY r)")
+        if i < rounds:
+            parts = f"SELECT b.c AS c, j, sum(q[j]) AS s, count(*) AS n FROM a{i}, (SELECT unnest(range(1, {dim + 1})) AS j) js GROUP BY ALL"
+            mean = f"SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS q FROM ({parts}) x GROUP BY c"
+            steps.append(f"c{i + 1} AS MATERIALIZED (SELECT c.c, coalesce(m.q, c.q) AS q FROM c{i} c LEFT JOIN ({mean}) m ON m.c = c.c)")
+    last = f"a{rounds}"
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, CAST(b.c AS INTEGER) AS cluster, b.d AS distance, CAST(sum(b.d) OVER (PARTITION BY b.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(b.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c{rounds}.q, ',')) AS centroid_sha256
+FROM {last} JOIN c{rounds} ON c{rounds}.c = b.c"""
+
+
 # The other queries hold a fitted model, a tokenizer or random numbers; tests/llm compares them with brute force.
 ORACLES: dict[str, str] = {
+    "op11_centroids": _centroids_sql(),
     "op4_substring": f"""WITH w AS (SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS ws FROM documents),
 runs AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20) x),
 later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS rn FROM runs) x WHERE rn > 1),

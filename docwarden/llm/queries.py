@@ -128,6 +128,12 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_vectors(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).where("cluster IS NOT NULL").select("vec_id", *ADDED)
 
 
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_vectors import ADDED, near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")).select("vec_id", *ADDED)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_decontamination": op2_decontamination,
@@ -140,6 +146,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_katz": op9_katz,
     "op10_sharding": op10_sharding,
     "op11_centroids": op11_centroids,
+    "op13_near_vectors": op13_near_vectors,
 }
 _WORDS = r"[x for x in regexp_split_to_array({text}, '[\x20\x09-\x0D]+') if x <> '']"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -170,6 +177,12 @@ FROM {last} JOIN c{rounds} ON c{rounds}.c = b.c"""
 # The other queries hold a fitted model, a tokenizer or random numbers; tests/llm compares them with brute force.
 ORACLES: dict[str, str] = {
     "op11_centroids": _centroids_sql(),
+    "op13_near_vectors": """WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+u AS (SELECT *, sqrt(list_dot_product(e, e)) AS l FROM v WHERE label IS NOT NULL AND len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) = len(e) AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.r AS x, b.r AS y FROM u a JOIN u b ON a.label = b.label AND len(a.e) = len(b.e) AND a.r <> b.r WHERE list_dot_product(a.e, b.e) / (a.l * b.l) >= 0.93),
+reach(r, c) AS (SELECT r, r FROM v UNION SELECT links.y, reach.c FROM reach JOIN links ON links.x = reach.r),
+least AS (SELECT reach.r, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.c GROUP BY reach.r)
+SELECT v.vec_id, (SELECT count(*) FROM links WHERE links.x = v.r) AS n_links, component_id, v.vec_id = component_id AS kept FROM v JOIN least USING (r)""",
     "op4_substring": f"""WITH w AS (SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS ws FROM documents),
 runs AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20) x),
 later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS rn FROM runs) x WHERE rn > 1),

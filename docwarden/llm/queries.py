@@ -128,6 +128,12 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_vectors(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).where("cluster IS NOT NULL").select("vec_id", *ADDED)
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import phrase_collocations
+
+    return phrase_collocations(_table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_vectors import ADDED, near_vectors
 
@@ -146,6 +152,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_katz": op9_katz,
     "op10_sharding": op10_sharding,
     "op11_centroids": op11_centroids,
+    "op12_phrases": op12_phrases,
     "op13_near_vectors": op13_near_vectors,
 }
 _WORDS = r"[x for x in regexp_split_to_array({text}, '[\x20\x09-\x0D]+') if x <> '']"
@@ -177,6 +184,18 @@ FROM {last} JOIN c{rounds} ON c{rounds}.c = b.c"""
 # The other queries hold a fitted model, a tokenizer or random numbers; tests/llm compares them with brute force.
 ORACLES: dict[str, str] = {
     "op11_centroids": _centroids_sql(),
+    "op12_phrases": rf"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, [x for x in regexp_split_to_array(piece, '[\x20\x09]+') if x <> ''] AS ws FROM p),
+g AS (SELECT lang, d, array_to_string(ws[i:i + d - 1], ' ') AS s FROM (SELECT lang, ws, d, unnest(range(1, len(ws) - d + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS d) ds) x),
+f AS MATERIALIZED (SELECT lang, d, s, count(*) AS a, string_split(s, ' ') AS ws FROM g GROUP BY lang, d, s HAVING count(*) >= 100),
+n AS (SELECT lang, count(*) AS n FROM g WHERE d = 1 GROUP BY lang),
+whole AS (SELECT c.* FROM f c WHERE d >= 2 AND NOT EXISTS (SELECT 1 FROM f g WHERE g.lang = c.lang AND g.d > c.d AND g.a = c.a AND contains(' ' || g.s || ' ', ' ' || c.s || ' '))),
+cuts AS (SELECT lang, s, d, a, unnest(range(1, d)) AS k, ws FROM whole),
+scored AS (SELECT c.lang, c.s, c.a, k, l.a AS l, r.a AS r, n.n, (1000::HUGEINT * c.a * n.n) // (l.a::HUGEINT * r.a) AS score FROM cuts c
+  JOIN f l ON l.lang = c.lang AND l.s = array_to_string(c.ws[1:k], ' ') JOIN f r ON r.lang = c.lang AND r.s = array_to_string(c.ws[k + 1:], ' ') JOIN n ON n.lang = c.lang),
+least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, s ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, s) AS rank, s AS phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM least
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, s) <= 2000""",
     "op13_near_vectors": """WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
 u AS (SELECT *, sqrt(list_dot_product(e, e)) AS l FROM v WHERE label IS NOT NULL AND len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) = len(e) AND len(list_filter(e, lambda x: x <> 0)) > 0),
 links AS (SELECT a.r AS x, b.r AS y FROM u a JOIN u b ON a.label = b.label AND len(a.e) = len(b.e) AND a.r <> b.r WHERE list_dot_product(a.e, b.e) / (a.l * b.l) >= 0.93),

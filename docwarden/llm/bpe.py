@@ -9,6 +9,7 @@ one of the merges that made them.  Back-pointers then give the ids.  No merge is
 
 from __future__ import annotations
 
+import functools
 import itertools
 import json
 import unicodedata
@@ -28,6 +29,11 @@ _END = "\u0100"  # follows the last byte of a word; bytes are the characters bel
 # The white space that the tokenizer's normaliser folds: Unicode's White_Space property.
 _SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 _CONTROL = regex.compile(r"[\x1c-\x1f]")  # str.split() takes these for white space too
+# The parts of a vocabulary file that this model follows; anything else in a file is refused.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+PIECES = {"behavior": "Removed", "invert": True}
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
 
 
 def byte_letters() -> dict[str, int]:
@@ -37,6 +43,57 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def check(d: dict) -> None:
+    """Stop on a vocabulary file whose texts are prepared, split or decoded in another way than here."""
+    model, splits = d["model"], d["pre_tokenizer"] or {}
+    steps = splits.get("pretokenizers", [])
+    found = {
+        "normalizer": (d["normalizer"] or {}).get("normalizers") == NORMALIZER,
+        "pre_tokenizer": len(steps) == 2 and steps[0]["type"] == "Split" and PIECES.items() <= steps[0].items() and "Regex" in steps[0]["pattern"] and steps[1] == BYTES,
+        "model": all(model.get(k) == v for k, v in MODEL.items()) and bool(model.get("end_of_word_suffix")),
+        "decoder": d["decoder"] is None,
+        "added_tokens": not any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in d["added_tokens"]),
+    }
+    if not all(found.values()):
+        raise ValueError("this vocabulary file needs another " + ", ".join(k for k, v in found.items() if not v))
+
+
+@functools.cache
+def _library():
+    """The library's normaliser, and its letters and numbers, for characters that Python's Unicode does not assign."""
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    steps = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+    return steps.normalize_str, *(pre_tokenizers.Split(Regex(c), "isolated") for c in (r"\p{L}", r"\p{N}"))
+
+
+def unassigned(c: str) -> bool:
+    return unicodedata.category(c) == "Cn"
+
+
+@functools.lru_cache(1 << 16)
+def stand_in(c: str) -> str:
+    """A character that the splitting pattern takes as the library takes ``c``.
+
+    Python, ``regex`` and the library know different versions of Unicode.  They agree on characters that the
+    oldest, Python's, assigns; the others get the class that the library gives them.
+    """
+    if not unassigned(c):
+        return c
+    _, letter, number = _library()
+    whole = f"-{c}-"
+    return "a" if len(letter.pre_tokenize_str(whole)) > 1 else "0" if len(number.pre_tokenize_str(whole)) > 1 else "\ue000"
+
+
+def normal(chunk: str) -> str:
+    """NFC and lower case, character by character."""
+    if chunk.isascii():
+        return chunk.lower()
+    if any(map(unassigned, chunk)):
+        return _library()[0](chunk)
+    return "".join([c.lower() for c in unicodedata.normalize("NFC", chunk)])
+
+
 class _Words(dict):
     """Ids by run of characters, computed when first asked for."""
 
@@ -55,6 +112,7 @@ class WordBpe:
         import ahocorasick
 
         d = json.loads(spec)
+        check(d)
         model = d["model"]
         suffix = model["end_of_word_suffix"]
         vocab: dict[str, int] = model["vocab"]
@@ -77,6 +135,7 @@ class WordBpe:
             self.merged[vocab[a], vocab[b]] = made
         self.pairs: dict[tuple[int, int], bool] = {}
         self.words = _Words(self.encode_chunk)
+        self.pieces: dict[str, bytes] = {}
         automaton = ahocorasick.Automaton()
         for text, i in vocab.items():
             ends = text.endswith(suffix)
@@ -141,7 +200,7 @@ class WordBpe:
         """Ids of a run of characters without white space that is not in the store."""
         words = self.words
         plain = chunk.isascii()
-        text = chunk.lower() if plain else "".join([c.lower() for c in unicodedata.normalize("NFC", chunk)])
+        text = normal(chunk)
         if text.isalpha() and (plain or text == chunk):  # one piece
             if text != chunk:
                 return words[text]
@@ -152,16 +211,18 @@ class WordBpe:
                 words[text] = found
             return found
         out = []
-        for piece in self.split.findall(text):
+        for found in self.split.finditer(text if text.isascii() else "".join(map(stand_in, text))):
+            piece = text[found.start() : found.end()]
             if piece.isascii() and piece.isalpha():
                 out.append(words[piece])
                 continue
-            name = "\0" + piece
-            ids = words.get(name)
+            ids = self.pieces.get(piece)
             if ids is None:
                 ids = self.encode_word(piece)
+                if len(self.pieces) >= WORDS_KEPT:
+                    self.pieces.clear()
                 if len(piece) <= 64:
-                    words[name] = ids
+                    self.pieces[piece] = ids
             out.append(ids)
         return b"".join(out)
 
@@ -202,7 +263,7 @@ def bpe_encode(docs: DataFrame, vocabulary_path: str, text: str = "text", ids: s
     """Add the token ids of ``text`` and, unless ``decoded`` is None, the text decoded from them.
 
     The file is one of the ``tokenizers`` library with a BPE model with word ends; ids are those of its
-    ``encode(text, add_special_tokens=False)``.  Null and empty texts have no ids and decode to an empty
+    ``encode(text, add_special_tokens=False)``.  A file with another normaliser, pattern or decoder is refused.  Null and empty texts have no ids and decode to an empty
     text.  Rows, also equal ones, are kept one to one with all other columns; columns that have the name
     of a new one are replaced.  A text of any length is encoded whole; a worker holds one text, its ids and
     a bounded store of words.
@@ -221,6 +282,6 @@ def bpe_encode(docs: DataFrame, vocabulary_path: str, text: str = "text", ids: s
             lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(found)))
             columns = [*batch.columns, lists] + ([decode_lists(token, lists)] if decoded else [])
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *new])
-        bpe.words.clear()  # the worker may do other work next
+        bpe.words.clear(), bpe.pieces.clear()  # the worker may do other work next
 
     return kept.mapInArrow(run, ", ".join(fields))

@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 
 from .stored import Stored, release
 from .text_bytes import U64, mix64, row_chunks, text_buffer, words_of, worker_cache
-from .transducers import Transducer, compose, union
+from .transducers import Transducer, compose, from_places, union
 
 LONGEST, FREQUENT, BEST = 5, 100, 2000
 #: Words of a shard, words of a range, and frequent phrases of a range.
-SHARD, RANGE, RANGE_PHRASES = 1 << 20, 3 << 19, 1 << 18
+SHARD, RANGE, RANGE_PHRASES = 1 << 19, 3 << 19, 1 << 18
 #: Bits of the filter of frequent words.
 FILTER_BITS = 1 << 25
 #: Documents per range whose windows the borders are taken from, and borders' windows per range.
@@ -96,17 +96,23 @@ def _stream(held: list[pa.RecordBatch]) -> Stream:
     return Stream(column, whole.column("lang").to_pylist())
 
 
-def range_key(path: np.ndarray, fill: int = 0) -> np.ndarray:
+def range_key(path: np.ndarray, fill: int = 0, names: np.ndarray | None = None) -> np.ndarray:
     """A number by which windows (language and up to five names) are dealt; equal prefixes give equal leading bits.
 
-    Missing names count as the least digits, or with ``fill`` as the greatest.
+    Missing names count as the least digits, or with ``fill`` as the greatest.  With ``names`` paths hold places in it.
     """
     out = np.zeros(len(path), dtype=U64)
+
+    def column(i: int) -> np.ndarray:
+        if i >= path.shape[1]:
+            return np.zeros(len(path), U64)
+        return path[:, i] if names is None else names[path[:, i]]
+
     with np.errstate(over="ignore"):
         for i, bits in enumerate(_DIGITS):
-            name = path[:, i + 1] if i + 1 < path.shape[1] else np.zeros(len(path), U64)
-            mixed = mix64(name + (path[:, 0] * U64(0xA24BAED4963EE407) if i == 0 else U64(i))) >> U64(64 - bits)
-            mixed = np.where(name > 0, mixed, U64((1 << bits) - 1 if fill else 0))
+            name = column(i + 1)
+            mixed = mix64(name + (column(0) * U64(0xA24BAED4963EE407) if i == 0 else U64(i))) >> U64(64 - bits)
+            mixed[name == 0] = U64((1 << bits) - 1 if fill else 0)
             out = (out << U64(bits)) | mixed
     return out
 
@@ -116,24 +122,34 @@ def _filter_bit(lang: np.ndarray, name: np.ndarray) -> np.ndarray:
         return (mix64(name + lang * U64(0xD1342543DE82EF95)) % U64(FILTER_BITS)).astype(np.int64)
 
 
-def windows(s: Stream, allowed: np.ndarray, longest: int = LONGEST) -> Iterator[np.ndarray]:
-    """Rows of language and the next words up to the end of the piece, for every allowed word; a shard at a time."""
-    lang = s.lang_names()[s.lang] if len(s.lang) else np.zeros(0, U64)
-    bit = _filter_bit(lang, s.name)
+def windows(s: Stream, allowed: np.ndarray, longest: int = LONGEST) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Language and the next words up to the end of the piece, for every allowed word, a shard at a time.
+
+    Gives the sorted names of the shard, 0 first, and rows of places in them.
+    """
+    if not len(s.name):
+        return
+    langs = s.lang_names()
+    bit = _filter_bit(langs[s.lang], s.name)
     good = (allowed[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
+    del bit
     ends = s.ends.copy()
     ends[:-1] |= ~good[1:]
     stop = np.flatnonzero(ends)
     start = np.flatnonzero(good)
-    left = stop[np.searchsorted(stop, start)] - start + 1 if len(start) else start
+    left = np.minimum(stop[np.searchsorted(stop, start)] - start + 1, longest)
     for at in range(0, len(start), SHARD):
         i, n = start[at : at + SHARD], left[at : at + SHARD]
-        path = np.zeros((len(i), longest + 1), dtype=U64)
-        path[:, 0] = lang[i]
+        a, b = int(i[0]), int(i[-1] + n[-1])
+        names, place = np.unique(np.concatenate([np.zeros(1, U64), langs, s.name[a:b]]), return_inverse=True)
+        place = place.astype(np.int32)
+        word, lang = place[1 + len(langs) :], place[1 : 1 + len(langs)]
+        path = np.zeros((len(i), longest + 1), dtype=np.int32)
+        path[:, 0] = lang[s.lang[i]]
         for d in range(longest):
             has = n > d
-            path[has, d + 1] = s.name[i[has] + d]
-        yield path
+            path[has, d + 1] = word[i[has] + (d - a)]
+        yield names, path
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -191,8 +207,8 @@ def _borders(docs: DataFrame, allowed, ranges: int, rows: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in _streams(batches):
-            for path in windows(s, allowed.value):
-                key = np.unique(range_key(path))
+            for names, path in windows(s, allowed.value):
+                key = np.unique(range_key(path, 0, names))
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["key"])
 
     some = docs.where(F.pmod(F.xxhash64(F.lit(12), "t"), F.lit(1 << 31)) < int(share * (1 << 31)))
@@ -209,9 +225,9 @@ def _slices(docs: DataFrame, allowed, borders) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in _streams(batches):
-            for path in windows(s, allowed.value):
-                t = Transducer.of(path)
-                part = np.searchsorted(borders.value, range_key(t.names[t.path]), side="right")
+            for names, path in windows(s, allowed.value):
+                t = from_places(names, path)
+                part = np.searchsorted(borders.value, range_key(t.path, 0, t.names), side="right")
                 order = np.argsort(part, kind="stable")  # sorted paths stay sorted within a range
                 one, at = np.unique(part[order], return_index=True)
                 out = []

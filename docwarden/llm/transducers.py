@@ -27,7 +27,7 @@ class Transducer(NamedTuple):
     def of(path: np.ndarray, weight: np.ndarray | None = None) -> Transducer:
         """From names in any order; equal paths are added up."""
         names, place = np.unique(np.append(path.ravel(), U64(0)), return_inverse=True)
-        return _sorted(names, place[:-1].reshape(path.shape).astype(np.int32), weight)
+        return from_places(names, place[:-1].reshape(path.shape).astype(np.int32), weight)
 
     def shared(self) -> np.ndarray:
         """Names that each path has in common with the one before."""
@@ -79,7 +79,8 @@ class Transducer(NamedTuple):
         return Transducer(np.concatenate([np.zeros(1, U64), names]), path, weight)
 
 
-def _sorted(names: np.ndarray, path: np.ndarray, weight: np.ndarray | None) -> Transducer:
+def from_places(names: np.ndarray, path: np.ndarray, weight: np.ndarray | None = None) -> Transducer:
+    """From rows of places in the sorted ``names``, in any order; equal ones are added up."""
     bits = max(1, int(len(names)).bit_length())
     each = 63 // bits
     keys = []
@@ -102,7 +103,7 @@ def union(parts: list[Transducer]) -> Transducer:
     """All paths of the parts, with the sums of their weights."""
     names = np.unique(np.concatenate([p.names for p in parts]))
     paths = [np.searchsorted(names, p.names).astype(np.int32)[p.path] for p in parts]
-    return _sorted(names, np.concatenate(paths), np.concatenate([p.weight for p in parts]))
+    return from_places(names, np.concatenate(paths), np.concatenate([p.weight for p in parts]))
 
 
 def compose(t: Transducer, depth_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -161,10 +161,10 @@ def test_windows_stop_at_pieces_and_rare_words(monkeypatch):
     every = np.full(ph.FILTER_BITS // 8, 255, dtype=np.uint8)
     monkeypatch.setattr(ph, "SHARD", 4)
     text = dict(zip(s.name.tolist(), "abcdefghijkl"))
-    got = ["".join(text[x] for x in p[1:] if x) for w in windows(s, every) for p in w.tolist()]
+    got = ["".join(text[x] for x in p[1:] if x) for n, w in windows(s, every) for p in n[w].tolist()]
     assert got == ["ab", "b", "cd", "d", "efghi", "fghij", "ghij", "hij", "ij", "j", "k", "l"]
     rare = every.copy()
     bit = int(ph._filter_bit(s.lang_names()[s.lang], s.name)["abcdefghijkl".index("g")])
     rare[bit >> 3] &= ~np.uint8(1 << (bit & 7))
-    got = ["".join(text[x] for x in p[1:] if x) for w in windows(s, rare) for p in w.tolist()]
+    got = ["".join(text[x] for x in p[1:] if x) for n, w in windows(s, rare) for p in n[w].tolist()]
     assert got == ["ab", "b", "cd", "d", "ef", "f", "hij", "ij", "j", "k", "l"]

@@ -289,17 +289,23 @@ def _context_sums(joined: DataFrame, shared, buckets: int) -> DataFrame:
 
 
 def _summed_contexts(sums: DataFrame, buckets: int) -> DataFrame:
+    """Per cell: one number for each of its contexts, the mass freed over the unigram mass of words not seen after it.
+
+    A context whose pairs free nothing gets minus one over that unigram mass.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _grouped(batches, ("bucket",)):
             sent = [_unpack_sorted(r["sent"]) for r in group]
             keys, where = np.unique(np.concatenate(sent), return_inverse=True)
-            both = [np.bincount(where, np.concatenate([unpack(r[c], np.float64) for r in group]), len(keys)) for c in ("mass", "below")]
+            mass, below = (np.bincount(where, np.concatenate([unpack(r[c], np.float64) for r in group]), len(keys)) for c in ("mass", "below"))
+            back = np.where(mass > 1 - 1e-9, -1.0, 1 - mass) / np.maximum(1 - below, 1e-300)
             at = np.cumsum([0, *map(len, sent)])
-            out = [(r["bucket"], r["cell"], *(pack(v[where[at[i] : at[i + 1]]]) for v in both)) for i, r in enumerate(group)]
-            yield _batch(out, ["bucket", "cell", "mass", "below"], [pa.int32(), pa.int64(), pa.binary(), pa.binary()])
+            out = [(r["bucket"], r["cell"], pack(back[where[at[i] : at[i + 1]]])) for i, r in enumerate(group)]
+            yield _batch(out, ["bucket", "cell", "back"], [pa.int32(), pa.int64(), pa.binary()])
 
     dealt = sums.repartition(buckets, "bucket").sortWithinPartitions("bucket", "cell")
-    return dealt.mapInArrow(run, "bucket int, cell long, mass binary, below binary")
+    return dealt.mapInArrow(run, "bucket int, cell long, back binary")
 
 
 def _scores(joined: DataFrame, shared) -> DataFrame:
@@ -311,16 +317,14 @@ def _scores(joined: DataFrame, shared) -> DataFrame:
             context = _context_counts(m, c, word)
             share = _word_shares(m, word)
             seen = context > 0
-            mass, below = np.zeros(len(c.names)), np.zeros(len(c.names))
+            back = np.ones(len(c.names))
             contexts = sorted(row["contexts"] or [], key=lambda a: a["bucket"])
             if contexts:
-                mass[seen] = np.concatenate([unpack(a["mass"], np.float64) for a in contexts])
-                below[seen] = np.concatenate([unpack(a["below"], np.float64) for a in contexts])
+                back[seen] = np.concatenate([unpack(a["back"], np.float64) for a in contexts])
             # After a context whose pairs free nothing, one more token is assumed, an unseen one.
-            full = seen & (mass > 1 - 1e-9)
+            full = back < 0
             shrink = np.where(full, context / (context + 1), 1.0)
-            free = np.where(full, 1 / (context + 1), 1 - mass)
-            back = np.where(seen, free / np.maximum(1 - below, 1e-300), 1.0)
+            back = np.where(full, -back / (context + 1), back)
             p = np.where(pair > 0, shrink[c.left] * _factor(m.pair_factor, pair) * pair / np.maximum(context[c.left], 1), back[c.left] * share[c.right])
             score = np.bincount(c.doc, np.log10(p)[c.pair], c.docs)
             base = np.bincount(c.doc, np.log10((word + 0.1) / (m.tokens + 0.1 * (m.types + 1)))[c.word], c.docs)
@@ -361,5 +365,5 @@ def katz_scores(docs: DataFrame, train: Column, key: str = "doc_id", text: str =
     contexts = Stored(_summed_contexts(sums, buckets), "context-answers")
     del sums
     release(spark)
-    by_context = contexts.df.groupBy("cell").agg(F.collect_list(F.struct("bucket", "mass", "below")).alias("contexts"))
+    by_context = contexts.df.groupBy("cell").agg(F.collect_list(F.struct("bucket", "back")).alias("contexts"))
     return _scores(cells.df.join(by_cell, "cell").join(by_context, "cell", "left"), shared)

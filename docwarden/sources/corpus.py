@@ -6,20 +6,17 @@ content_hash``.  ``(repo, path, abs_path)`` is the order of documents wherever a
 
 from __future__ import annotations
 
-import contextlib
-import os
 import re
-import uuid
 from collections.abc import Iterator
-from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docwarden.functions import text as tx
-from docwarden.operators.candidates import IGNORED_DIRS, TEXT_GLOB, has_text_extension, in_ignored_dir
-from docwarden.scratch import materialise
+from docwarden.operators.candidates import EXTENSIONS, IGNORED_DIRS, TEXT_GLOB, has_text_extension, in_ignored_dir
+from docwarden.sources.files import READ_BYTES, delete_file, file_system, read_bytes, split_address, write_bytes  # noqa: F401
+from docwarden.sources.tree import read_tree
 
 DOC_COLUMNS = ("doc_key", "repo", "path", "abs_path", "content", "size_bytes", "content_hash")
 
@@ -48,15 +45,7 @@ def corpus_from_table(table: DataFrame, repo: Column, path: Column, content: Col
 
 
 # ---------------------------------------------------------------------------------------------
-# Files, through Arrow's file systems.  A path is an address (``s3a://bucket/x``, ``hdfs://host/x``, ``file:/x``) or has
-# no scheme; the latter are paths of Hadoop's default file system (see :func:`addressed`).  Names are never parsed as
-# addresses, so blanks and signs in them do no harm.
-
-# Entries of a listing, and bytes of files, that a task hands on at once.
-LISTED, READ_BYTES = 10_000, 32 << 20
-# Only these two mean that a single file or folder is out of reach; anything else fails the task, which is then repeated.
-_OUT_OF_REACH = (FileNotFoundError, PermissionError, NotADirectoryError)
-_systems: dict[str, tuple] = {}
+# Files
 
 
 def addressed(spark: SparkSession, path: Column) -> Column:
@@ -67,115 +56,6 @@ def addressed(spark: SparkSession, path: Column) -> Column:
     return F.when(path.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*:"), path).otherwise(F.concat(F.lit(default), path))
 
 
-def split_address(path: str) -> tuple[str, str]:
-    """``(scheme://host, path)``; the first part is empty for files of this machine."""
-    scheme, found, rest = path.partition("://")
-    if path.startswith("file:"):
-        return "", "/" + path[len("file:") :].lstrip("/")
-    if not found or "/" in scheme:
-        return "", path
-    host, _, inner = rest.partition("/")
-    return f"{scheme}://{host}", "/" + inner
-
-
-def file_system(path: str):
-    """``(file system, path in it)``; one handle per host and worker."""
-    from pyarrow import fs
-
-    root, inner = split_address(path)
-    if root not in _systems:
-        if not root:
-            _systems[root] = fs.LocalFileSystem(), ""
-        else:
-            scheme, _, host = root.partition("://")
-            _systems[root] = fs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}://{host}/")
-    system, base = _systems[root]
-    return system, base.rstrip("/") + inner if base.strip("/") or not root else inner
-
-
-def _entries(folder: str) -> Iterator[tuple[str, bool]]:
-    """``(path, is_dir)`` of a folder; linked folders are not followed, those out of reach are empty."""
-    from pyarrow import fs
-
-    root, inner = split_address(folder)
-    try:
-        if not root:
-            prefix = folder[: len(folder) - len(inner)] if folder.endswith(inner) else "file:"
-            with os.scandir(inner) as listing:
-                for e in listing:
-                    if not e.is_dir():
-                        yield prefix + e.path, False
-                    elif not e.is_symlink():
-                        yield prefix + e.path, True
-        else:
-            system, place = file_system(folder)
-            for info in system.get_file_info(fs.FileSelector(place)):
-                yield folder.rstrip("/") + "/" + info.base_name, info.type == fs.FileType.Directory
-    except _OUT_OF_REACH:
-        return
-
-
-def read_bytes(path: str) -> bytes | None:
-    """The content of a file; None if it is gone or may not be read."""
-    try:
-        system, inner = file_system(path)
-        with system.open_input_stream(inner, compression=None) as f:
-            return f.read()
-    except _OUT_OF_REACH:
-        return None
-
-
-def write_bytes(path: str, data: bytes) -> None:
-    """Write a file whole: under another name first, then renamed, so no reader sees a part of it."""
-    system, inner = file_system(path)
-    folder, _, name = inner.rpartition("/")
-    system.create_dir(folder or "/", recursive=True)
-    part = f"{folder}/.{name}.{uuid.uuid4().hex}.part"
-    try:
-        with system.open_output_stream(part, compression=None) as f:
-            f.write(data)
-        system.move(part, inner)
-    except BaseException:
-        with contextlib.suppress(OSError):
-            system.delete_file(part)
-        raise
-
-
-def delete_file(path: str) -> None:
-    system, inner = file_system(path)
-    system.delete_file(inner)
-
-
-_ENTRY = "repo string, root string, path string, is_dir boolean"
-
-
-def _list_folders(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in frames:
-        for repo, root, folder in zip(pdf["repo"], pdf["root"], pdf["path"]):
-            listing = _entries(folder)
-            while found := list(islice(listing, LISTED)):
-                paths, dirs = zip(*found)
-                yield pd.DataFrame({"repo": repo, "root": root, "path": paths, "is_dir": dirs})
-
-
-def list_tree(roots: DataFrame) -> DataFrame:
-    """All files below ``roots(repo, root)``, level by level.
-
-    The folders of one level are listed by all tasks together and the listing is written down, so
-    neither a deep nor a wide tree passes through the driver.  Skipped folders are never entered.
-    """
-    spark = roots.sparkSession
-    level = roots.select("repo", "root", addressed(spark, F.col("root")).alias("path"))
-    files = spark.createDataFrame([], "repo string, root string, path string")
-    while True:
-        spread = level.repartition(spark.sparkContext.defaultParallelism)
-        listed = materialise(spread.mapInPandas(_list_folders, _ENTRY), "listing")
-        files = files.unionByName(listed.where(~F.col("is_dir")).drop("is_dir"))
-        level = listed.where(F.col("is_dir") & ~F.substring_index("path", "/", -1).isin(*IGNORED_DIRS)).drop("is_dir")
-        if level.isEmpty():
-            return files
-
-
 def _read_files(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in frames:
         start, held, size = 0, [], 0
@@ -201,12 +81,22 @@ def read_files(files: DataFrame) -> DataFrame:
     return as_docs(read_contents(files).where(F.col("content").isNotNull()))
 
 
-def scan_tree(roots: DataFrame) -> DataFrame:
-    """Text documents below ``roots(repo, root)``; suffix and folder tests precede any reading."""
-    files = list_tree(roots.withColumn("root", F.rtrim(F.col("root"), F.lit("/"))))
-    relative = F.substr("path", F.char_length(addressed(files.sparkSession, F.col("root"))) + 2)
-    named = files.select("repo", relative.alias("path"), F.col("path").alias("abs_path"))
-    return read_files(named.where(has_text_extension(F.col("path"))))
+def tree_roots(spark: SparkSession, roots: DataFrame) -> list[tuple[str, str]]:
+    """``roots(repo, root)`` with addresses; a list that somebody wrote, so it is small."""
+    rows = roots.select("repo", addressed(spark, F.col("root")).alias("root")).collect()
+    return [(r["repo"], r["root"]) for r in rows]
+
+
+def scan_tree(roots: DataFrame, wanted: Column | None = None) -> DataFrame:
+    """Text documents below ``roots(repo, root)``, read lazily by the data source :mod:`docwarden.sources.tree`.
+
+    The suffix test and the comparisons of ``wanted``, a condition on ``repo``, ``path`` (below its root), ``suffix`` and
+    ``size_bytes``, reach the listing: folders and files that cannot match are neither entered nor opened.
+    """
+    spark = roots.sparkSession
+    text = F.col("suffix").isin(*EXTENSIONS)
+    files = read_tree(spark, tree_roots(spark, roots), text if wanted is None else text & wanted)
+    return as_docs(files.select("repo", "path", "abs_path", "content"))
 
 
 def scan_files(paths: DataFrame) -> DataFrame:
@@ -217,8 +107,8 @@ def scan_files(paths: DataFrame) -> DataFrame:
     return read_files(paths.select(F.when(parent == "", "/").otherwise(parent).alias("repo"), name.alias("path"), p.alias("abs_path")))
 
 
-def _hidden(spark: SparkSession, root: str) -> tuple[list[str], list[str]]:
-    """Folders and files below ``root`` that Spark's listing leaves out: names with a leading dot or underscore.
+def _listed_by_spark(spark: SparkSession, root: str) -> tuple[list[str], list[str]]:
+    """Folders and files below ``root`` that Spark's listing leaves out, for stores that only Hadoop knows.
 
     Folders are listed on the driver; skipped ones are not entered.
     """
@@ -238,22 +128,34 @@ def _hidden(spark: SparkSession, root: str) -> tuple[list[str], list[str]]:
     return found
 
 
+def _known_to_arrow(address: str) -> bool:
+    try:
+        file_system(address)
+    except (ValueError, ImportError, OSError):  # no such scheme, no library for it, or no host
+        return False
+    return True
+
+
 def scan_object_store(spark: SparkSession, repo: str, root: str) -> DataFrame:
-    """Documents below ``root`` through Spark's own file reading, for addresses that Arrow does not know.
+    """Documents below ``root`` through Spark's own file reading.
 
-    ``abs_path`` keeps the address.  Hidden folders and files, which Spark's listing skips, are looked up and
-    named to it.
+    ``abs_path`` keeps the address.  Spark's listing skips names with a leading dot or underscore; files with such a part
+    in their path are listed and read by the tasks of the data source :mod:`docwarden.sources.tree`.  Only for
+    addresses of a kind that Arrow does not know the driver looks hidden names up.
     """
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     base = system.makeQualified(path).toString().rstrip("/")
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", TEXT_GLOB)
-    folders, files = _hidden(spark, base)
+    folders, files = ([], None) if _known_to_arrow(base) else _listed_by_spark(spark, base)
     # Names are taken literally, not as patterns.
     raw = reader.load([re.sub(r"([\\*?\[\]{}])", r"\\\1", p) for p in (base, *folders)]).select("path", "content", "length")
-    # Spark reads no hidden file, even by its name; these few go through Arrow.
-    single = spark.createDataFrame([(repo, f, f) for f in files], "repo string, path string, abs_path string")
-    single = read_contents(single.where(has_text_extension(F.col("path")))).where(F.col("content").isNotNull())
+    if files is None:
+        names = read_tree(spark, [(repo, base)], F.col("suffix").isin(*EXTENSIONS) & F.col("path").rlike(r"(?s)(?:\A|/)[._]"), content=False)
+        single = names.select("repo", F.col("abs_path").alias("path"), "abs_path")
+    else:  # Spark reads no hidden file, even by its name
+        single = spark.createDataFrame([(repo, f, f) for f in files], "repo string, path string, abs_path string").where(has_text_extension(F.col("path")))
+    single = read_contents(single).where(F.col("content").isNotNull())
     raw = raw.unionByName(single.select("path", "content", F.octet_length("content").cast("long").alias("length")))
     return as_docs(named_below(raw.dropDuplicates(["path"]), repo, base), F.col("size"))
 

@@ -29,7 +29,7 @@ from .transducers import Transducer, compose, from_places, union
 
 LONGEST, FREQUENT, BEST = 5, 100, 2000
 #: Words of a shard, words of a range, and frequent phrases of a range.
-SHARD, RANGE, RANGE_PHRASES = 1 << 19, 3 << 19, 1 << 18
+SHARD, RANGE, RANGE_PHRASES = 1 << 18, 1 << 20, 1 << 18
 #: Bits of the filter of frequent words.
 FILTER_BITS = 1 << 25
 #: Documents per range whose windows the borders are taken from, and borders' windows per range.

@@ -6,34 +6,34 @@ Queries are a frame ``(qid, text)``, so many run in one job.  Ties go to the low
 from __future__ import annotations
 
 import logging
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 from docwarden.functions import text as tx
 from docwarden.functions.shaping import explode_once
 from docwarden.functions.vectors import NORM_FLOOR
-from docwarden.operators.plan import global_rank
+from docwarden.operators.scoring import UNIT, counted_words, shard_of
 from docwarden.scratch import materialise
+from docwarden.sources import snapshots
 
 logger = logging.getLogger(__name__)
 
 DEFAULT_TOP_K = 5
-# BM25 parameters; a negative weight becomes FLOOR times the mean weight.
-K1 = 1.5
-B = 0.75
+# Fixed value: a negative weight becomes this times the mean weight.
 FLOOR = 0.25
-# Scores are summed as whole numbers of 1e-10, so that a sum does not depend on the order of rows
-# and equal documents tie exactly.
-UNIT = 1e10
-# The first documents by id are numbered by one task up to this many.
-MAX_SORTED_ROWS = 100_000
+# Words and counts of the documents that a task scores at once, in bytes.
+RUN_BYTES = 32 << 20
 # Query words are broadcast up to this many rows (some 50 MB).
 MAX_BROADCAST_ROWS = 500_000
 
@@ -107,159 +107,96 @@ def bm25_stats(vocab: DataFrame) -> DataFrame:
     )
 
 
-def postings(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """``(id, dl, token, tf)``; with ``terms(token)``, of those words only.
-
-    With ``terms`` all other words are dropped before the shuffle, and rows are partitioned by
-    document alone: later steps per document and query then need no further shuffle.
-    """
-    tokens = docs.select("id", tx.tokenise(F.col("content")).alias("tokens"))
-    each = explode_once(tokens.withColumn("dl", F.size("tokens")), "tokens", "token", "id", "dl")
-    if terms is not None:
-        each = each.join(terms, "token").repartition("id")
-    return each.groupBy("id", "dl", "token").agg(F.count("*").alias("tf"))
-
-
 def query_terms(queries: DataFrame) -> DataFrame:
     """``(qid, token, qtf)``; a repeated word counts repeatedly."""
     words = explode_once(queries.select("qid", tx.tokenise(F.col("text")).alias("tokens")), "tokens", "token", "qid")
     return words.groupBy("qid", "token").agg(F.count("*").alias("qtf"))
 
 
-def _scores(posted: DataFrame, weighted: DataFrame, stats: CorpusStats) -> DataFrame:
-    """``(qid, id, units)`` of every document that shares a word with the query."""
-    length = 1 - B + B * F.col("dl") / F.lit(stats.avg_words)
-    gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * length)  # once per posting, not per query
-    pairs = posted.select("id", "token", gain.alias("gain")).join(weighted, "token")
-    units = F.floor(F.col("idf") * F.col("gain") * UNIT + 0.5) * F.col("qtf")
-    return pairs.groupBy("qid", "id").agg(F.sum(units).alias("units"))
-
-
-def _small(rows: DataFrame) -> DataFrame:
+def small(rows: DataFrame) -> DataFrame:
     """Broadcast a side whose size is counted and within bounds; a larger one is joined by shuffle."""
     return F.broadcast(rows) if rows.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else rows
 
 
-def _top(scored: DataFrame, by: str, k: int) -> DataFrame:
+def only_best(scored: DataFrame, by: str, k: int) -> DataFrame:
     order = W.partitionBy("qid").orderBy(F.desc(by), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _zero_scored(docs: DataFrame, queries: DataFrame, scored: DataFrame, n_docs: int, k: int) -> DataFrame:
-    """For queries with fewer than ``k`` positive scores: the first documents that score zero.
+def weighted_queries(queries: DataFrame, weights: DataFrame) -> DataFrame:
+    """``qid, token, qtf, idf`` of the corpus's words; a query without any has one row without a word."""
+    known = query_terms(queries).join(weights.select("token", "idf"), "token")
+    return queries.select("qid").distinct().join(known, "qid", "left")
 
-    Looks at the first 2k documents and doubles the reach until each such query has its ``k`` (or
-    the corpus ends).  Without negative scores the first round is enough, since fewer than ``k``
-    documents can be taken.
-    """
-    positive = scored.where("units > 0").groupBy("qid").agg(F.count("*").alias("n"))
-    short = queries.select("qid").distinct().join(positive, "qid", "left").where(F.coalesce("n", F.lit(0)) < k).select("qid")
-    short = materialise(short, "short-queries")
-    if short.isEmpty():
-        return scored.limit(0)
-    n_short = short.count()
-    reach = 2 * k
-    ranked = None
-    while True:
-        if reach <= MAX_SORTED_ROWS:
-            first = docs.select("id").orderBy("id").limit(reach)
-            slots = first.withColumn("slot", F.row_number().over(W.orderBy("id")))
-        else:  # many documents score below zero: number all of them, in parallel
-            ranked = global_rank(docs.select("id"), ("id",), "slot") if ranked is None else ranked
-            slots = ranked.where(F.col("slot") <= reach)
-        asked = short.withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(min(reach, n_docs)))))
-        zero = materialise(
-            asked.join(slots, "slot")
-            .join(scored.where("units <> 0").select("qid", "id"), ["qid", "id"], "left_anti")
-            .select("qid", "id", F.lit(0).cast("long").alias("units")),
-            "zero-scored",
-        )
-        enough = zero.groupBy("qid").count().where(F.col("count") >= k).count()
-        if reach >= n_docs or enough == n_short:
-            return zero
-        reach *= 2
-
-
-def _bm25(docs: DataFrame, posted: DataFrame, asked: DataFrame, weights: DataFrame, stats: CorpusStats, queries: DataFrame, k: int) -> DataFrame:
-    weighted = _small(materialise(asked.join(weights.select("token", "idf"), "token"), "query-weights"))
-    scored = _scores(posted, weighted, stats)
-    if stats.mean_weight >= 0:  # no score is negative, so nothing below the best k can matter
-        scored = _top(scored, "units", k).drop("rank")
-    scored = materialise(scored, "scores")
-    zero = _zero_scored(docs, queries, scored, stats.n_docs, k)
-    ranked = _top(scored.where("units <> 0").unionByName(zero), "units", k)
-    return ranked.select("qid", "rank", "id", (F.col("units") / UNIT).alias("score"))
 
+def query_groups(weighted: DataFrame) -> list[DataFrame]:
+    """Rows of :func:`weighted_queries` in groups of queries that are small enough to be sent to all tasks."""
+    n = weighted.count()
+    many = 1 if n <= MAX_BROADCAST_ROWS else -(-2 * n // MAX_BROADCAST_ROWS)
+    return [weighted if many == 1 else weighted.where(F.pmod(F.xxhash64("qid"), F.lit(many)) == i) for i in range(many if n else 0)]
 
-def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_TOP_K) -> DataFrame:
-    """``(qid, rank, id, score)``: the ``k`` best documents of every query, zero scores included."""
-    vocab = materialise(vocabulary(docs), "vocabulary")
-    stats = corpus_stats(vocab)
-    if stats.n_terms == 0:
-        return docs.sparkSession.createDataFrame([], f"qid {queries.schema['qid'].dataType.simpleString()}, rank int, id {docs.schema['id'].dataType.simpleString()}, score double")
-    asked = materialise(query_terms(queries), "query-terms")
-    terms = _small(asked.select("token").distinct())
-    return _bm25(docs, postings(docs, terms), asked, term_weights(vocab, stats), stats, queries, k)
 
+def sent_queries(weighted: DataFrame) -> tuple[Broadcast, pa.DataType]:
+    """One group's queries on every task, ``{qid: [(token, idf, qtf)]}``, and the type of their key."""
+    rows = weighted.select("qid", "token", "idf", "qtf").toArrow()
+    queries: dict = {}
+    for q, *word in zip(*(rows.column(c).to_pylist() for c in ("qid", "token", "idf", "qtf"))):
+        queries.setdefault(q, []).append(tuple(word))
+    return weighted.sparkSession.sparkContext.broadcast(queries), rows.schema.field("qid").type
 
-# ---------------------------------------------------------------------------------------------
-# Stored index
 
+def _scored(counted: DataFrame, weighted: DataFrame, avg: float, k: int, whole: bool) -> DataFrame:
+    """``qid, id, units`` of the best ``k`` of every run of documents; ``whole`` with zeros and negative scores."""
+    shared, kind = sent_queries(weighted)
+    schema = T.StructType([weighted.schema["qid"], counted.schema["id"], T.StructField("units", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = {w[0] for words in shared.value.values() for w in words}
+        held: list[pa.RecordBatch] = []
+        size = 0
 
-def _bucket(buckets: int) -> Column:
-    return F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int")
+        def close() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks().sort_by("id").combine_chunks()
+            ids, dl, words, counts = (table.column(c).combine_chunks() for c in ("id", "dl", "words", "counts"))
+            shard = shard_of(ids, np.asarray(dl).astype(np.int64), words, np.asarray(counts.flatten()), wanted, avg)
+            qids, place, units = shard.answers(shared.value, k, whole)
+            return pa.RecordBatch.from_arrays([pa.array(qids, kind), ids.take(pa.array(place)), pa.array(units)], names=["qid", "id", "units"])
 
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= RUN_BYTES:
+                yield close()
+                held, size = [], 0
+        if held:
+            yield close()
 
-# Layout of a stored index: documents per bucket, and the postings a file should hold about.
-DOCS_PER_BUCKET = 2_000
-MAX_BUCKETS = 4_096
-POSTINGS_PER_DOC = 150
-POSTINGS_PER_FILE = 4_000_000
-# Up to this many words are handed to the file reader, which then skips what holds none of them.
-MAX_PUSHED_WORDS = 100
+    return counted.mapInArrow(run, schema)
 
 
-def build_index(docs: DataFrame, path: str) -> None:
-    """Write postings, term weights and document ids below ``path``.
+def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_TOP_K) -> DataFrame:
+    """``(qid, rank, id, score)``: the ``k`` best documents of every query, zero scores included.
 
-    Postings lie in folders by word bucket, so a query reads the buckets of its words.  Within a
-    bucket they are dealt out by document, so a word found in most documents is spread over many
-    tasks and files.  The text is read once; all statistics come from the stored postings.
+    One pass counts documents per word; a second scores whole documents where they are, with the query words'
+    weights on every task, and hands on the best ``k`` of every run of documents.  Queries with fewer than ``k`` positive
+    scores go through once more and take the first documents at zero as well, then those below.
     """
-    spark = docs.sparkSession
-    docs.select("id").write.parquet(f"{path}/docs")
-    n_docs = spark.read.parquet(f"{path}/docs").count()
-    buckets = min(MAX_BUCKETS, 1 + n_docs // DOCS_PER_BUCKET)
-    full_files = n_docs * POSTINGS_PER_DOC // (buckets * POSTINGS_PER_FILE)
-    slices = max(1 + full_files, -(-2 * spark.sparkContext.defaultParallelism // buckets))
-    dealt = postings(docs).withColumn("bucket", _bucket(buckets)).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(slices)))
-    dealt.sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{path}/postings")
-    stored = spark.read.parquet(f"{path}/postings")
-    vocab = materialise(stored.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("n_words")), "vocabulary")
-    n_words = vocab.agg(F.sum("n_words")).first()[0] or 0
-    total = spark.createDataFrame([(None, n_docs, n_words)], "token string, df long, n_words long")
-    counted = vocab.unionByName(total)
-    stats = corpus_stats(counted)
-    term_weights(counted, stats).write.parquet(f"{path}/terms")
-    spark.createDataFrame(
-        [(stats.n_docs, stats.avg_words, stats.mean_weight, stats.n_terms, buckets)],
-        "n_docs long, avg_words double, mean_weight double, n_terms long, buckets int",
-    ).write.parquet(f"{path}/stats")
-
-
-def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int = DEFAULT_TOP_K) -> DataFrame:
-    """As :func:`bm25_topk`, from a stored index."""
-    row = spark.read.parquet(f"{path}/stats").first()
-    stats = CorpusStats(row["n_docs"], row["avg_words"], row["mean_weight"], row["n_terms"])
-    asked = materialise(query_terms(queries), "query-terms")
-    wanted = _small(asked.select("token", _bucket(row["buckets"]).alias("bucket")).distinct())
-    hit = [r["bucket"] for r in wanted.select("bucket").distinct().collect()]  # at most MAX_BUCKETS numbers
-    stored = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(hit))
-    few = [r["token"] for r in wanted.select("token").limit(MAX_PUSHED_WORDS + 1).collect()]
-    if len(few) <= MAX_PUSHED_WORDS:
-        stored = stored.where(F.col("token").isin(few))
-    posted = stored.join(wanted, ["bucket", "token"]).repartition("id")
-    return _bm25(spark.read.parquet(f"{path}/docs"), posted, asked, spark.read.parquet(f"{path}/terms"), stats, queries, k)
+    vocab = materialise(vocabulary(docs), "vocabulary")
+    stats = corpus_stats(vocab)
+    if stats.n_terms == 0:
+        return docs.sparkSession.createDataFrame([], f"qid {queries.schema['qid'].dataType.simpleString()}, rank int, id {docs.schema['id'].dataType.simpleString()}, score double")
+    asked = materialise(weighted_queries(queries, term_weights(vocab, stats)), "query-weights")
+    counted = counted_words(docs)
+    best: DataFrame | None = None
+    for part in query_groups(asked):
+        found = materialise(_scored(counted, part, stats.avg_words, k, False), "scores")
+        enough = found.groupBy("qid").count().where(F.col("count") >= k)
+        short = materialise(part.join(enough, "qid", "left_anti"), "short-queries")
+        if not short.isEmpty():
+            rest = _scored(counted, short, stats.avg_words, k, True)
+            found = found.join(short.select("qid").distinct(), "qid", "left_anti").unionByName(rest)
+        best = found if best is None else best.unionByName(found)
+    return only_best(best, "units", k).select("qid", "rank", "id", (F.col("units") / UNIT).alias("score"))
 
 
 # ---------------------------------------------------------------------------------------------
@@ -344,7 +281,7 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_TOP_K,
         scored = _shared_scores(vectors, rows, schema, k)
     else:
         scored = _blocked_scores(vectors, queries, queries.count(), vectors.count(), schema, k)
-    return _top(scored, "score", k).select("qid", "rank", "id", "score")
+    return only_best(scored, "score", k).select("qid", "rank", "id", "score")
 
 
 # ---------------------------------------------------------------------------------------------
@@ -356,17 +293,26 @@ HOT_SHARE = 1000
 
 # Missing keys that are sent to every task, to leave known texts where they are.
 MAX_SHARED_KEYS = 500_000
+# Parts of a stored cache before they are written as one.
+MAX_CACHE_PARTS = 50
+
+
+_CACHE = "content_key string, embedding array<float>"
 
 
 def cache_table(spark: SparkSession, path: str) -> DataFrame:
-    """A stored cache, one row per key; a missing one counts as empty.  Any other failure to read it is raised."""
-    schema = "content_key string, embedding array<float>"
+    """A stored cache, one row per key; a missing one counts as empty.  Any other failure to read it is raised.
+
+    A cache is the parts that its last version names (:mod:`docwarden.sources.snapshots`), or a plain table.
+    """
+    version, content = snapshots.latest(spark, path)
+    parts = [f"{path}/{p}" for p in content["parts"]] if version else [path]
     try:
-        return spark.read.schema(schema).parquet(path).dropDuplicates(["content_key"])
+        return spark.read.schema(_CACHE).parquet(*parts).dropDuplicates(["content_key"])
     except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
+        if missing.getCondition() != "PATH_NOT_FOUND" or version:
             raise
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], _CACHE)
 
 
 def cache_misses(texts: DataFrame, cache: DataFrame) -> DataFrame:
@@ -396,10 +342,33 @@ def extend_cache(texts: DataFrame, cache: DataFrame, provider: Callable[[Column]
 
 
 def update_cache(texts: DataFrame, path: str, provider: Callable[[Column], Column]) -> DataFrame:
-    """Append the embeddings of all missing texts to the stored cache at ``path`` and open it."""
+    """Add the embeddings of all missing texts to the stored cache at ``path`` as a new version, and open it.
+
+    The version before stays readable while new rows are written, and is the last one if the job dies.  If another
+    writer publishes first, the rows that it has added too are dropped and the rest is published after it.
+    A plain table at ``path`` becomes the first part.  Beyond :data:`MAX_CACHE_PARTS` parts all are written as one.
+    """
     spark = texts.sparkSession
-    cache = cache_table(spark, path)
-    embed_missing(texts, cache, provider).write.mode("append").parquet(path)
+    written = f"parts/{uuid.uuid4().hex}"
+
+    def add(version: int, content: dict) -> dict | None:
+        cache = cache_table(spark, path)
+        parts = content.get("parts", [])
+        if not version and not cache.isEmpty():  # a plain table: its rows are taken over
+            parts = [f"parts/{uuid.uuid4().hex}"]
+            cache.write.parquet(f"{path}/{parts[0]}")
+        new = spark.read.schema(_CACHE).parquet(f"{path}/{written}") if tried else embed_missing(texts, cache, provider)
+        if tried:
+            new = new.join(cache.select("content_key"), "content_key", "left_anti")
+        part = f"parts/{uuid.uuid4().hex}" if tried else written
+        tried.append(part)
+        if len(parts) >= MAX_CACHE_PARTS:
+            new, parts = cache.unionByName(new), []
+        new.write.parquet(f"{path}/{part}")
+        return {"parts": [*parts, part]}
+
+    tried: list[str] = []
+    snapshots.change(spark, path, add)
     return cache_table(spark, path)
 
 

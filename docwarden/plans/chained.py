@@ -15,11 +15,12 @@ from docwarden.operators import fix as fx
 from docwarden.operators import migrate as mg
 from docwarden.operators import plan as pl
 from docwarden.operators import search as se
+from docwarden.operators import word_index as wi
 from docwarden.plans import registry as rg
 from docwarden.plans.jobs import audit_manifest
 from docwarden.plans.oracles import ORACLES
 from docwarden.scratch import materialise, scratch_path
-from docwarden.sources import corpus, reports
+from docwarden.sources import corpus, reports, snapshots
 
 CHAINED: dict = {}
 CHAINED_SQL: dict[str, str] = {}
@@ -254,3 +255,36 @@ def document_index(spark: SparkSession, sf: str) -> DataFrame:
 
 
 CHAINED_SQL["document_index"] = f"SELECT 'words' AS mode, w.* FROM ({ORACLES['bm25_topk']}) w UNION ALL SELECT 'vectors', v.qid, v.rank, v.id, v.score FROM ({ORACLES['cosine_topk']}) v"
+
+
+@query
+def embedding_cache_updated(spark: SparkSession, sf: str) -> DataFrame:
+    """A stored cache that grows by versions: two updates, and between them a writer that adds known keys once more."""
+    path = scratch_path(spark, "cache")
+    d = rg.documents(spark, sf)
+    first = se.update_cache(d.where(F.col("lang").isin("en", "fr")).select("text"), path, rg.letter_counts)
+    version, content = snapshots.latest(spark, path)
+    first.where(F.col("content_key") < "8").write.parquet(f"{path}/parts/double")
+    snapshots.publish(spark, path, version, {"parts": [*content["parts"], "parts/double"]})
+    everything = d.select("text").unionAll(rg.table(spark, sf, "conversations").select("text"))
+    found = se.embed_texts(everything, se.update_cache(everything, path, rg.letter_counts))
+    vector = rg.joined(F.transform("embedding", lambda v: v.cast("long").cast("string")))
+    return found.groupBy("content_key").agg(F.count("*").alias("copies"), F.max(vector).alias("embedding"))
+
+
+CHAINED_SQL["embedding_cache_updated"] = ORACLES["embedding_cache"]
+
+
+@query
+def search_index_grown(spark: SparkSession, sf: str) -> DataFrame:
+    """An index of two thirds of the documents, to which the others are added, and every tenth once more and taken out again."""
+    path = scratch_path(spark, "index")
+    texts = rg.texts(spark, sf)
+    twice = texts.where("id % 10 = 0").withColumn("id", -F.col("id") - 1)
+    wi.build_index(texts.where("id % 3 > 0"), path)
+    wi.add_documents(texts.where("id % 3 = 0").unionByName(twice), path)
+    wi.remove_documents(spark, path, twice.select("id"))
+    return rg._rounded(wi.search_index(spark, path, rg.questions(spark, sf)))
+
+
+CHAINED_SQL["search_index_grown"] = ORACLES["search_index"]

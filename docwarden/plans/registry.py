@@ -17,6 +17,7 @@ from docwarden.operators import migrate as mg
 from docwarden.operators import plan as pl
 from docwarden.operators import rules as ru
 from docwarden.operators import search as se
+from docwarden.operators import word_index as wi
 from docwarden.operators.rules import RuleSet
 from docwarden.plans.jobs import describe_sources
 from docwarden.plans.sample_corpus import raw_corpus, sample_corpus
@@ -499,8 +500,8 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def search_index(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "index")
-    se.build_index(texts(spark, sf), path)
-    return _rounded(se.search_index(spark, path, questions(spark, sf)))
+    wi.build_index(texts(spark, sf), path)
+    return _rounded(wi.search_index(spark, path, questions(spark, sf)))
 
 
 @query

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docwarden.functions.vectors import cosine
 from docwarden.operators import search as se
+from docwarden.operators import word_index as wi
 
 
 def texts(spark, contents):
@@ -56,8 +57,8 @@ def test_negative_weights_sort_below_zero(spark, monkeypatch):
     got = rows(se.bm25_topk(texts(spark, contents), asked(spark, queries), 3))
     assert got == brute_force(contents, queries, 3)
     assert [g[2] for g in got[:3]] == [4, 6, 37]
-    monkeypatch.setattr(se, "MAX_SORTED_ROWS", 1)
-    assert rows(se.bm25_topk(texts(spark, contents), asked(spark, queries), 3)) == got
+    monkeypatch.setattr(se, "RUN_BYTES", 1)  # scored batch by batch
+    assert rows(se.bm25_topk(texts(spark, contents).repartition(7), asked(spark, queries), 3)) == got
 
 
 def test_more_asked_for_than_there_is(spark):
@@ -78,8 +79,8 @@ def test_random_corpus_and_stored_index(spark, tmp_path):
     want = brute_force(contents, queries, 5)
     docs, wanted = texts(spark, contents).repartition(5), asked(spark, queries)
     assert rows(se.bm25_topk(docs, wanted)) == want
-    se.build_index(docs, str(tmp_path / "index"))
-    assert rows(se.search_index(spark, str(tmp_path / "index"), wanted)) == want
+    wi.build_index(docs, str(tmp_path / "index"))
+    assert rows(wi.search_index(spark, str(tmp_path / "index"), wanted)) == want
 
 
 def test_large_query_sets_are_not_broadcast(spark, monkeypatch):

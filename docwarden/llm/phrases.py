@@ -1,9 +1,9 @@
 """Collocations: phrases of two to five words that occur together more often than their parts suggest.
 
-1. Words are counted per language.  A fixed-size bit filter of the words that occur often enough is sent to all tasks: a
-   phrase with a word that does not is too rare itself, so such words end a piece.  The filter has no false
-   negatives; beyond its capacity it only saves less.
-2. Every shard (a block of text) turns its windows, the next five words from every word on, into a count
+1. Words are counted per language, then pairs, then longer phrases.  What is frequent at one step is sent to all tasks
+   of the next as a bit filter of fixed size: a phrase with a rare word or pair is too rare itself, so
+   these end a piece.  The filters have no false negatives; beyond their capacity they only save less.
+2. Every shard (a block of text) turns its windows, the next two or five words from every word on, into a count
    transducer (:mod:`transducers`), cuts it at the borders of prefix ranges, and sends each range its slice.
 3. A range unites the slices of all shards and sums weights by prefix.  Prefixes that reach over a border are
    added up afterwards; the others are complete.  A range is some of the sorted distinct windows, so a very common word
@@ -17,9 +17,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +32,7 @@ from .transducers import Transducer, compose, from_places, union
 LONGEST, FREQUENT, BEST = 5, 100, 2000
 #: Words of a shard, words of a range, and frequent phrases of a range.
 SHARD, RANGE, RANGE_PHRASES = 1 << 18, 1 << 20, 1 << 18
-#: Bits of the filter of frequent words.
+#: Bits of the filters of frequent words and of frequent pairs.
 FILTER_BITS = 1 << 25
 #: Documents per range whose windows the borders are taken from, and borders' windows per range.
 SAMPLE_DOCS, SAMPLE_KEYS = 20, 32
@@ -117,27 +119,38 @@ def range_key(path: np.ndarray, fill: int = 0, names: np.ndarray | None = None)
     return out
 
 
-def _filter_bit(lang: np.ndarray, name: np.ndarray) -> np.ndarray:
+def _bit(lang: np.ndarray, *names: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return (mix64(name + lang * U64(0xD1342543DE82EF95)) % U64(FILTER_BITS)).astype(np.int64)
+        out = lang
+        for name in names:
+            out = mix64(name + out * U64(0xD1342543DE82EF95))
+        return (out % U64(FILTER_BITS)).astype(np.int64)
 
 
-def windows(s: Stream, allowed: np.ndarray, longest: int = LONGEST) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Language and the next words up to the end of the piece, for every allowed word, a shard at a time.
+def _is_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
-    Gives the sorted names of the shard, 0 first, and rows of places in them.
+
+def windows(s: Stream, words: np.ndarray, pairs: np.ndarray | None = None, longest: int = LONGEST, least: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Language and the next words up to the end of the piece, where these are ``least`` at least, a shard at a time.
+
+    Words and pairs that are not in the filters end a piece.  Gives the sorted names of the shard, 0 first, and rows
+    of places in them.
     """
     if not len(s.name):
         return
     langs = s.lang_names()
-    bit = _filter_bit(langs[s.lang], s.name)
-    good = (allowed[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
-    del bit
+    lang = langs[s.lang]
+    good = _is_set(words, _bit(lang, s.name))
     ends = s.ends.copy()
     ends[:-1] |= ~good[1:]
+    if pairs is not None:
+        ends[:-1] |= ~_is_set(pairs, _bit(lang[:-1], s.name[:-1], s.name[1:]))
+    del lang
     stop = np.flatnonzero(ends)
     start = np.flatnonzero(good)
     left = np.minimum(stop[np.searchsorted(stop, start)] - start + 1, longest)
+    start, left = start[left >= least], left[left >= least]
     for at in range(0, len(start), SHARD):
         i, n = start[at : at + SHARD], left[at : at + SHARD]
         a, b = int(i[0]), int(i[-1] + n[-1])
@@ -184,48 +197,67 @@ def count_words(docs: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "l", "word", "name").agg(F.sum("n").alias("n"))
 
 
-def _filter(words: DataFrame) -> np.ndarray:
-    """Bits of the frequent words; at most ``FILTER_BITS`` of them reach the driver."""
+def _filter(grams: DataFrame, length: int) -> np.ndarray:
+    """Bits of the frequent phrases ``l, gram`` of one length; at most ``FILTER_BITS`` of them reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bit = _filter_bit(*(np.asarray(b.column(c)).astype(np.int64).view(U64) for c in ("l", "name")))
+            path, _ = _paths(b.column("l"), b.column("gram"), length, False)
+            bit = _bit(*path.T)
             yield pa.RecordBatch.from_arrays([pa.array(bit >> 5), pa.array(np.int64(1) << (bit & 31))], names=["place", "bits"])
 
-    rows = words.where("word IS NOT NULL").select("l", "name").mapInArrow(run, "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
+    rows = grams.select("l", "gram").mapInArrow(run, "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(FILTER_BITS // 32, dtype=np.uint32)
     out[np.asarray(rows.column("place"))] = np.asarray(rows.column("bits")).astype(np.uint32)
     return out.view(np.uint8)
 
 
-def _borders(docs: DataFrame, allowed, ranges: int, rows: int) -> np.ndarray:
-    """Range borders from windows of a sample of documents; they decide the sizes of ranges alone."""
-    if ranges <= 1:
+class Step(NamedTuple):
+    """What a pass over the texts looks for: windows of ``least`` to ``longest`` words that the filters let through."""
+
+    words: Broadcast
+    pairs: Broadcast | None
+    least: int
+    longest: int
+
+    def of(self, s: Stream) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        return windows(s, self.words.value, self.pairs.value if self.pairs is not None else None, self.longest, self.least)
+
+
+def _borders(docs: DataFrame, step: Step, most: int, rows: int, per_range: int) -> np.ndarray:
+    """Range borders from windows of a sample of documents, for ``most`` ranges or as many as the sample asks for.
+
+    They decide the sizes of ranges alone.
+    """
+    if most <= 1:
         return np.zeros(0, U64)
-    share = min(1.0, max(2000, SAMPLE_DOCS * ranges) / max(rows, 1))
-    keep = SAMPLE_KEYS * ranges
+    share = min(1.0, max(2000, SAMPLE_DOCS * most) / max(rows, 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in _streams(batches):
-            for names, path in windows(s, allowed.value):
+            for names, path in step.of(s):
                 key = np.unique(range_key(path, 0, names))
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["key"])
 
     some = docs.where(F.pmod(F.xxhash64(F.lit(12), "t"), F.lit(1 << 31)) < int(share * (1 << 31)))
-    keys = Stored(some.mapInArrow(run, "key long").distinct(), "border-keys")
+    keys = Stored(some.mapInArrow(run, "key long"), "border-keys")
     found = keys.df.count()
-    thin = keys.df.where(F.pmod(F.xxhash64(F.lit(7), "key"), F.lit(1 << 31)) < int(min(1.0, keep / max(found, 1)) * (1 << 31)))
+    ranges = min(most, -(-int(found / share) // per_range))
+    distinct = keys.df.distinct()
+    thin = distinct.where(F.pmod(F.xxhash64(F.lit(7), "key"), F.lit(1 << 31)) < int(min(1.0, SAMPLE_KEYS * ranges / max(found, 1)) * (1 << 31)))
     key = np.sort(np.asarray(thin.toArrow().column("key")).astype(np.int64).view(U64))
     keys.drop()
+    if ranges <= 1:
+        return np.zeros(0, U64)
     return np.unique(key[np.linspace(0, len(key), ranges + 1)[1:-1].astype(int)]) if len(key) > ranges else key
 
 
-def _slices(docs: DataFrame, allowed, borders) -> DataFrame:
+def _slices(docs: DataFrame, step: Step, borders: Broadcast) -> DataFrame:
     """``part, paths``: the slice of each shard's transducer that a range gets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in _streams(batches):
-            for names, path in windows(s, allowed.value):
+            for names, path in step.of(s):
                 t = from_places(names, path)
                 part = np.searchsorted(borders.value, range_key(t.path, 0, t.names), side="right")
                 order = np.argsort(part, kind="stable")  # sorted paths stay sorted within a range
@@ -254,8 +286,8 @@ def _grams(names: np.ndarray) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(names), [None, pa.py_buffer(offset), pa.py_buffer(data)])
 
 
-def _united(slices: DataFrame, borders, frequent: int, longest: int) -> DataFrame:
-    """``l, gram, n`` of the frequent prefixes of all windows, and the part of those that reach over a border."""
+def _united(slices: DataFrame, step: Step, borders: Broadcast, frequent: int) -> DataFrame:
+    """``l, gram, n`` of the frequent prefixes of ``least`` words or more."""
 
     def run(table: pa.Table) -> pa.Table:
         whole = [Transducer.unpack(p.as_py()) for p in table.column("paths")]
@@ -263,7 +295,7 @@ def _united(slices: DataFrame, borders, frequent: int, longest: int) -> DataFram
             whole = [union(whole[i : i + 16]) for i in range(0, len(whole), 16)]
         t = whole[0]
         out = []
-        for d in range(1, longest + 1):
+        for d in range(step.least, step.longest + 1):
             first, n = t.states(d + 1)
             path = t.names[t.path[first]]
             path[:, d + 1 :] = 0
@@ -377,11 +409,20 @@ def phrase_collocations(
     words = Stored(count_words(rows).where(F.col("word").isNull() | (F.col("n") >= frequent)), "frequent-words")
     totals = words.df.where("word IS NULL").select("lang", "l", F.col("n").alias("total"))
     size = totals.agg(F.sum("total").alias("n"), F.count("*").alias("langs")).first()
-    allowed = spark.sparkContext.broadcast(_filter(words.df))
-    cut = _borders(rows, allowed, -(-(size["n"] or 0) // words_per_range), rows.count())
-    borders = spark.sparkContext.broadcast(cut)
-    grams = Stored(_united(_slices(rows, allowed, borders), borders, frequent, longest), "frequent-phrases")
-    release(spark)
+    single = words.df.where("word IS NOT NULL").select("l", F.unhex(F.lpad(F.hex("name"), 16, "0")).alias("gram"), "n")
+    n_rows, most = rows.count(), -(-(size["n"] or 0) // words_per_range)
+    known = spark.sparkContext.broadcast(_filter(single, 1))
+    found: list[Stored] = []
+    for step in [Step(known, None, 2, 2)] + [Step(known, None, 3, longest)] * (longest > 2):
+        if found:
+            step = step._replace(pairs=spark.sparkContext.broadcast(_filter(found[0].df, 2)))
+        borders = spark.sparkContext.broadcast(_borders(rows, step, most, n_rows, words_per_range))
+        found.append(Stored(_united(_slices(rows, step, borders), step, borders, frequent), "frequent-phrases"))
+        release(spark)
+    every = single
+    for f in found:
+        every = every.unionByName(f.df)
+    grams = Stored(every, "all-phrases")
 
     ranges = -(-grams.df.count() // phrases_per_range)
     first = Stored(_parts(grams.df, False, ranges, longest), "first-parts")
@@ -407,7 +448,7 @@ def phrase_collocations(
     rank = F.row_number().over(Window.partitionBy("l").orderBy(*order, F.asc("phrase")))
     out = out.withColumn("rank", rank.cast("long")).where(F.col("rank") <= best)
     result = Stored(out.select("lang", "rank", "phrase", "a", F.col("first").alias("l"), F.col("last").alias("r"), "n", "score"), "phrases")
-    for t in (words, grams, first, last, scored, near):
+    for t in (words, *found, grams, first, last, scored, near):
         t.drop()
     release(spark)
     return result.df

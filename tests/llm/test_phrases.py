@@ -164,7 +164,12 @@ def test_windows_stop_at_pieces_and_rare_words(monkeypatch):
     got = ["".join(text[x] for x in p[1:] if x) for n, w in windows(s, every) for p in n[w].tolist()]
     assert got == ["ab", "b", "cd", "d", "efghi", "fghij", "ghij", "hij", "ij", "j", "k", "l"]
     rare = every.copy()
-    bit = int(ph._filter_bit(s.lang_names()[s.lang], s.name)["abcdefghijkl".index("g")])
+    bit = int(ph._bit(s.lang_names()[s.lang], s.name)["abcdefghijkl".index("g")])
     rare[bit >> 3] &= ~np.uint8(1 << (bit & 7))
     got = ["".join(text[x] for x in p[1:] if x) for n, w in windows(s, rare) for p in n[w].tolist()]
     assert got == ["ab", "b", "cd", "d", "ef", "f", "hij", "ij", "j", "k", "l"]
+    pairs = every.copy()
+    bit = int(ph._bit(s.lang_names()[s.lang], s.name, np.roll(s.name, -1))["abcdefghijkl".index("e")])
+    pairs[bit >> 3] &= ~np.uint8(1 << (bit & 7))
+    got = ["".join(text[x] for x in p[1:] if x) for n, w in windows(s, every, pairs, 3, 2) for p in n[w].tolist()]
+    assert got == ["ab", "cd", "fgh", "ghi", "hij", "ij"]

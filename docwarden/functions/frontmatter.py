@@ -12,6 +12,7 @@ import json
 from typing import Any
 
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -19,6 +20,7 @@ from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, Stri
 
 from docwarden.functions import text as tx
 from docwarden.functions.shaping import inline_once
+from docwarden.scratch import materialise
 
 try:
     import yaml
@@ -161,7 +163,7 @@ def _typed(block: str) -> dict | None:
     return row
 
 
-def _parse_udf():
+def _parse_udf(loads: Accumulator | None = None):
     arrow_type = to_arrow_type(FRONTMATTER_TYPE)
 
     @F.arrow_udf(FRONTMATTER_TYPE)
@@ -172,6 +174,8 @@ def _parse_udf():
         for block in blocks.to_pylist():
             if block is not None and block not in seen:
                 seen[block] = _typed(block)
+                if loads is not None:
+                    loads.add(1)
             out.append(None if block is None else seen[block])
         return pa.array(out, type=arrow_type)
 
@@ -179,9 +183,12 @@ def _parse_udf():
     return parse.asNondeterministic()
 
 
-def parse_block(block: Column) -> Column:
-    """Typed struct of a metadata block; NULL for no block or invalid YAML, kind ``null`` for an empty one."""
-    return _parse_udf()(block)
+def parse_block(block: Column, loads: Accumulator | None = None) -> Column:
+    """Typed struct of a metadata block; NULL for no block or invalid YAML, kind ``null`` for an empty one.
+
+    Each task parses equal blocks of a batch once; ``loads`` counts what is parsed.
+    """
+    return _parse_udf(loads)(block)
 
 
 def present(fm: Column) -> Column:
@@ -202,23 +209,50 @@ def with_parsed(docs: DataFrame, content: str = "content") -> DataFrame:
     return docs.withColumn("fm", parse_block(F.col("block"))).withColumn("body", body_of(F.col(content)))
 
 
+# Parsed blocks that are sent to every task; more are joined by their key.
+MAX_SHARED_BLOCKS = 20_000
+
+
+def with_distinct_frontmatter(docs: DataFrame, content: str = "content", loads: Accumulator | None = None) -> DataFrame:
+    """As :func:`with_frontmatter`, with every distinct block of the corpus parsed once.
+
+    For corpora whose blocks repeat and are costly to parse.  Hashes of blocks are counted, partially before the
+    shuffle; blocks that occur once are parsed where they are, the others once each, and their documents get
+    the result by a join.  Few repeated blocks are broadcast, so that no text moves.
+    """
+    keyed = with_block(docs, content).withColumn("_key", F.sha2(F.col("block"), 256))
+    named = keyed.select("_key", "block").where(F.col("block").isNotNull())
+    repeated = materialise(named.groupBy("_key").count().where("count > 1").select("_key"), "repeated-blocks")
+    few = repeated.count() <= MAX_SHARED_BLOCKS
+    of_these = named.join(F.broadcast(repeated) if few else repeated, "_key", "left_semi").groupBy("_key").agg(F.first("block").alias("b"))
+    parsed = materialise(of_these.select("_key", parse_block(F.col("b"), loads).alias("_fm"), F.lit(True).alias("_known")), "parsed-blocks")
+    both = keyed.join(F.broadcast(parsed) if few else parsed, "_key", "left")
+    single = both.withColumn("_own", parse_block(F.when(F.col("_known").isNull(), F.col("block")), loads))
+    fm = F.when(F.col("_known").isNull(), F.col("_own")).otherwise(F.col("_fm"))
+    return single.withColumn("fm", fm).withColumn("body", body_of(F.col(content))).drop("_key", "_fm", "_known", "_own")
+
+
 def body_of(content: Column) -> Column:
     """Text after the fence; the whole text without a fence or with invalid YAML."""
     return F.when(F.col("fm")["kind"].isNotNull(), tx.after_head(content, F.col("head"))).otherwise(content)
 
 
-# Nesting beyond this depth (and values that hold themselves) is shown as text only.
-DEEPEST = 50
 _ENTRIES = ArrayType(_struct(key_path=_TEXT, kind=_TEXT, value=_TEXT))
 
 
-def _walk(path: str, v: Any, depth: int, out: list[dict]) -> None:
-    if path:
-        out.append({"key_path": path, "kind": _kind(v), "value": _clean(v)})
-    inner = v.items() if isinstance(v, dict) else enumerate(v) if isinstance(v, list) else ()
-    if depth < DEEPEST:
-        for k, x in inner:
-            _walk(f"{path}.{_clean(k)}" if path else _clean(k), x, depth + 1, out)
+def _walk(data: Any) -> list[dict]:
+    """Keys and elements at any depth, in order; a value inside itself is shown as text and not entered again."""
+    out: list[dict] = []
+    todo: list[tuple[str, Any, frozenset]] = [("", data, frozenset())]
+    while todo:
+        path, v, above = todo.pop()
+        if path:
+            out.append({"key_path": path, "kind": _kind(v), "value": _clean(v)})
+        inner = v.items() if isinstance(v, dict) else enumerate(v) if isinstance(v, list) else ()
+        if id(v) not in above:
+            within = above | {id(v)}
+            todo += [(f"{path}.{_clean(k)}" if path else _clean(k), x, within) for k, x in inner][::-1]
+    return out
 
 
 def _entries_udf():
@@ -230,10 +264,7 @@ def _entries_udf():
         rows = []
         for block in blocks.to_pylist():
             valid, data = load_yaml(block) if block is not None else (False, None)
-            found: list[dict] = []
-            if valid and data is not None:
-                _walk("", data, 0, found)
-            rows.append(found)
+            rows.append(_walk(data) if valid and data is not None else [])
         return pa.array(rows, type=arrow_type)
 
     return entries.asNondeterministic()

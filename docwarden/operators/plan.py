@@ -29,13 +29,15 @@ ITEM_COLUMNS = (
 def global_rank(df: DataFrame, order: tuple[str, ...], name: str = "rank") -> DataFrame:
     """Add consecutive numbers 1..n in the given total order, without one task seeing all rows.
 
-    Rows are range-partitioned and sorted, then written once: the range borders are sampled, so they
-    must not be drawn again between counting a partition and numbering its rows.  The number of a
-    row is its position in its partition plus the sizes of the partitions before; only one row per
-    partition is gathered for those sums.
+    The rows are written before they are ordered, so that the sample behind the range borders reads the
+    key columns of that table and does not run all that made the rows once more.  Range-partitioned and sorted
+    they are written again: the borders must not be drawn anew between counting a partition and numbering
+    its rows.  The number of a row is its position in its partition plus the sizes of the partitions before; only one
+    row per partition is gathered for those sums.
     """
+    rows = materialise(df, "unranked")
     sorted_rows = (
-        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+        rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     )
     written = materialise(sorted_rows, "ranked")
     part = F.shiftright(F.col("_at"), 33)

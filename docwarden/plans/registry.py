@@ -207,10 +207,9 @@ def split_frontmatter(spark: SparkSession, sf: str) -> DataFrame:
     return cut.select("repo", "path", "block", tx.content_hash(body).alias("body_hash"))
 
 
-@query
-def frontmatter_fields(spark: SparkSession, sf: str) -> DataFrame:
+def _fields(parsed: DataFrame) -> DataFrame:
     f = F.col("fm")
-    return parsed(spark, sf).where(fm.present(f)).select(
+    return parsed.where(fm.present(f)).select(
         "repo",
         "path",
         *[f[k]["text"].alias(k) for k in ("id", "name", "description", "version", "verification")],
@@ -220,6 +219,18 @@ def frontmatter_fields(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def frontmatter_fields(spark: SparkSession, sf: str) -> DataFrame:
+    return _fields(parsed(spark, sf))
+
+
+@query
+def frontmatter_distinct(spark: SparkSession, sf: str) -> DataFrame:
+    """The corpus twice, under two names, so that every block occurs twice and is parsed once."""
+    twice = docs(spark, sf).unionByName(docs(spark, sf).withColumn("repo", F.concat(F.col("repo"), F.lit("-copy"))))
+    return _fields(fm.with_distinct_frontmatter(twice))
+
+
 @query
 def frontmatter_long(spark: SparkSession, sf: str) -> DataFrame:
     return fm.frontmatter_long(parsed(spark, sf))

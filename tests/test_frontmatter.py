@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from docwarden.functions import frontmatter as fm
@@ -126,3 +127,27 @@ def test_long_view_has_every_key_at_any_depth(spark):
     for row in [("id", "string", "a"), ("custom.deep.0", "int", "1"), ("custom.deep.1.x", "string", "y"), ("tooling.other", "string", "z"), ("inputs.0.more.0", "string", "q"), ("0", "int", "1"), ("1.k", "string", "v")]:
         assert row in got
     assert len(rows) == len(got) == 16
+
+
+def test_long_view_of_deep_values_and_of_values_in_themselves(spark):
+    deep = "a:\n" + "".join("  " * i + f"k{i}:\n" for i in range(1, 60)) + "  " * 60 + "end: 1\n"
+    own = "b: &b\n  c: 1\n  again: *b\nd: &d\n- *d\n- x\ntwice: [&e {f: 1}, *e]\n"
+    docs = parsed_of(spark, [f"---\n{deep}---\n", f"---\n{own}---\n"])
+    got = {r["key_path"]: r["kind"] for r in fm.frontmatter_long(docs).collect()}
+    path = "a." + ".".join(f"k{i}" for i in range(1, 60)) + ".end"
+    assert got[path] == "int" and len([p for p in got if p.startswith("a")]) == 61
+    assert got["b.c"] == "int" and got["b.again"] == "map" and "b.again.again" not in got
+    assert got["d.0"] == "list" and got["d.1"] == "string" and "d.0.0" not in got
+    assert got["twice.0.f"] == got["twice.1.f"] == "int"
+
+
+@pytest.mark.parametrize("shared", [20_000, 0])
+def test_each_distinct_block_is_parsed_once(spark, monkeypatch, shared):
+    monkeypatch.setattr(fm, "MAX_SHARED_BLOCKS", shared)
+    texts = [f"---\nid: a{i % 40 if i < 200 else i}\n---\nbody {i}" for i in range(260)] + ["---\n[bad\n---\nx"] * 5 + ["no block", "---\n\n---\nempty"] * 3
+    docs = docs_of(spark, texts).repartition(7)
+    loads = spark.sparkContext.accumulator(0)
+    got = fm.with_distinct_frontmatter(docs, loads=loads).select("path", "fm", "body").collect()
+    assert loads.value == len({t.split("---")[1] for t in texts if t.startswith("---")})
+    want = fm.with_frontmatter(docs).select("path", "fm", "body").collect()
+    assert sorted(got, key=lambda r: r["path"]) == sorted(want, key=lambda r: r["path"])

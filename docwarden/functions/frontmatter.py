@@ -228,8 +228,8 @@ def with_distinct_frontmatter(docs: DataFrame, content: str = "content", loads:
     parsed = materialise(of_these.select("_key", parse_block(F.col("b"), loads).alias("_fm"), F.lit(True).alias("_known")), "parsed-blocks")
     both = keyed.join(F.broadcast(parsed) if few else parsed, "_key", "left")
     single = both.withColumn("_own", parse_block(F.when(F.col("_known").isNull(), F.col("block")), loads))
-    fm = F.when(F.col("_known").isNull(), F.col("_own")).otherwise(F.col("_fm"))
-    return single.withColumn("fm", fm).withColumn("body", body_of(F.col(content))).drop("_key", "_fm", "_known", "_own")
+    # At most one of the two is there, as no block was left to parse for documents of a known one.
+    return single.withColumn("fm", F.coalesce("_fm", "_own")).withColumn("body", body_of(F.col(content))).drop("_key", "_fm", "_known", "_own")
 
 
 def body_of(content: Column) -> Column:

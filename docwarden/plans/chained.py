@@ -17,10 +17,12 @@ from docwarden.operators import plan as pl
 from docwarden.operators import search as se
 from docwarden.operators import word_index as wi
 from docwarden.plans import registry as rg
-from docwarden.plans.jobs import audit_manifest
+from docwarden.plans.jobs import Audit, audit_manifest, run_fix, run_migrate
 from docwarden.plans.oracles import ORACLES
+from docwarden.plans.sample_corpus import raw_corpus
 from docwarden.scratch import materialise, scratch_path
-from docwarden.sources import corpus, reports, snapshots
+from docwarden.sources import corpus, reports, snapshots, writers
+from docwarden.sources.tree import read_tree
 
 CHAINED: dict = {}
 CHAINED_SQL: dict[str, str] = {}
@@ -169,25 +171,6 @@ def plan_from_report(spark: SparkSession, sf: str) -> DataFrame:
 CHAINED_SQL["plan_from_report"] = ORACLES["plan_items"]
 
 
-@query
-def audit_from_manifest(spark: SparkSession, sf: str) -> DataFrame:
-    """Findings of a stored manifest, a seventh of whose texts are gone and count as empty."""
-    path = scratch_path(spark, "manifest")
-    docs = rg.docs(spark, sf)
-    every = docs.where(cd.has_text_extension(F.col("path")))
-    reports.write_manifest(cd.describe(every), spark.createDataFrame([("local",)], "type string"), path, rg.STAMP)
-    there = docs.where(~F.col("path").rlike(r"\Aprompts/"))
-    audited = au.audit_docs(audit_manifest(reports.read_manifest(spark, path), there), rg.RULES)
-    gone = au.findings(audited).where(F.col("path").rlike(r"\Aprompts/"))
-    return gone.groupBy("rule_id").agg(F.count("*").alias("n"))
-
-
-# Of an empty text: no block, no body text, no example, no heading.
-CHAINED_SQL["audit_from_manifest"] = (
-    "SELECT rule_id, count(*) AS n FROM documents, (SELECT unnest(['FM001', 'CT001', 'CT002', 'ST001']) AS rule_id) r WHERE doc_id % 7 = 0 GROUP BY rule_id"
-)
-
-
 @query
 def audit_from_manifest_findings(spark: SparkSession, sf: str) -> DataFrame:
     """Findings of all entries of that manifest: of those with joined texts and of those whose texts are gone."""
@@ -208,23 +191,76 @@ CHAINED_SQL["audit_from_manifest_findings"] = (
 )
 
 
+def _on_disk(spark: SparkSession, sf: str) -> tuple[str, DataFrame, DataFrame]:
+    """The corpus as files: their root, the documents as they are read back, and the list of files."""
+    root = scratch_path(spark, "files")
+    raw = raw_corpus(rg.documents(spark, sf))
+    files = raw.select("repo", "path", F.concat_ws("/", F.lit(root), "repo", "path").alias("abs_path"), "content")
+    written = materialise(writers.write_files(files), "written")
+    if not written.where(~F.col("done")).isEmpty():
+        raise OSError(f"could not write below {root}")
+    names = materialise(files.drop("content"), "names")
+    return root, materialise(corpus.read_files(names), "read-back"), names
+
+
+_NUMBER = r"(\d+)\.[A-Za-z]+\z"
+
+
 @query
 def migrate_applied(spark: SparkSession, sf: str) -> DataFrame:
-    """Flags from outcomes, when every third destination could not be written; delete without apply is refused."""
-    planned = materialise(rg.planned(spark, sf).drop("content", "head"), "migration")
+    """Documents moved on disk, where a folder stands in the way of every third destination; what is there afterwards."""
+    root, docs, names = _on_disk(spark, sf)
+    skills = f"{root}/moved/skills"
+    number = F.regexp_extract("path", _NUMBER, 1).cast("long")
+    planned = mg.migrate_plan(fm.with_frontmatter(docs), skills)
+    blocked = planned.where(number % 3 == 0).select(F.concat("dest_path", F.lit("/in-the-way.txt")).alias("abs_path"), F.lit("x").alias("content"))
+    materialise(writers.write_files(blocked), "blocked")
     try:
-        mg.migrate_actions(planned, allow_delete=True)
+        run_migrate(docs, skills, allow_delete=True, in_place=True)
         raise AssertionError("a deletion that is not applied must be refused")
     except ValueError:
         pass
-    actions = mg.migrate_actions(planned, apply=True, dry_run=False, allow_delete=True, write_pointer=False)
-    number = F.regexp_extract("source_path", r"(\d+)\.[A-Za-z]+\z", 1).cast("long")
-    copied = actions.where(number % 3 != 0).select("doc_key")
-    done = mg.migrate_outcomes(actions, copied, copied.limit(0), copied)
-    return done.select(number.alias("doc_id"), "applied", "deleted_source", "wrote_pointer")
+    moved = run_migrate(docs, skills, apply=True, dry_run=False, allow_delete=True, write_pointer=False, in_place=True, migrated_at=rg.STAMP)
+    left = read_tree(spark, [("all", root)]).select("abs_path", "content")
+    source = names.join(left.select("abs_path", F.lit(True).alias("there")), "abs_path", "left").select("abs_path", F.col("there").isNotNull().alias("source_there"))
+    flags = moved.actions.join(source, F.col("source_path") == F.col("abs_path")).drop("abs_path")
+    copy = left.select("abs_path", F.sha2("content", 256).alias("copy_hash"))
+    flags = flags.join(copy, F.col("dest_path") == F.col("abs_path"), "left")
+    return flags.select(number.alias("doc_id"), "applied", "deleted_source", "wrote_pointer", "source_there", "copy_hash")
 
 
-CHAINED_SQL["migrate_applied"] = "SELECT doc_id, doc_id % 3 <> 0 AS applied, doc_id % 3 <> 0 AS deleted_source, FALSE AS wrote_pointer FROM documents"
+CHAINED_SQL["migrate_applied"] = f"""SELECT doc_id, doc_id % 3 <> 0 AS applied, doc_id % 3 <> 0 AS deleted_source, FALSE AS wrote_pointer, doc_id % 3 = 0 AS source_there,
+CASE WHEN doc_id % 3 <> 0 THEN content_hash END AS copy_hash
+FROM (SELECT CAST(regexp_extract(path, '(\\d+)\\.[A-Za-z]+$', 1) AS BIGINT) AS doc_id, content_hash FROM ({ORACLES['migrate_rendered']}) r) m"""
+
+
+@query
+def migrate_pointed(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents copied on disk, with pointers written over their sources; what is there afterwards."""
+    root, docs, names = _on_disk(spark, sf)
+    moved = run_migrate(docs, f"{root}/moved/skills", skills_repo="owner/library", apply=True, dry_run=False, in_place=True, migrated_at=rg.STAMP)
+    flags = moved.actions.where("applied AND wrote_pointer AND NOT deleted_source").select("source_path")
+    left = corpus.read_files(names).join(flags, F.col("abs_path") == F.col("source_path"))
+    return left.select("repo", "path", "content")
+
+
+CHAINED_SQL["migrate_pointed"] = ORACLES["migrate_pointers"]
+
+
+@query
+def fix_in_place(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents read from files, fixed there, and read back: those that differ from what they were."""
+    _, docs, names = _on_disk(spark, sf)
+    before = docs.select("abs_path", F.col("content_hash").alias("was"))
+    audited = au.audit_docs(docs, rg.RULES)
+    done = run_fix(Audit(audited, audited, rg.RULES, rg.STAMP), apply=True, dry_run=False, in_place=True)
+    if not done.written.where(~F.col("done")).isEmpty():
+        raise OSError("a file could not be written")
+    after = corpus.read_files(names).join(before, "abs_path").where(F.col("content_hash") != F.col("was"))
+    return after.select("repo", "path", F.char_length("content").cast("long").alias("n_chars"), "content_hash")
+
+
+CHAINED_SQL["fix_in_place"] = ORACLES["fix_apply"]
 
 
 @query
@@ -235,6 +271,15 @@ def scan_object_store(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.scan_object_store(spark, "all", root).select("path", "content_hash", "size_bytes")
 
 
+@query
+def audit_from_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings per rule of all entries of a stored manifest, those whose texts are gone included."""
+    return audit_from_manifest_findings(spark, sf).groupBy("rule_id").agg(F.count("*").alias("n"))
+
+
+CHAINED_SQL["audit_from_manifest"] = f"SELECT rule_id, count(*) AS n FROM ({CHAINED_SQL['audit_from_manifest_findings']}) f GROUP BY rule_id"
+
+
 # ---------------------------------------------------------------------------------------------
 # Search by mode
 

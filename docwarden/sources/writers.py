@@ -5,13 +5,15 @@ Nothing is ever written over the table a job reads; trees are changed in place o
 
 from __future__ import annotations
 
+import errno
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docwarden.sources.corpus import addressed, delete_file, write_bytes
+from docwarden.sources.corpus import addressed
+from docwarden.sources.files import delete_file, write_bytes
 
 
 def write_docs(docs: DataFrame, path: str) -> DataFrame:
@@ -33,6 +35,14 @@ def write_by_domain(docs: DataFrame, path: str) -> DataFrame:
 _DONE = "path string, key string, done boolean"
 
 
+# What will be no different the next time; any other failure fails the task, which is then repeated.
+_FINAL = {errno.ENOENT, errno.EACCES, errno.EPERM, errno.ENOTDIR, errno.EISDIR, errno.EEXIST, errno.ENOTEMPTY, errno.ENAMETOOLONG, errno.EROFS, errno.EINVAL, errno.ELOOP}
+
+
+def _is_final(failed: OSError) -> bool:
+    return failed.errno in _FINAL or isinstance(failed, FileNotFoundError | PermissionError | NotADirectoryError | IsADirectoryError | FileExistsError)
+
+
 def _write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in frames:
         done = []
@@ -40,7 +50,9 @@ def _write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             try:
                 write_bytes(path, content.encode("utf-8"))
                 done.append(True)
-            except OSError:
+            except OSError as failed:
+                if not _is_final(failed):
+                    raise
                 done.append(False)
         yield pdf.drop(columns=["address", "content"]).assign(done=done)
 
@@ -52,7 +64,11 @@ def _delete(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             try:
                 delete_file(path)
                 done.append(True)
-            except OSError:
+            except FileNotFoundError:
+                done.append(True)  # this task ran before, on an executor that was lost
+            except OSError as failed:
+                if not _is_final(failed):
+                    raise
                 done.append(False)
         yield pdf.drop(columns="address").assign(done=done)
 
@@ -68,4 +84,5 @@ def write_files(docs: DataFrame, path: str = "abs_path") -> DataFrame:
 
 
 def delete_files(docs: DataFrame, path: str = "abs_path") -> DataFrame:
+    """Delete the files that rows name; ``done`` tells which are gone, also those that were gone before."""
     return _named(docs, path).select(F.col(path).alias("path"), "key", "address").mapInPandas(_delete, _DONE)

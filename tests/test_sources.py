@@ -141,10 +141,40 @@ def test_written_files(spark, tmp_path):
     assert (tmp_path / "new" / "d000.md").read_bytes() == "é".encode()
     assert all(r["done"] for r in writers.delete_files(docs).collect())
     assert not os.listdir(tmp_path / "new")
-    assert [r["done"] for r in writers.delete_files(docs.limit(1)).collect()] == [False]
+    # A task that is repeated finds its files gone, as it should.
+    assert all(r["done"] for r in writers.delete_files(docs).collect())
 
 
 def test_domain_folders(spark, tmp_path):
     docs = docs_of(spark, ["a", "b", "c"]).withColumn("domain", F.when(F.col("path") < "d002", "one").otherwise("two"))
     stored = writers.write_by_domain(docs, str(tmp_path / "out"))
     assert stored.count() == 3 and {d for d in os.listdir(tmp_path / "out") if "=" in d} == {"domain=one", "domain=two"}
+
+
+def test_a_failure_that_may_pass_fails_the_task(spark, tmp_path, monkeypatch):
+    import errno
+
+    import pandas as pd
+
+    frame = pd.DataFrame({"path": ["p"], "key": ["k"], "address": [str(tmp_path / "f.md")], "content": ["x"]})
+    for code, final in ((errno.ETIMEDOUT, False), (errno.EIO, False), (errno.EACCES, True), (errno.EISDIR, True)):
+
+        def broken(*_, code=code):
+            raise OSError(code, "failed")
+
+        monkeypatch.setattr(writers, "write_bytes", broken)
+        monkeypatch.setattr(writers, "delete_file", broken)
+        for run, rows in ((writers._write, frame), (writers._delete, frame.drop(columns="content"))):
+            if final:
+                assert next(run(iter([rows])))["done"].tolist() == [False]
+            else:
+                with pytest.raises(OSError, match="failed"):
+                    next(run(iter([rows])))
+
+
+def test_a_folder_in_the_way_is_final(spark, tmp_path):
+    (tmp_path / "a.md").mkdir()
+    (tmp_path / "a.md" / "x").write_text("x")
+    docs = spark.createDataFrame([(str(tmp_path / "a.md"), "text"), (str(tmp_path / "b.md"), "text")], "abs_path string, content string")
+    assert sorted((r["path"][-4:], r["done"]) for r in writers.write_files(docs).collect()) == [("a.md", False), ("b.md", True)]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a.md", "b.md"]

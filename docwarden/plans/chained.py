@@ -221,8 +221,8 @@ def migrate_applied(spark: SparkSession, sf: str) -> DataFrame:
     except ValueError:
         pass
     moved = run_migrate(docs, skills, apply=True, dry_run=False, allow_delete=True, write_pointer=False, in_place=True, migrated_at=rg.STAMP)
-    left = read_tree(spark, [("all", root)]).select("abs_path", "content")
-    source = names.join(left.select("abs_path", F.lit(True).alias("there")), "abs_path", "left").select("abs_path", F.col("there").isNotNull().alias("source_there"))
+    source = corpus.read_contents(names).select("abs_path", F.col("content").isNotNull().alias("source_there"))
+    left = read_tree(spark, [("moved", f"{root}/moved")]).select("abs_path", "content")  # folders are no copies
     flags = moved.actions.join(source, F.col("source_path") == F.col("abs_path")).drop("abs_path")
     copy = left.select("abs_path", F.sha2("content", 256).alias("copy_hash"))
     flags = flags.join(copy, F.col("dest_path") == F.col("abs_path"), "left")

@@ -23,6 +23,7 @@ from docwarden.plans.sample_corpus import raw_corpus
 from docwarden.scratch import materialise, scratch_path
 from docwarden.sources import corpus, reports, snapshots, writers
 from docwarden.sources.tree import read_tree
+from docwarden.streaming import running as ru
 
 CHAINED: dict = {}
 CHAINED_SQL: dict[str, str] = {}
@@ -333,3 +334,42 @@ def search_index_grown(spark: SparkSession, sf: str) -> DataFrame:
 
 
 CHAINED_SQL["search_index_grown"] = ORACLES["search_index"]
+
+
+# ---------------------------------------------------------------------------------------------
+# Documents that arrive in batches
+
+
+def _forget_last_commit(spark: SparkSession, checkpoint: str) -> None:
+    """As after a failure between the last batch's output and its commit: the batch will run again."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(f"{checkpoint}/commits")
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    last = max(int(f.getPath().getName()) for f in system.listStatus(folder) if f.getPath().getName().isdigit())
+    system.delete(hadoop.Path(folder, str(last)), False)
+
+
+@query
+def running_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """The corpus arrives in four batches, the last of which runs twice: findings per rule, and shared destinations."""
+    name = F.concat_ws(".", F.concat_ws("/", "lang", "source"), F.col("doc_id").cast("string"))
+    shared = corpus.corpus_from_table(rg.documents(spark, sf), F.lit("owner/all"), name, F.col("text"))
+    frames = []
+    for what, docs in (("findings", rg.docs(spark, sf)), ("destinations", shared)):
+        inbox, out, checkpoint = (scratch_path(spark, f"{what}-{part}") for part in ("inbox", "totals", "checkpoint"))
+        docs.repartition(4, "doc_key").write.parquet(inbox)
+        for turn in range(2):
+            stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+            run = ru.count_findings(stream, rg.RULES, out, checkpoint) if what == "findings" else ru.keep_destinations(stream, out, checkpoint)
+            run.awaitTermination()
+            if not turn:
+                _forget_last_commit(spark, checkpoint)
+        if what == "findings":
+            frames.append(ru.finding_counts(spark, out).select(F.concat_ws("/", "rule_id", "severity").alias("key"), "n", F.lit(None).cast("string").alias("kept")))
+        else:
+            frames.append(ru.destinations(spark, out).select(F.col("dest_rel").alias("key"), F.col("n_sources").alias("n"), "kept"))
+    return frames[0].unionByName(frames[1])
+
+
+CHAINED_SQL["running_audit"] = f"""SELECT rule_id || '/' || severity AS key, count(*) AS n, NULL AS kept FROM ({ORACLES['findings']}) f GROUP BY rule_id, severity
+UNION ALL SELECT * FROM (SELECT 'skills/general/owner-all-' || lang || '-' || source || '.md' AS key, count(*) AS n, '/corpus/owner/all/' || max(lang || '/' || source || '.' || doc_id) AS kept FROM documents GROUP BY 1) d"""

@@ -85,11 +85,9 @@ def stand_in(c: str) -> str:
     return "a" if len(letter.pre_tokenize_str(whole)) > 1 else "0" if len(number.pre_tokenize_str(whole)) > 1 else "\ue000"
 
 
-def normal(chunk: str) -> str:
-    """NFC and lower case, character by character."""
-    if chunk.isascii():
-        return chunk.lower()
-    if any(map(unassigned, chunk)):
+def normal(chunk: str, odd: bool) -> str:
+    """NFC and lower case, character by character; ``odd`` text holds characters that Python does not assign."""
+    if odd:
         return _library()[0](chunk)
     return "".join([c.lower() for c in unicodedata.normalize("NFC", chunk)])
 
@@ -200,7 +198,9 @@ class WordBpe:
         """Ids of a run of characters without white space that is not in the store."""
         words = self.words
         plain = chunk.isascii()
-        text = normal(chunk)
+        # Unassigned characters are not printable, which is tested at once.
+        odd = not plain and not chunk.isprintable() and any(map(unassigned, chunk))
+        text = chunk.lower() if plain else normal(chunk, odd)
         if text.isalpha() and (plain or text == chunk):  # one piece
             if text != chunk:
                 return words[text]
@@ -211,8 +211,11 @@ class WordBpe:
                 words[text] = found
             return found
         out = []
-        for found in self.split.finditer(text if text.isascii() else "".join(map(stand_in, text))):
-            piece = text[found.start() : found.end()]
+        if odd:
+            pieces = [text[m.start() : m.end()] for m in self.split.finditer("".join(map(stand_in, text)))]
+        else:
+            pieces = self.split.findall(text)
+        for piece in pieces:
             if piece.isascii() and piece.isalpha():
                 out.append(words[piece])
                 continue

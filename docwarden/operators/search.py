@@ -5,6 +5,7 @@ Queries are a frame ``(qid, text)``, so many run in one job.  Ties go to the low
 
 from __future__ import annotations
 
+import functools
 import logging
 import uuid
 from collections.abc import Callable, Iterator
@@ -202,7 +203,7 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_TOP_K) -> Da
 # ---------------------------------------------------------------------------------------------
 # Vectors
 
-# A query matrix of at most this many numbers is sent to every task; beyond it both sides are blocked.
+# A query matrix of about this many numbers is sent to every task; beyond it queries go in groups.
 MAX_SHARED_NUMBERS = 4_000_000
 BLOCK_ROWS = 2048
 # Scores that a task holds at once, and digits of a score: products of other shapes differ beyond them.
@@ -249,22 +250,6 @@ def _shared_scores(vectors: DataFrame, rows: list, schema: str, k: int) -> DataF
     return vectors.mapInPandas(score, schema)
 
 
-def _blocked_scores(vectors: DataFrame, queries: DataFrame, n_queries: int, n_vectors: int, schema: str, k: int) -> DataFrame:
-    """Blocks of vectors meet blocks of queries; each pair of blocks is one small matrix product."""
-    q_blocks, v_blocks = -(-n_queries // BLOCK_ROWS), -(-n_vectors // BLOCK_ROWS)
-    blocks = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)))
-    deal = lambda n: F.pmod(F.xxhash64("row_key"), F.lit(max(n, 1))).cast("int")
-    left = vectors.withColumn("row_key", F.col("id")).withColumn("vb", deal(v_blocks)).withColumn("qb", blocks(q_blocks)).drop("row_key")
-    right = queries.withColumn("row_key", F.col("qid")).withColumn("qb", deal(q_blocks)).withColumn("vb", blocks(v_blocks)).drop("row_key")
-
-    def score(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if v.empty or q.empty:
-            return pd.DataFrame({"qid": [], "id": [], "score": []})
-        return _best(v["id"].to_numpy(), _matrix(v["embedding"]), q["qid"].to_numpy(), _matrix(q["embedding"]), k)
-
-    return left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInPandas(score, schema)
-
-
 def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_TOP_K, max_shared: int = MAX_SHARED_NUMBERS) -> DataFrame:
     """``(qid, rank, id, score)`` by cosine of ``vectors(id, embedding)`` and ``queries(qid, embedding)``.
 
@@ -280,7 +265,11 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_TOP_K,
     if len(rows) <= room:
         scored = _shared_scores(vectors, rows, schema, k)
     else:
-        scored = _blocked_scores(vectors, queries, queries.count(), vectors.count(), schema, k)
+        # Groups of queries, each sent to all tasks: vectors are read once a group and never move.
+        groups = -(-2 * queries.count() // room)
+        of = F.pmod(F.xxhash64("qid"), F.lit(groups))
+        parts = (queries.where(of == i).collect() for i in range(groups))
+        scored = functools.reduce(DataFrame.unionByName, [_shared_scores(vectors, part, schema, k) for part in parts if part])
     return only_best(scored, "score", k).select("qid", "rank", "id", "score")
 
 

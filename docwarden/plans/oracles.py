@@ -424,3 +424,4 @@ SELECT qid, CAST(rank AS INT) AS rank, id, round(score, 6) AS score FROM r WHERE
 SELECT sha256(text) AS content_key, count(*) AS copies, array_to_string([length(any_value(text)) - length(replace(any_value(text), c, '')) FOR c IN ['a', 'e', 'i', 'o', 'u']], '|') AS embedding FROM t GROUP BY 1""",
 }
 ORACLES["frontmatter_distinct"] = f"SELECT * FROM ({ORACLES['frontmatter_fields']}) f UNION ALL SELECT * REPLACE (repo || '-copy' AS repo) FROM ({ORACLES['frontmatter_fields']}) f"
+ORACLES["cosine_groups"] = ORACLES["vector_index"] = ORACLES["cosine_topk"]

@@ -17,6 +17,7 @@ from docwarden.operators import migrate as mg
 from docwarden.operators import plan as pl
 from docwarden.operators import rules as ru
 from docwarden.operators import search as se
+from docwarden.operators import vector_index as vi
 from docwarden.operators import word_index as wi
 from docwarden.operators.rules import RuleSet
 from docwarden.plans.jobs import describe_sources
@@ -515,15 +516,35 @@ def search_index(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(wi.search_index(spark, path, questions(spark, sf)))
 
 
-@query
-def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
-    """Nearest vectors to the mean vector of every label."""
+def label_means(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """All vectors, and the mean vector of every label as a query."""
     vectors = spread(table(spark, sf, "embeddings"))
     each = vectors.select("label", F.posexplode("embedding").alias("at", "v"))
     means = each.groupBy("label", "at").agg(F.avg("v").alias("v"))
     cells = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("cells"))  # one per dimension
     asked = cells.select(F.col("label").cast("long").alias("qid"), F.transform("cells", lambda c: c["v"]).alias("embedding"))
-    return _rounded(se.cosine_topk(vectors.select(F.col("vec_id").alias("id"), "embedding"), asked))
+    return vectors.select(F.col("vec_id").alias("id"), "embedding"), asked
+
+
+@query
+def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """Nearest vectors to the mean vector of every label."""
+    return _rounded(se.cosine_topk(*label_means(spark, sf)))
+
+
+@query
+def cosine_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with queries in groups, as for more of them than are sent at once."""
+    return _rounded(se.cosine_topk(*label_means(spark, sf), max_shared=256))
+
+
+@query
+def vector_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from vectors stored in clusters."""
+    vectors, asked = label_means(spark, sf)
+    path = scratch_path(spark, "vectors")
+    vi.build_vectors(vectors, path)
+    return _rounded(vi.search_vectors(spark, path, materialise(asked, "label-means")))
 
 
 def letter_counts(text: Column) -> Column:

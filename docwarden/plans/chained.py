@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docwarden.functions import frontmatter as fm
+from docwarden.functions import text as tx
 from docwarden.operators import audit as au
 from docwarden.operators import candidates as cd
 from docwarden.operators import fix as fx
@@ -336,6 +337,48 @@ def search_index_grown(spark: SparkSession, sf: str) -> DataFrame:
 CHAINED_SQL["search_index_grown"] = ORACLES["search_index"]
 
 
+# ---------------------------------------------------------------------------------------------
+# Stored reports of changes
+
+
+@query
+def fix_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored report of a fix that is not applied: its counts, and its actions per rule."""
+    path = scratch_path(spark, "fix-report")
+    audited = au.audit_docs(rg.docs(spark, sf), rg.RULES)
+    run_fix(Audit(audited, audited, rg.RULES, rg.STAMP), report_path=path)
+    head, actions = reports.read_fix(spark, path)
+    counts = head.where("dry_run AND NOT applied").select(F.inline(F.array(
+        F.struct(F.lit("actions").alias("what"), F.col("actions_count").alias("n")),
+        F.struct(F.lit("findings left").alias("what"), F.col("post_fix_audit_summary.total_findings").alias("n")),
+    )))
+    return counts.unionByName(actions.groupBy(F.col("rule_id").alias("what")).agg(F.count("*").alias("n")))
+
+
+CHAINED_SQL["fix_report"] = f"""SELECT 'actions' AS what, count(*) AS n FROM ({ORACLES['fix_actions']}) a UNION ALL SELECT 'findings left', count(*) FROM ({ORACLES['fix_reaudit']}) r
+UNION ALL SELECT rule_id, count(*) FROM ({ORACLES['fix_actions']}) a GROUP BY rule_id"""
+
+
+@query
+def migrate_from_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """Relocated documents of a stored manifest, some of whose entries name no file, or one that is gone; counted in a report."""
+    path = scratch_path(spark, "manifest")
+    _, docs, _ = _on_disk(spark, sf)
+    entries = cd.describe(docs)
+    lost = entries.where(F.col("path").startswith("prompts/"))
+    lost = lost.withColumn("abs_path", F.when(F.col("size_bytes") % 2 == 0, F.lit(" ")).otherwise(F.concat("abs_path", F.lit(".gone"))))
+    reports.write_manifest(entries.unionByName(lost), spark.createDataFrame([("local",)], "type string"), path, rg.STAMP)
+    moved = run_migrate(reports.read_manifest(spark, path), migrated_at=rg.STAMP, report_path=f"{path}/report")
+    head, actions = reports.read_migrate(spark, f"{path}/report")
+    rendered = moved.documents.select("repo", "path", F.char_length("content").cast("long").alias("n_chars"), tx.content_hash(F.col("content")).alias("content_hash"))
+    planned = actions.where("NOT applied").select("repo", "path", "dest_rel")
+    total = head.where("dry_run").select(F.lit("(all)").alias("repo"), F.lit("").alias("path"), F.lit("").alias("dest_rel"), F.col("summary.total").alias("n_chars"), F.lit("").alias("content_hash"))
+    return rendered.join(planned, ["repo", "path"]).unionByName(total)
+
+
+CHAINED_SQL["migrate_from_manifest"] = f"SELECT repo, path, dest_rel, n_chars, content_hash FROM ({ORACLES['migrate_rendered']}) r UNION ALL SELECT '(all)', '', '', count(*), '' FROM documents"
+
+
 # ---------------------------------------------------------------------------------------------
 # Documents that arrive in batches
 

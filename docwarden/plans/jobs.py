@@ -201,12 +201,13 @@ def run_fix(
     dry_run: bool = True,
     output_path: str | None = None,
     in_place: bool = False,
+    report_path: str | None = None,
 ) -> Fix:
     """Rewrite documents.
 
     All fixable findings are fixed, or those of ``plan_items`` where given.  With ``apply`` (and not
     ``dry_run``) the rewritten documents go to the table ``output_path``, or back to their files
-    with ``in_place``.
+    with ``in_place``.  ``report_path`` gets the actions and what an audit after the fixes finds.
     """
     effective = apply and not dry_run
     docs = audit.documents
@@ -222,7 +223,10 @@ def run_fix(
             written = writers.write_docs(changed, output_path)
         if in_place:
             written = materialise(writers.write_files(changed), "written")
-    return Fix(fixed, fx.fix_actions(fixed, effective), fx.reaudit(fixed, audit.rules), effective, written)
+    done = Fix(fixed, fx.fix_actions(fixed, effective), fx.reaudit(fixed, audit.rules), effective, written)
+    if report_path:
+        reports.write_fix(done.actions, done.reaudit, report_path, utc_now(), effective)
+    return done
 
 
 @dataclass(frozen=True)
@@ -251,14 +255,21 @@ def run_migrate(
     output_path: str | None = None,
     in_place: bool = False,
     migrated_at: str | None = None,
+    report_path: str | None = None,
 ) -> Migration:
     """Relocate documents; of several with one destination the last in document order stays.
 
+    ``docs`` is a scan, a frame of documents, or the entries of a manifest: without a ``content`` column texts are read
+    from ``abs_path``, and entries that name no file or one that cannot be read are skipped.
+
     With ``apply`` (and not ``dry_run``) the relocated documents and pointers go to tables below
     ``output_path``, or to files with ``in_place``.  Then the flags of ``actions`` tell what was done: a document whose
     destination could not be written keeps its source as it is and has ``applied`` false.
     """
     docs = docs.candidates if isinstance(docs, Scan) else docs
+    if "content" not in docs.columns:
+        named = docs.where(F.trim(F.coalesce("abs_path", F.lit(""))) != "")
+        docs = materialise(corpus.read_files(named.select("repo", "path", "abs_path")), "manifest-texts")
     planned = mg.migrate_plan(with_frontmatter(docs), skills_root)
     effective = apply and not dry_run
     actions = mg.migrate_actions(planned, apply, allow_delete, dry_run, write_pointer)
@@ -283,6 +294,9 @@ def run_migrate(
         deleted = materialise(writers.delete_files(copied), "deleted") if allow_delete and not write_pointer else none
         done = [d if d is none else d.where("done").select(F.col("key").alias("doc_key")) for d in (pointed, deleted)]
         actions = mg.migrate_outcomes(actions, copied, *done)
+    if report_path:
+        options = {"allow_delete": allow_delete, "skills_root": skills_root, "skills_repo": skills_repo}
+        reports.write_migrate(actions, report_path, utc_now(), effective, options)
     return Migration(planned, actions, rendered, pointers, effective)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docwarden.operators import audit as au
+from docwarden.operators.migrate import migrate_summary
 from docwarden.operators.plan import plan_summary
 from docwarden.operators.rules import SEVERITY_ORDER, RuleSet
 from docwarden.scratch import materialise
@@ -165,11 +166,11 @@ def findings_json(column: str = "findings") -> Column:
     return F.to_json(shown)
 
 
-def _meta(spark, path: str, meta: dict[str, Any], summary: DataFrame | None = None) -> None:
+def _meta(spark, path: str, meta: dict[str, Any], summary: DataFrame | None = None, name: str = "summary") -> None:
     """One JSON record: run metadata and, beside it, the summary's columns."""
     fixed = {k: v for k, v in meta.items() if v is not None}
     base = spark.range(1) if summary is None else summary
-    kept = [] if summary is None else [F.struct(*summary.columns).alias("summary")]
+    kept = [] if summary is None else [F.struct(*summary.columns).alias(name)]
 
     def literal(v: Any) -> Column:
         return F.struct(*[literal(x).alias(k) for k, x in v.items()]) if isinstance(v, dict) else F.lit(v)
@@ -198,6 +199,24 @@ def write_plan(items: DataFrame, found: DataFrame, rules: RuleSet, path: str, cr
     items.write.json(f"{path}/items")
 
 
+def write_fix(actions: DataFrame, reaudit: DataFrame, path: str, created_at: str, applied: bool) -> None:
+    """Options, number of actions and summary of the audit after the fixes in one row; the actions as a table."""
+    stored = actions.drop("doc_key")
+    stored.write.json(f"{path}/actions")
+    count = actions.sparkSession.read.schema(stored.schema).json(f"{path}/actions").count()
+    meta = {"schema_version": "1", "created_at": created_at, "dry_run": not applied, "applied": applied, "actions_count": count}
+    _meta(actions.sparkSession, f"{path}/fix", meta, au.summary(reaudit), "post_fix_audit_summary")
+
+
+def write_migrate(actions: DataFrame, path: str, created_at: str, applied: bool, options: dict[str, Any]) -> None:
+    """Options and the four counts in one row; the actions as a table."""
+    stored = actions.drop("doc_key")
+    stored.write.json(f"{path}/actions")
+    again = actions.sparkSession.read.schema(stored.schema).json(f"{path}/actions")
+    meta = {"schema_version": "1", "created_at": created_at, "dry_run": not applied, "applied": applied, **options}
+    _meta(actions.sparkSession, f"{path}/migrate", meta, migrate_summary(again))
+
+
 # ---------------------------------------------------------------------------------------------
 # Reading stored reports back
 
@@ -228,3 +247,23 @@ def read_plan(spark: SparkSession, path: str) -> DataFrame:
     """The items of a stored plan, keyed as documents are."""
     kinds = f"rank long, {_IDENTITY_DDL}, rule_id string, name string, severity string, effort string, fixable boolean, risk string, description string, action string"
     return spark.read.schema(kinds).json(f"{path}/items").withColumn("doc_key", doc_key())
+
+
+_COUNT_DDL = "files_audited: long, total_findings: long, error: long, warning: long, info: long"
+
+
+def read_fix(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """One row of options and counts, and the actions."""
+    kinds = f"schema_version string, created_at string, dry_run boolean, applied boolean, actions_count long, post_fix_audit_summary struct<{_COUNT_DDL}>"
+    actions = "repo string, path string, abs_path string, rule_id string, applied boolean, diff_summary string"
+    return spark.read.schema(kinds).json(f"{path}/fix"), spark.read.schema(actions).json(f"{path}/actions")
+
+
+def read_migrate(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """One row of options and counts, and the actions."""
+    kinds = (
+        "schema_version string, created_at string, dry_run boolean, applied boolean, allow_delete boolean, skills_root string, skills_repo string, "
+        "summary struct<total: long, applied: long, pointers_written: long, deleted: long>"
+    )
+    actions = "skill_id string, repo string, path string, source_path string, dest_path string, dest_rel string, domain string, status string, applied boolean, deleted_source boolean, wrote_pointer boolean"
+    return spark.read.schema(kinds).json(f"{path}/migrate"), spark.read.schema(actions).json(f"{path}/actions")

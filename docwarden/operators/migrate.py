@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,17 +110,14 @@ def migrate_rendered(planned: DataFrame, migrated_at: str) -> DataFrame:
     )
 
 
+# Fixed value: the stub, with places for the repository, the link and the identity.
+POINTER = "<!-- This file was migrated to [{repo}]({link}). -->\n\n**Skill `{id}` has been migrated.**  \nSee: {link}\n"
+
+
 def pointer_text(skill_id: Column, dest_rel: Column, skills_repo: str) -> Column:
-    link = _blob(dest_rel, skills_repo)
-    return F.concat(
-        F.lit(f"<!-- This file was migrated to [{skills_repo}]("),
-        link,
-        F.lit("). -->\n\n**Skill `"),
-        skill_id,
-        F.lit("` has been migrated.**  \nSee: "),
-        link,
-        F.lit("\n"),
-    )
+    places = {"link": _blob(dest_rel, skills_repo), "id": skill_id, "repo": F.lit(skills_repo)}
+    parts = re.split(r"\{(\w+)\}", POINTER)
+    return F.concat(*[places[p] if i % 2 else F.lit(p) for i, p in enumerate(parts)])
 
 
 def migrate_pointers(planned: DataFrame, skills_repo: str = DEFAULT_REPO) -> DataFrame:

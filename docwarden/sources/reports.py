@@ -21,6 +21,15 @@ from docwarden.sources.corpus import doc_key
 
 LINE_ORDER = ("part", "repo", "path", "abs_path", "line_no")
 LAST = 99  # fixed value: sort place of unknown severities
+# Titles, headings and table heads of the two Markdown reports.
+AUDIT_TITLE, PLAN_TITLE = "# Audit Report", "# Improvement Plan"
+RULE_SOURCE, SUMMARY, FINDINGS = "## Rule Source", "## Summary", "## Findings"
+BY_SEVERITY, BY_RISK, ITEMS = "### By Severity", "### By Risk", "## Prioritised Action Items"
+AUDIT_COUNTS = ["| Files audited | Total findings | Errors | Warnings | Info |", "|---|---|---|---|---|"]
+FINDING_TABLE = ["| Rule | Severity | Description |", "|---|---|---|"]
+SEVERITY_TABLE = ["| Severity | Count |", "|---|---|"]
+RISK_TABLE = ["| Risk | Count |", "|---|---|"]
+ITEM_TABLE = ["| # | File | Rule | Severity | Effort | Risk | Fixable | Action |", "|---|---|---|---|---|---|---|---|"]
 
 
 def _joined(*parts: Column | str) -> Column:
@@ -44,31 +53,30 @@ def audit_markdown(audited: DataFrame, rules: RuleSet, created_at: str, dry_run:
     """Header, rule source, summary table, then one table per document with findings."""
     origin = rules.provenance()
     top = [
-        "# Audit Report",
+        AUDIT_TITLE,
         "",
         f"**Generated:** {created_at}  ",
         f"**Dry-run:** {_yes(dry_run)}  ",
         "",
-        "## Rule Source",
+        RULE_SOURCE,
         "",
         f"- **URL:** {origin['source_url']}",
         f"- **Commit SHA:** `{origin['commit_sha']}`",
         f"- **Fetched at:** {origin['fetched_at']}",
         f"- **Using baseline:** {_yes(origin['is_baseline'])}",
         "",
-        "## Summary",
+        SUMMARY,
         "",
-        "| Files audited | Total findings | Errors | Warnings | Info |",
-        "|---|---|---|---|---|",
+        *AUDIT_COUNTS,
         _joined("| ", F.col("files_audited"), " | ", F.col("total_findings"), " | ", F.col("error"), " | ", F.col("warning"), " | ", F.col("info"), " |"),
         "",
-        "## Findings",
+        FINDINGS,
         "",
     ]
     head = _head(au.summary(audited), 0, top)
     rows = F.transform("findings", lambda f: _joined("| `", f["rule_id"], "` | ", f["severity"], " | ", f["description"], " |"))
     title = _joined("### `", F.col("repo"), "/", F.col("path"), "`")
-    section = F.concat(F.array(title, F.lit(""), F.lit("| Rule | Severity | Description |"), F.lit("|---|---|---|")), rows, F.array(F.lit("")))
+    section = F.concat(F.array(title, F.lit(""), *map(F.lit, FINDING_TABLE)), rows, F.array(F.lit("")))
     body = audited.where(F.size("findings") > 0).select(
         F.lit(1).alias("part"), "repo", "path", "abs_path", F.posexplode(section).alias("line_no", "text")
     )
@@ -82,29 +90,22 @@ def plan_markdown(items: DataFrame, found: DataFrame, created_at: str, dry_run:
     number = lambda dimension: F.sum(F.when(F.col("dimension") == dimension, F.col("n")))
     totals = counts.agg(number("total").alias("total"), number("fixable").alias("fixable"))
     top = [
-        "# Improvement Plan",
+        PLAN_TITLE,
         "",
         f"**Generated:** {created_at}  ",
         f"**Dry-run:** {_yes(dry_run)}  ",
         "",
-        "## Summary",
+        SUMMARY,
         "",
         _joined("- **Total items:** ", F.coalesce("total", F.lit(0))),
         _joined("- **Auto-fixable:** ", F.coalesce("fixable", F.lit(0))),
         "",
-        "### By Severity",
+        BY_SEVERITY,
         "",
-        "| Severity | Count |",
-        "|---|---|",
-    ]
-    middle = ["", "### By Risk", "", "| Risk | Count |", "|---|---|"]
-    heading = [
-        "",
-        "## Prioritised Action Items",
-        "",
-        "| # | File | Rule | Severity | Effort | Risk | Fixable | Action |",
-        "|---|---|---|---|---|---|---|---|",
+        *SEVERITY_TABLE,
     ]
+    middle = ["", BY_RISK, "", *RISK_TABLE]
+    heading = ["", ITEMS, "", *ITEM_TABLE]
     place = F.lit(LAST)
     for name, at in SEVERITY_ORDER.items():
         place = F.when(F.col("key") == name, at).otherwise(place)

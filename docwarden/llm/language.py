@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .text_bytes import row_chunks, worker_cache
@@ -40,32 +40,27 @@ def _letters() -> np.ndarray:
 
 
 def text_grams(text: str) -> np.ndarray:
-    """All n-grams of a text as numbers (21 bits a letter, exact), in no special order."""
+    """All n-grams of a text as numbers (21 bits a letter, exact), in no special order.
+
+    A long text goes window by window; the last two characters of one go along to the next, so no n-gram is cut.
+    """
     table = worker_cache("language_letters", _letters)
-    found, at = [], 0
-    while at < len(text):
-        to = min(at + WINDOW, len(text))
-        raw = table[np.frombuffer(text[at:to].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
-        if to < len(text):
-            gaps = np.flatnonzero(raw == _BLANK)
-            if len(gaps) and gaps[-1]:
-                to = at + int(gaps[-1])
-                raw = raw[: gaps[-1]]
-        at = to
-        blank = raw == _BLANK
-        keep = ~blank
-        keep[1:] |= ~blank[:-1]
-        line = np.concatenate([[_BLANK], raw[keep], [_BLANK]]).astype(np.int64)
-        if len(line) > 2 and line[1] == _BLANK:
-            line = line[1:]
-        if len(line) > 2 and line[-2] == _BLANK:
-            line = line[:-1]
-        if len(line) < 3:
-            continue
+    found = []
+    before = np.array([_BLANK], dtype=np.int64)
+    for at in range(0, len(text), WINDOW):
+        raw = table[np.frombuffer(text[at : at + WINDOW].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].astype(np.int64)
+        line = np.concatenate([before, raw, [_BLANK] if at + WINDOW >= len(text) else []]).astype(np.int64)
+        old = len(before)
+        # Of several blanks one stays.
+        keep = line != _BLANK
+        keep[1:] |= keep[:-1]
+        keep[:old] = True
+        line = line[keep]
         letter = line != _BLANK
         two = (line[:-1] << 21) | line[1:]
         three = (two[:-1] << 21) | line[2:]
-        found += [line[letter], two, three[letter[1:-1]]]
+        found += [line[old:][letter[old:]], two[old - 1 :], three[max(old - 2, 0) :][letter[1:-1][max(old - 2, 0) :]]]
+        before = line[-2:]
     return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
@@ -162,8 +157,3 @@ def identify_language(docs: DataFrame, profiles: DataFrame, text: str = "text",
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, prediction, score])
 
     return kept.mapInArrow(run, ", ".join(fields))
-
-
-def teaches(fold: Column) -> Column:
-    """Rows whose fold is not the held-out one."""
-    return F.coalesce(fold != 1, F.lit(False))

@@ -72,3 +72,40 @@ def test_no_profiles_and_no_rows(spark):
     assert profiles.count() == 0
     assert lg.identify_language(df, profiles).first()["lang_pred"] == "und"
     assert lg.identify_language(df.limit(0), profiles).count() == 0
+
+
+def test_windows_cut_no_word(monkeypatch):
+    import re
+    from collections import Counter
+
+    import numpy as np
+
+    from docwarden.llm import language
+
+    def plain(text):
+        words = re.findall(r"[^\W\d_]+", text)
+        out = Counter()
+        line = " " + " ".join(w.lower() for w in words) + " "
+        if words:
+            out.update(c for c in line if c != " ")
+            out.update(line[i : i + 2] for i in range(len(line) - 1))
+            out.update(line[i : i + 3] for i in range(len(line) - 2) if line[i + 1] != " ")
+        return out
+
+    def named(text):
+        out = Counter()
+        for g in language.text_grams(text).tolist():
+            chars = []
+            while g:
+                chars.append(chr(g & 0x1FFFFF))
+                g >>= 21
+            out["".join(reversed(chars))] += 1
+        return out
+
+    r = np.random.default_rng(0)
+    texts = ["", " ", "a", "1", "ab", "a b", " a  b1c ", "x" * 30] + ["".join(r.choice(list("abcé  1"), r.integers(1, 60))) for _ in range(200)]
+    for window in (1, 2, 3, 7, 1 << 18):
+        monkeypatch.setattr(language, "WINDOW", window)
+        for t in texts:
+            assert named(t) == plain(t), (window, t)
+    assert len(language.text_grams("a" * 600_000)) == 600_000 + 600_001 + 600_000

@@ -119,3 +119,24 @@ def test_first_absent():
 def test_packing():
     for x in ([], [0], [255], [256, 0], [70000], [1 << 40, 3]):
         assert sc.unpack(sc.pack(np.array(x, dtype=np.int64))).tolist() == x
+
+
+class _Counted(dict):
+    looks = 0
+
+    def __getitem__(self, key):
+        _Counted.looks += 1
+        return super().__getitem__(key)
+
+
+def test_scoring_looks_at_a_block_a_few_times():
+    """Work grows with the blocks of a search, not with blocks times the stretches between their borders."""
+    blocks = []
+    for w in range(3):
+        for i in range(1000):
+            place = np.array([4 * i + w])
+            blocks.append(_Counted(token=f"w{w}", block=i, n=1, first=int(place[0]), last=int(place[0]), most=1, least=5, places=sc.pack(place * 0), counts=sc.pack(place * 0 + 1), lengths=sc.pack(place * 0 + 5)))
+    _Counted.looks = 0
+    place, score = sc.Shard(blocks, np.zeros(0, np.int64), 4000, 5.0).scored([(f"w{w}", 1.0, 1) for w in range(3)], 4)
+    assert place.tolist() == [0, 1, 2, 4] and len(set(score.tolist())) == 1
+    assert _Counted.looks < 30 * len(blocks)

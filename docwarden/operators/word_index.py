@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docwarden.operators.scoring import UNIT, Shard, counted_words, pack, places_of, unpack
+from docwarden.operators.scoring import UNIT, Shard, counted_words, pack_runs, places_of, unpack
 from docwarden.operators.search import CorpusStats, corpus_stats, only_best, query_groups, sent_queries, small, term_weights, weighted_queries
 from docwarden.scratch import materialise
 from docwarden.sources import snapshots
@@ -39,21 +39,31 @@ _BLOCKS = "shard long, token string, block int, n int, first int, last int, most
 # Building
 
 
-def _shard_rows(shard: int, ids: list, dl: np.ndarray, words: pa.Array, counts: np.ndarray, per_doc: np.ndarray, block: int) -> Iterator[dict]:
-    """Block rows of one shard; its documents as one row more, without a word."""
+def _shard_rows(shard: int, ids: list, dl: np.ndarray, words: pa.Array, counts: np.ndarray, per_doc: np.ndarray, block: int, arrow: pa.Schema) -> pa.RecordBatch:
+    """Block rows of one shard, by word."""
     coded = words.dictionary_encode()
-    place = np.repeat(np.arange(len(ids)), per_doc)
-    code = np.asarray(coded.indices).astype(np.int64)
-    order = np.lexsort((place, code))
-    code, place, counts = code[order], place[order], counts[order]
-    names = coded.dictionary.to_pylist()
-    starts = np.searchsorted(code, np.arange(len(names) + 1))
-    for t in sorted(range(len(names)), key=names.__getitem__):
-        for i, a in enumerate(range(starts[t], starts[t + 1], block)):
-            b = min(a + block, starts[t + 1])
-            p, c = place[a:b], counts[a:b]
-            lengths = dl[p]
-            yield {"shard": shard, "token": names[t], "block": i, "n": b - a, "first": int(p[0]), "last": int(p[-1]), "most": int(c.max()), "least": int(lengths.min()), "places": pack(np.diff(p, prepend=p[0])), "counts": pack(c), "lengths": pack(lengths)}
+    by_name = np.asarray(pa.compute.array_sort_indices(coded.dictionary)).astype(np.int64)
+    rank = np.empty(len(by_name), np.int64)
+    rank[by_name] = np.arange(len(by_name))
+    code = rank[np.asarray(coded.indices)] if len(rank) else rank
+    if not len(code):
+        return pa.RecordBatch.from_pylist([], schema=arrow)
+    order = np.argsort(code, kind="stable")  # postings come by place
+    per_word = np.bincount(code)
+    place, counts = np.repeat(np.arange(len(ids)), per_doc)[order], counts[order].astype(np.int64)
+    lengths = dl[place]
+    many = -(-per_word // block)
+    number = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    starts = np.append(np.repeat(np.cumsum(per_word) - per_word, many) + number * block, len(place))
+    first = place[starts[:-1]]
+    gaps = np.diff(place, prepend=0)
+    gaps[starts[:-1]] = 0
+    made = {
+        "shard": np.full(len(first), shard), "token": coded.dictionary.take(pa.array(np.repeat(by_name, many))), "block": number, "n": np.diff(starts), "first": first, "last": place[starts[1:] - 1],
+        "most": np.maximum.reduceat(counts, starts[:-1]), "least": np.minimum.reduceat(lengths, starts[:-1]), "places": pack_runs(gaps, starts), "counts": pack_runs(counts, starts), "lengths": pack_runs(lengths, starts),
+    }
+    columns = [made.get(f.name) for f in arrow]
+    return pa.RecordBatch.from_arrays([pa.nulls(len(first), f.type) if c is None else c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
 
 def _inverted(counted: DataFrame, partitions: int, block: int) -> DataFrame:
@@ -78,14 +88,9 @@ def _inverted(counted: DataFrame, partitions: int, block: int) -> DataFrame:
             docs = {"shard": [shard] * len(ids), "first": np.arange(len(ids), dtype=np.int32), "n": dl.astype(np.int32), "id": ids}
             types = [f.type for f in arrow]
             yield pa.RecordBatch.from_arrays([pa.array(docs[c], t) if c in docs and c != "id" else ids if c == "id" else pa.nulls(len(ids), t) for c, t in zip(columns, types)], names=columns)
-            rows: list[dict] = []
-            for row in _shard_rows(shard, ids, dl, words.flatten(), np.asarray(counts.flatten()), per_doc, block):
-                rows.append(row)
-                if len(rows) == 4096:
-                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+            rows = _shard_rows(shard, ids, dl, words.flatten(), np.asarray(counts.flatten()), per_doc, block, arrow)
+            for at in range(0, rows.num_rows, 4096):
+                yield rows.slice(at, 4096)
 
         arrow, postings, n = None, 0, 0
         for batch in batches:

@@ -140,3 +140,12 @@ def test_scoring_looks_at_a_block_a_few_times():
     place, score = sc.Shard(blocks, np.zeros(0, np.int64), 4000, 5.0).scored([(f"w{w}", 1.0, 1) for w in range(3)], 4)
     assert place.tolist() == [0, 1, 2, 4] and len(set(score.tolist())) == 1
     assert _Counted.looks < 30 * len(blocks)
+
+
+def test_packing_many_runs():
+    random = np.random.default_rng(1)
+    for top in (3, 300, 70_000, 1 << 40):
+        x = random.integers(0, top, 60)
+        x[:20] = random.integers(0, 200, 20)
+        starts = np.array([0, 1, 20, 33, 60])
+        assert sc.pack_runs(x, starts).to_pylist() == [sc.pack(x[a:b]) for a, b in zip(starts[:-1], starts[1:])]

@@ -56,12 +56,19 @@ def places_of(bitmap: bytes | None) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little")) if bitmap else np.zeros(0, np.int64)
 
 
-def counted_words(docs: DataFrame) -> DataFrame:
-    """``id, dl, words, counts``: the distinct words of every document and how often they occur, counted in place."""
-    tokens = docs.select("id", tx.tokenise(F.col("content")).alias("tokens"))
+# Documents whose words a task counts at once; Spark hands over up to 10 000 in a batch.
+COUNT_DOCS = 512
+
+
+def words_of(docs: DataFrame) -> DataFrame:
+    return docs.select("id", tx.tokenise(F.col("content")).alias("tokens"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+
+def counted_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``id, dl, words, counts`` of batches of :func:`words_of`, in pieces of bounded size."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, COUNT_DOCS):
+            batch = whole.slice(at, COUNT_DOCS)
             lists = batch.column(1)
             n = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0)).astype(np.int64)
             coded = lists.flatten().dictionary_encode()
@@ -73,8 +80,11 @@ def counted_words(docs: DataFrame) -> DataFrame:
             lists = [pa.ListArray.from_arrays(bounds, words), pa.ListArray.from_arrays(bounds, pa.array(count.astype(np.int32)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int32)), *lists], names=["id", "dl", "words", "counts"])
 
+
+def counted_words(docs: DataFrame) -> DataFrame:
+    """``id, dl, words, counts``: the distinct words of every document and how often they occur, counted in place."""
     schema = T.StructType([docs.schema["id"], *T.StructType.fromDDL("dl int, words array<string>, counts array<int>")])
-    return tokens.mapInArrow(run, schema)
+    return words_of(docs).mapInArrow(counted_batches, schema)
 
 
 def units_of(idf: float, count: np.ndarray, length: np.ndarray, avg: float) -> np.ndarray:
@@ -243,20 +253,38 @@ class Shard:
         return qids, np.concatenate(places), np.concatenate(scores)
 
 
-def shard_of(ids: pa.Array, dl: np.ndarray, words: pa.ListArray, counts: np.ndarray, wanted: set, avg: float) -> Shard:
-    """A run of documents, in the order of their ids, with the postings of the wanted words."""
-    per_doc = np.asarray(pa.compute.list_value_length(words)).astype(np.int64)
-    coded = words.flatten().dictionary_encode()
-    names = coded.dictionary.to_pylist()
-    code = np.asarray(coded.indices).astype(np.int64)
-    keep = np.array([n in wanted for n in names], dtype=bool)[code] if names else np.zeros(0, bool)
-    place, code, counts = np.repeat(np.arange(len(ids)), per_doc)[keep], code[keep], counts[keep].astype(np.int64)
-    order = np.lexsort((place, code))
-    place, code, counts = place[order], code[order], counts[order]
-    at = np.flatnonzero(np.diff(code, prepend=-1))
-    blocks = []
-    for a, b in zip(at.tolist(), [*at[1:].tolist(), len(code)]):
-        p, c = place[a:b], counts[a:b]
-        length = dl[p]
-        blocks.append({"token": names[code[a]], "block": 0, "n": b - a, "first": int(p[0]), "last": int(p[-1]), "most": int(c.max()), "least": int(length.min()), "open": (p, c, length)})
-    return Shard(blocks, np.zeros(0, np.int64), len(ids), avg)
+class Run:
+    """A run of documents, of whose words only the wanted ones are held."""
+
+    def __init__(self, wanted: pa.Array):
+        self.wanted, self.docs = wanted, 0
+        self.ids: list[pa.Array] = []
+        self.parts: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        ids, dl, words, counts = batch.columns
+        code = pa.compute.index_in(words.flatten(), value_set=self.wanted)
+        keep = np.flatnonzero(np.asarray(code.is_valid()))
+        place = np.repeat(np.arange(self.docs, self.docs + len(ids)), np.asarray(pa.compute.list_value_length(words)))[keep]
+        self.parts.append((np.array(dl), place.astype(np.int32), np.asarray(code.fill_null(0))[keep], np.asarray(counts.flatten())[keep]))
+        self.ids.append(pa.concat_arrays([ids]))
+        self.docs += len(ids)
+
+    def shard(self, avg: float) -> tuple[pa.Array, Shard]:
+        """The ids in their order, which gives each document its place, and the postings."""
+        ids = pa.concat_arrays(self.ids)
+        by_id = pa.compute.array_sort_indices(ids)
+        rank = np.empty(self.docs, np.int64)
+        rank[np.asarray(by_id)] = np.arange(self.docs)
+        dl, place, code, counts = (np.concatenate(x) for x in zip(*self.parts))
+        dl = dl[np.asarray(by_id)].astype(np.int64)
+        place = rank[place]
+        order = np.lexsort((place, code))
+        place, code, counts = place[order], code[order], counts[order].astype(np.int64)
+        at = np.flatnonzero(np.diff(code, prepend=-1))
+        blocks = []
+        for a, b in zip(at.tolist(), [*at[1:].tolist(), len(code)]):
+            p, c = place[a:b], counts[a:b]
+            length = dl[p]
+            blocks.append({"token": self.wanted[int(code[a])].as_py(), "block": 0, "n": b - a, "first": int(p[0]), "last": int(p[-1]), "most": int(c.max()), "least": int(length.min()), "open": (p, c, length)})
+        return ids.take(by_id), Shard(blocks, np.zeros(0, np.int64), self.docs, avg)

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from docwarden.functions import text as tx
 from docwarden.functions.shaping import explode_once
 from docwarden.functions.vectors import NORM_FLOOR
-from docwarden.operators.scoring import UNIT, counted_words, shard_of
+from docwarden.operators.scoring import UNIT, Run, counted_batches, words_of
 from docwarden.scratch import materialise
 from docwarden.sources import snapshots
 
@@ -146,33 +146,33 @@ def sent_queries(weighted: DataFrame) -> tuple[Broadcast, pa.DataType]:
     return weighted.sparkSession.sparkContext.broadcast(queries), rows.schema.field("qid").type
 
 
-def _scored(counted: DataFrame, weighted: DataFrame, avg: float, k: int, whole: bool) -> DataFrame:
-    """``qid, id, units`` of the best ``k`` of every run of documents; ``whole`` with zeros and negative scores."""
+def _scored(words: DataFrame, weighted: DataFrame, avg: float, k: int, whole: bool) -> DataFrame:
+    """``qid, id, units`` of the best ``k`` of every run of documents; ``whole`` with zeros and negative scores.
+
+    Words are counted and scored by the same task, piece by piece; of a run only the queries' words are held.
+    """
     shared, kind = sent_queries(weighted)
-    schema = T.StructType([weighted.schema["qid"], counted.schema["id"], T.StructField("units", T.LongType())])
+    schema = T.StructType([weighted.schema["qid"], words.schema["id"], T.StructField("units", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = {w[0] for words in shared.value.values() for w in words}
-        held: list[pa.RecordBatch] = []
-        size = 0
+        wanted = pa.array(sorted({w[0] for words in shared.value.values() for w in words if w[0] is not None}), pa.string())
 
         def close() -> pa.RecordBatch:
-            table = pa.Table.from_batches(held).combine_chunks().sort_by("id").combine_chunks()
-            ids, dl, words, counts = (table.column(c).combine_chunks() for c in ("id", "dl", "words", "counts"))
-            shard = shard_of(ids, np.asarray(dl).astype(np.int64), words, np.asarray(counts.flatten()), wanted, avg)
+            ids, shard = held.shard(avg)
             qids, place, units = shard.answers(shared.value, k, whole)
             return pa.RecordBatch.from_arrays([pa.array(qids, kind), ids.take(pa.array(place)), pa.array(units)], names=["qid", "id", "units"])
 
-        for batch in batches:
-            held.append(batch)
+        held, size = Run(wanted), 0
+        for batch in counted_batches(batches):
+            held.add(batch)
             size += batch.nbytes
             if size >= RUN_BYTES:
                 yield close()
-                held, size = [], 0
-        if held:
+                held, size = Run(wanted), 0
+        if held.docs:
             yield close()
 
-    return counted.mapInArrow(run, schema)
+    return words.mapInArrow(run, schema)
 
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_TOP_K) -> DataFrame:
@@ -187,14 +187,14 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_TOP_K) -> Da
     if stats.n_terms == 0:
         return docs.sparkSession.createDataFrame([], f"qid {queries.schema['qid'].dataType.simpleString()}, rank int, id {docs.schema['id'].dataType.simpleString()}, score double")
     asked = materialise(weighted_queries(queries, term_weights(vocab, stats)), "query-weights")
-    counted = counted_words(docs)
+    words = words_of(docs)
     best: DataFrame | None = None
     for part in query_groups(asked):
-        found = materialise(_scored(counted, part, stats.avg_words, k, False), "scores")
+        found = materialise(_scored(words, part, stats.avg_words, k, False), "scores")
         enough = found.groupBy("qid").count().where(F.col("count") >= k)
         short = materialise(part.join(enough, "qid", "left_anti"), "short-queries")
         if not short.isEmpty():
-            rest = _scored(counted, short, stats.avg_words, k, True)
+            rest = _scored(words, short, stats.avg_words, k, True)
             found = found.join(short.select("qid").distinct(), "qid", "left_anti").unionByName(rest)
         best = found if best is None else best.unionByName(found)
     return only_best(best, "units", k).select("qid", "rank", "id", (F.col("units") / UNIT).alias("score"))

@@ -182,3 +182,18 @@ def test_index_modes(spark):
     assert dense.mode == "dense" and dense.search(asked(spark, ["xyz a"]), 2).count() == 2
     off = se.DocumentIndex(docs, words=False)
     assert off.mode == "none" and off.search(asked(spark, ["dog"])).count() == 0
+
+
+def test_words_are_counted_in_pieces():
+    """A batch of any number of documents is counted a bounded number at a time."""
+    import pyarrow as pa
+
+    from docwarden.operators import scoring as sc
+
+    tokens = [None if i % 7 == 0 else [f"w{i % 5}", "x", "x"] for i in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(tokens, pa.list_(pa.string()))], names=["id", "tokens"])
+    pieces = list(sc.counted_batches(iter([batch])))
+    assert max(p.num_rows for p in pieces) <= sc.COUNT_DOCS
+    rows = [r for p in pieces for r in p.to_pylist()]
+    assert [r["id"] for r in rows] == list(range(2000))
+    assert [dict(zip(r["words"], r["counts"])) for r in rows] == [{} if t is None else {t[0]: 1, "x": 2} for t in tokens]

@@ -59,6 +59,10 @@ FRONTMATTER_TYPE = _struct(
 )
 
 
+# Rows whose blocks are Python values at the same time.
+PIECE = 512
+
+
 def _need_yaml() -> None:
     if yaml is None:
         raise ImportError("PyYAML is needed on the executors to parse or render metadata blocks")
@@ -169,15 +173,15 @@ def _parse_udf(loads: Accumulator | None = None):
     @F.arrow_udf(FRONTMATTER_TYPE)
     def parse(blocks: pa.Array) -> pa.Array:
         _need_yaml()
-        seen: dict[str, dict | None] = {}
-        out = []
-        for block in blocks.to_pylist():
-            if block is not None and block not in seen:
-                seen[block] = _typed(block)
-                if loads is not None:
-                    loads.add(1)
-            out.append(None if block is None else seen[block])
-        return pa.array(out, type=arrow_type)
+        # Each distinct block once, in pieces: a batch has up to 10 000 rows, and as Python values they take a multiple.
+        coded = blocks.dictionary_encode()
+        parts = []
+        for at in range(0, len(coded.dictionary), PIECE):
+            piece = coded.dictionary.slice(at, PIECE)
+            parts.append(pa.array([_typed(block) for block in piece.to_pylist()], type=arrow_type))
+            if loads is not None:
+                loads.add(len(piece))
+        return pa.concat_arrays(parts).take(coded.indices) if parts else pa.nulls(len(blocks), arrow_type)
 
     # Not a matter of randomness: it keeps Catalyst from copying the call into several operators.
     return parse.asNondeterministic()
@@ -261,11 +265,14 @@ def _entries_udf():
     @F.arrow_udf(_ENTRIES)
     def entries(blocks: pa.Array) -> pa.Array:
         _need_yaml()
-        rows = []
-        for block in blocks.to_pylist():
-            valid, data = load_yaml(block) if block is not None else (False, None)
-            rows.append(_walk(data) if valid and data is not None else [])
-        return pa.array(rows, type=arrow_type)
+        parts = [pa.array([], type=arrow_type)]
+        for at in range(0, len(blocks), PIECE):
+            rows = []
+            for block in blocks.slice(at, PIECE).to_pylist():
+                valid, data = load_yaml(block) if block is not None else (False, None)
+                rows.append(_walk(data) if valid and data is not None else [])
+            parts.append(pa.array(rows, type=arrow_type))
+        return pa.concat_arrays(parts)
 
     return entries.asNondeterministic()
 
@@ -283,17 +290,19 @@ def _render_udf():
     @F.arrow_udf("string")
     def render(blocks: pa.Array, ids: pa.Array, sources: pa.Array, stamps: pa.Array) -> pa.Array:
         _need_yaml()
-        rows = zip(blocks.to_pylist(), ids.to_pylist(), sources.to_pylist(), stamps.to_pylist())
-        out = []
-        for block, new_id, source, stamp in rows:
-            data = load_yaml(block)[1] if block is not None else None
-            data = dict(data) if isinstance(data, dict) else {}
-            if new_id is not None:
-                data["id"] = new_id
-            data["source"] = source
-            data["migrated_at"] = stamp
-            out.append(yaml.dump(data, Dumper=yaml.SafeDumper, sort_keys=False, allow_unicode=True))
-        return pa.array(out, type=pa.string())
+        parts = [pa.array([], type=pa.string())]
+        for at in range(0, len(blocks), PIECE):
+            out = []
+            for block, new_id, source, stamp in zip(*(x.slice(at, PIECE).to_pylist() for x in (blocks, ids, sources, stamps))):
+                data = load_yaml(block)[1] if block is not None else None
+                data = dict(data) if isinstance(data, dict) else {}
+                if new_id is not None:
+                    data["id"] = new_id
+                data["source"] = source
+                data["migrated_at"] = stamp
+                out.append(yaml.dump(data, Dumper=yaml.SafeDumper, sort_keys=False, allow_unicode=True))
+            parts.append(pa.array(out, type=pa.string()))
+        return pa.concat_arrays(parts)
 
     return render.asNondeterministic()
 

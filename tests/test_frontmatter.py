@@ -151,3 +151,27 @@ def test_each_distinct_block_is_parsed_once(spark, monkeypatch, shared):
     assert loads.value == len({t.split("---")[1] for t in texts if t.startswith("---")})
     want = fm.with_frontmatter(docs).select("path", "fm", "body").collect()
     assert sorted(got, key=lambda r: r["path"]) == sorted(want, key=lambda r: r["path"])
+
+
+class _Row(dict):
+    alive = most = 0
+
+    def __init__(self, *args):
+        super().__init__(*args)
+        _Row.alive += 1
+        _Row.most = max(_Row.most, _Row.alive)
+
+    def __del__(self):
+        _Row.alive -= 1
+
+
+def test_few_parsed_blocks_are_python_values_at_once(monkeypatch):
+    import pyarrow as pa
+
+    from docwarden.functions import frontmatter as fm
+
+    typed = fm._typed
+    monkeypatch.setattr(fm, "_typed", lambda block: _Row(typed(block)))
+    out = fm._parse_udf().func(pa.array([f"id: a{i}" for i in range(3000)]))
+    assert [x["id"]["text"] for x in out.to_pylist()] == [f"a{i}" for i in range(3000)]
+    assert _Row.most <= 1000

@@ -175,3 +175,28 @@ def test_few_parsed_blocks_are_python_values_at_once(monkeypatch):
     out = fm._parse_udf().func(pa.array([f"id: a{i}" for i in range(3000)]))
     assert [x["id"]["text"] for x in out.to_pylist()] == [f"a{i}" for i in range(3000)]
     assert _Row.most <= 1000
+
+
+def test_rows_without_a_block_are_not_converted(monkeypatch):
+    import pyarrow as pa
+
+    from docwarden.functions import frontmatter as fm
+
+    made = []
+
+    class Watched:
+        def __getattr__(self, name):
+            return getattr(pa, name)
+
+        def array(self, values, *args, **more):
+            made.append(len(values))
+            return pa.array(values, *args, **more)
+
+    monkeypatch.setattr(fm, "pa", Watched())
+    blocks = [None] * 5000
+    blocks[7] = blocks[4000] = "id: one"
+    blocks[9] = "id: [broken"
+    out = fm._parse_udf().func(pa.array(blocks, pa.string()))
+    assert [i for i, x in enumerate(out.to_pylist()) if x is not None] == [7, 4000] and out[7] == out[4000]
+    assert sum(made) <= 10
+    assert len(fm._parse_udf().func(pa.array([None] * 3, pa.string()))) == 3

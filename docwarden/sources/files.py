@@ -89,19 +89,41 @@ def file_size(path: str) -> int | None:
         return None
 
 
+def _put(system, inner: str, part: str, data: bytes) -> None:
+    """Write ``part`` and rename it to ``inner``; files of this machine without Arrow, at half the calls."""
+    if system is None:
+        with open(part, "wb", buffering=0) as f:
+            rest = memoryview(data)
+            while rest:
+                rest = rest[f.write(rest) :]
+        os.rename(part, inner)
+    else:
+        with system.open_output_stream(part, compression=None) as f:
+            f.write(data)
+        system.move(part, inner)
+
+
 def write_bytes(path: str, data: bytes) -> None:
     """Write a file whole: under another name first, then renamed, so no reader sees a part of it."""
-    system, inner = file_system(path)
+    root, inner = split_address(path)
+    system = None
+    if root:
+        system, inner = file_system(path)
     folder, _, name = inner.rpartition("/")
-    system.create_dir(folder or "/", recursive=True)
     part = f"{folder}/.{name}.{uuid.uuid4().hex}.part"
     try:
-        with system.open_output_stream(part, compression=None) as f:
-            f.write(data)
-        system.move(part, inner)
+        if root:
+            system.create_dir(folder or "/", recursive=True)
+        try:
+            _put(system, inner, part, data)
+        except FileNotFoundError:
+            if root:
+                raise
+            os.makedirs(folder or "/", exist_ok=True)  # only where it is missing
+            _put(system, inner, part, data)
     except BaseException:
         with contextlib.suppress(OSError):
-            system.delete_file(part)
+            os.unlink(part) if system is None else system.delete_file(part)
         raise
 
 

@@ -6,9 +6,10 @@ Nothing is ever written over the table a job reads; trees are changed in place o
 from __future__ import annotations
 
 import errno
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,6 +74,22 @@ def _delete(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.drop(columns="address").assign(done=done)
 
 
+# Rows that are Python values at the same time; Spark hands over up to 10 000 in a batch.
+_ROWS = 256
+_RESULT = pa.schema([("path", pa.string()), ("key", pa.string()), ("done", pa.bool_())])
+
+
+def _in_pieces(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` on pieces of Arrow batches, so that a batch of long texts is not copied as a whole."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = (batch.slice(at, _ROWS).to_pandas() for batch in batches for at in range(0, batch.num_rows, _ROWS))
+        for done in run(pieces):
+            yield pa.RecordBatch.from_pandas(done, schema=_RESULT, preserve_index=False)
+
+    return go
+
+
 def _named(docs: DataFrame, path: str) -> DataFrame:
     key = F.col("doc_key") if "doc_key" in docs.columns else F.lit(None).cast("string")
     return docs.withColumns({"key": key, "address": addressed(docs.sparkSession, F.col(path))})
@@ -80,9 +97,9 @@ def _named(docs: DataFrame, path: str) -> DataFrame:
 
 def write_files(docs: DataFrame, path: str = "abs_path") -> DataFrame:
     """Write ``content`` of every row to the file it names; ``done`` tells which succeeded."""
-    return _named(docs, path).select(F.col(path).alias("path"), "key", "address", "content").mapInPandas(_write, _DONE)
+    return _named(docs, path).select(F.col(path).alias("path"), "key", "address", "content").mapInArrow(_in_pieces(_write), _DONE)
 
 
 def delete_files(docs: DataFrame, path: str = "abs_path") -> DataFrame:
     """Delete the files that rows name; ``done`` tells which are gone, also those that were gone before."""
-    return _named(docs, path).select(F.col(path).alias("path"), "key", "address").mapInPandas(_delete, _DONE)
+    return _named(docs, path).select(F.col(path).alias("path"), "key", "address").mapInArrow(_in_pieces(_delete), _DONE)

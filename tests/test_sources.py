@@ -178,3 +178,23 @@ def test_a_folder_in_the_way_is_final(spark, tmp_path):
     docs = spark.createDataFrame([(str(tmp_path / "a.md"), "text"), (str(tmp_path / "b.md"), "text")], "abs_path string, content string")
     assert sorted((r["path"][-4:], r["done"]) for r in writers.write_files(docs).collect()) == [("a.md", False), ("b.md", True)]
     assert sorted(p.name for p in tmp_path.iterdir()) == ["a.md", "b.md"]
+
+
+def test_files_are_written_in_pieces_and_folders_made_once(tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    from docwarden.sources import files
+
+    n, sizes, made = 1000, [], []
+    address = [str(tmp_path / "deep" / f"{i}.md") for i in range(n)]
+    batch = pa.RecordBatch.from_pydict({"path": address, "key": pa.nulls(n, pa.string()), "address": address, "content": [f"text {i} ä" for i in range(n)]})
+
+    def watched(frames):
+        return writers._write(sizes.append(len(f)) or f for f in frames)
+
+    makedirs = os.makedirs
+    monkeypatch.setattr(files.os, "makedirs", lambda *a, **b: made.append(a) or makedirs(*a, **b))
+    done = list(writers._in_pieces(watched)(iter([batch])))
+    assert all(all(d.column("done").to_pylist()) for d in done) and sum(d.num_rows for d in done) == n
+    assert max(sizes) <= 256 and len(made) == 1
+    assert {p.name: p.read_text(encoding="utf-8") for p in (tmp_path / "deep").iterdir()} == {f"{i}.md": f"text {i} ä" for i in range(n)}

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,16 +56,18 @@ def addressed(spark: SparkSession, path: Column) -> Column:
     return F.when(path.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*:"), path).otherwise(F.concat(F.lit(default), path))
 
 
-def _read_files(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in frames:
+def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["repo", "path", "abs_path"]
+    for batch in batches:
         start, held, size = 0, [], 0
-        for at, address in enumerate(pdf["address"]):
+        for at, address in enumerate(batch.column("address").to_pylist()):
             content = read_bytes(address)
             held.append(content)
             size += len(content or b"")
-            if size >= READ_BYTES or at == len(pdf) - 1:
-                yield pdf.iloc[start : at + 1].drop(columns="address").assign(content=held)
-                start, held, size = at + 1, [], 0
+            if size >= READ_BYTES or at == batch.num_rows - 1:
+                content, held, size = pa.array(held, pa.binary()), [], 0
+                yield pa.RecordBatch.from_arrays([*batch.select(names).slice(start, len(content)).columns, content], names=[*names, "content"])
+                start = at + 1
 
 
 def read_contents(files: DataFrame) -> DataFrame:
@@ -73,7 +75,7 @@ def read_contents(files: DataFrame) -> DataFrame:
     spark = files.sparkSession
     named = files.select("repo", "path", "abs_path", addressed(spark, F.col("abs_path")).alias("address"))
     spread = named.repartition(spark.sparkContext.defaultParallelism * 4)
-    return spread.mapInPandas(_read_files, "repo string, path string, abs_path string, content binary")
+    return spread.mapInArrow(_read_files, "repo string, path string, abs_path string, content binary")
 
 
 def read_files(files: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ import uuid
 from collections.abc import Iterator
 
 # Bytes of files that a task hands on at once.
-READ_BYTES = 32 << 20
+READ_BYTES = 8 << 20
 # Only these two mean that a single file or folder is out of reach; anything else fails the task, which is then repeated.
 OUT_OF_REACH = (FileNotFoundError, PermissionError, NotADirectoryError)
 _systems: dict[str, tuple] = {}

@@ -198,3 +198,15 @@ def test_files_are_written_in_pieces_and_folders_made_once(tmp_path, monkeypatch
     assert all(all(d.column("done").to_pylist()) for d in done) and sum(d.num_rows for d in done) == n
     assert max(sizes) <= 256 and len(made) == 1
     assert {p.name: p.read_text(encoding="utf-8") for p in (tmp_path / "deep").iterdir()} == {f"{i}.md": f"text {i} ä" for i in range(n)}
+
+
+def test_read_pieces_are_of_bounded_size(tmp_path):
+    import pyarrow as pa
+
+    for i in range(12):
+        (tmp_path / f"{i}.md").write_bytes(bytes([65 + i]) * (3 << 20))
+    address = [str(tmp_path / f"{i}.md") for i in range(13)]  # the last one is gone
+    batch = pa.RecordBatch.from_pydict({"repo": ["r"] * 13, "path": address, "abs_path": address, "address": address})
+    pieces = list(corpus._read_files(iter([batch])))
+    assert max(p.nbytes for p in pieces) < 16 << 20
+    assert [(r["path"], r["content"] and (len(r["content"]), r["content"][:1])) for p in pieces for r in p.to_pylist()] == [(a, (3 << 20, bytes([65 + i])) if i < 12 else None) for i, a in enumerate(address)]

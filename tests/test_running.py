@@ -40,3 +40,14 @@ def test_totals_equal_a_batch_job_after_a_repeated_batch(spark, tmp_path):
     docs.where(F.col("path").isin("same.1", "same.3", "same.4")).repartition(3).write.mode("append").parquet(inbox)
     run()
     compare(docs)
+
+
+def test_a_batch_has_more_files_where_the_corpus_has_more_splits(spark, tmp_path):
+    from docwarden.plans import chained as ch
+
+    texts = spark.range(0, 400).selectExpr("'o/r' AS repo", "'d' || id AS path", "'/x/d' || id AS abs_path", "'text' AS content")
+    for splits, want in ((1, 1), (4, 1), (16, 4), (18, 5)):
+        inbox = str(tmp_path / f"inbox-{splits}")
+        assert ch._deliver(as_docs(texts.repartition(splits)), inbox) == want
+        written = spark.read.parquet(inbox)
+        assert written.count() == 400 and len(written.inputFiles()) == 4 * want

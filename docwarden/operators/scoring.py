@@ -48,6 +48,22 @@ def pack_runs(x: np.ndarray, starts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)])
 
 
+def unpack_runs(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all runs of :func:`pack_runs`, one run after the other, and where each starts."""
+    offsets = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1].astype(np.int64)
+    data = np.frombuffer(packed.buffers()[2], np.uint8)
+    width = data[offsets[:-1]].astype(np.int64)
+    n = (np.diff(offsets) - 1) // width
+    starts = np.concatenate([[0], np.cumsum(n)])
+    out = np.empty(starts[-1], np.int64)
+    for kind in _WIDTHS:
+        w = np.dtype(kind).itemsize
+        mine = np.flatnonzero(np.repeat(width == w, n))
+        at = np.repeat(offsets[:-1] + 1 - starts[:-1] * w, n)[mine] + mine * w
+        out[mine] = np.stack([data[at + i] for i in range(w)], axis=1).reshape(-1).view(kind)
+    return out, starts
+
+
 def unpack(b: bytes) -> np.ndarray:
     return np.frombuffer(b, dtype=f"u{b[0]}", offset=1).astype(np.int64)
 

@@ -25,13 +25,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docwarden.operators.scoring import UNIT, Shard, counted_words, pack_runs, places_of, unpack
+from docwarden.operators.scoring import UNIT, Shard, counted_words, pack_runs, places_of, unpack_runs
 from docwarden.operators.search import CorpusStats, corpus_stats, only_best, query_groups, sent_queries, small, term_weights, weighted_queries
 from docwarden.scratch import materialise
 from docwarden.sources import snapshots
 
 #: Postings and documents of a shard, places of a block, and documents that a partition should hold about.
 SHARD_POSTINGS, SHARD_DOCS, BLOCK, DOCS_PER_PARTITION = 4_000_000, 100_000, 512, 100_000
+#: Blocks whose postings are looked up among the deleted documents at once.
+LOST_BLOCKS = 1024
 #: Up to this many words are handed to the file reader, which then skips what holds none of them.
 MAX_PUSHED_WORDS = 100
 _BLOCKS = "shard long, token string, block int, n int, first int, last int, most int, least int, places binary, counts binary, lengths binary"
@@ -158,13 +160,21 @@ def _as_bitmap(table: pa.Table) -> pa.Table:
 
 
 def _lost_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings of a block whose documents are gone."""
-    for batch in batches:
-        n = []
-        for first, places, gone in zip(*(batch.column(c).to_pylist() for c in ("first", "places", "gone"))):
-            place = first + np.cumsum(unpack(places))
-            n.append(int(np.isin(place, places_of(gone)).sum()))
-        yield pa.RecordBatch.from_arrays([batch.column("token"), pa.array(n, pa.int64())], names=["token", "df"])
+    """Postings of a block whose documents are gone; many blocks at once, as most hold a single posting."""
+    for whole in batches:
+        for start in range(0, whole.num_rows, LOST_BLOCKS):
+            batch = whole.slice(start, LOST_BLOCKS)
+            gaps, starts = unpack_runs(batch.column("places"))
+            n, place = np.diff(starts), np.cumsum(gaps)
+            place += np.repeat(np.asarray(batch.column("first")) - place[starts[:-1]], n)
+            bitmap = batch.column("gone").dictionary_encode()
+            bits = [np.unpackbits(np.frombuffer(b, np.uint8), bitorder="little") for b in bitmap.dictionary.to_pylist()]
+            size = np.array([len(b) for b in bits])
+            shard = np.repeat(np.asarray(bitmap.indices), n)
+            known = np.flatnonzero(place < size[shard])  # a bitmap ends with its last document
+            gone = np.zeros(len(place), np.int64)
+            gone[known] = np.concatenate(bits)[(np.cumsum(size) - size)[shard[known]] + place[known]]
+            yield pa.RecordBatch.from_arrays([batch.column("token"), pa.array(np.add.reduceat(gone, starts[:-1]))], names=["token", "df"])
 
 
 def remove_documents(spark: SparkSession, path: str, ids: DataFrame) -> None:

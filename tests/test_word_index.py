@@ -149,3 +149,25 @@ def test_packing_many_runs():
         x[:20] = random.integers(0, 200, 20)
         starts = np.array([0, 1, 20, 33, 60])
         assert sc.pack_runs(x, starts).to_pylist() == [sc.pack(x[a:b]) for a, b in zip(starts[:-1], starts[1:])]
+
+
+def test_lost_postings_of_many_blocks(monkeypatch):
+    """As counted block by block; a bitmap is opened once for many blocks, not once for each."""
+    import pyarrow as pa
+
+    random = np.random.default_rng(2)
+    monkeypatch.setattr(wi, "LOST_BLOCKS", 100)
+    gone = [np.sort(random.choice(n, n // 3, replace=False)) for n in (40, 900, 70_000)]
+    maps = [wi._as_bitmap(pa.table({"shard": [i] * len(g), "first": g})).column("gone")[0].as_py() for i, g in enumerate(gone)]
+    rows, want = [], []
+    for t in range(350):
+        shard = int(random.integers(3))
+        place = np.unique(random.integers(0, (60, 1000, 90_000)[shard], int(random.integers(1, 6))))
+        rows.append({"token": f"t{t}", "first": int(place[0]), "places": sc.pack(np.diff(place, prepend=place[0])), "gone": maps[shard]})
+        want.append((f"t{t}", int(np.isin(place, gone[shard]).sum())))
+    schema = pa.schema([("token", pa.string()), ("first", pa.int32()), ("places", pa.binary()), ("gone", pa.binary())])
+    opened = []
+    monkeypatch.setattr(wi.np, "unpackbits", lambda *a, f=np.unpackbits, **b: opened.append(1) or f(*a, **b))
+    monkeypatch.setattr(sc.np, "unpackbits", wi.np.unpackbits)
+    got = [(r["token"], r["df"]) for b in wi._lost_words(iter([pa.RecordBatch.from_pylist(rows, schema=schema).slice(0, 350)])) for r in b.to_pylist()]
+    assert got == want and len(opened) <= 12

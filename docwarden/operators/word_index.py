@@ -25,13 +25,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docwarden.operators.scoring import UNIT, Shard, counted_words, pack_runs, places_of, unpack_runs
+from docwarden.operators.scoring import UNIT, Shard, counted_words, let_go, pack_runs, places_of, unpack_runs, unpacked_words
 from docwarden.operators.search import CorpusStats, corpus_stats, only_best, query_groups, sent_queries, small, term_weights, weighted_queries
 from docwarden.scratch import materialise
 from docwarden.sources import snapshots
 
 #: Postings and documents of a shard, places of a block, and documents that a partition should hold about.
 SHARD_POSTINGS, SHARD_DOCS, BLOCK, DOCS_PER_PARTITION = 4_000_000, 100_000, 512, 100_000
+#: Bytes of a shard's different words; documents that are taken apart, postings that are cut into blocks, and rows that are handed on at once.
+SHARD_BYTES, PIECE_DOCS, CUT_POSTINGS, OUT_ROWS = 64 << 20, 1024, 1 << 17, 4096
 #: Blocks whose postings are looked up among the deleted documents at once.
 LOST_BLOCKS = 1024
 #: Up to this many words are handed to the file reader, which then skips what holds none of them.
@@ -41,18 +43,79 @@ _BLOCKS = "shard long, token string, block int, n int, first int, last int, most
 # Building
 
 
-def _shard_rows(shard: int, ids: list, dl: np.ndarray, words: pa.Array, counts: np.ndarray, per_doc: np.ndarray, block: int, arrow: pa.Schema) -> pa.RecordBatch:
-    """Block rows of one shard, by word."""
-    coded = words.dictionary_encode()
-    by_name = np.asarray(pa.compute.array_sort_indices(coded.dictionary)).astype(np.int64)
-    rank = np.empty(len(by_name), np.int64)
-    rank[by_name] = np.arange(len(by_name))
-    code = rank[np.asarray(coded.indices)] if len(rank) else rank
-    if not len(code):
-        return pa.RecordBatch.from_pylist([], schema=arrow)
-    order = np.argsort(code, kind="stable")  # postings come by place
-    per_word = np.bincount(code)
-    place, counts = np.repeat(np.arange(len(ids)), per_doc)[order], counts[order].astype(np.int64)
+class _Postings:
+    """What a task holds of a shard until it is whole: words as codes of the dictionary of their piece, and counts."""
+
+    def __init__(self) -> None:
+        self.ids: list[pa.Array] = []
+        self.dl: list[np.ndarray] = []
+        self.per_doc: list[np.ndarray] = []
+        self.coded: list[pa.DictionaryArray] = []
+        self.counts: list[np.ndarray] = []
+        self.docs = self.size = self.bytes = 0
+
+    def add(self, piece: pa.RecordBatch) -> None:
+        words, counts = unpacked_words(piece)
+        self.ids.append(pa.concat_arrays([piece.column("id")]))  # a copy, so that the batch can go
+        self.dl.append(np.array(piece.column("dl"), np.int32))
+        self.per_doc.append(np.array(piece.column("n"), np.int32))
+        self.coded.append(words.dictionary_encode())
+        self.counts.append(counts.astype(np.min_scalar_type(counts.max(initial=0))))
+        self.docs += piece.num_rows
+        self.size += len(counts)
+        self.bytes += self.coded[-1].dictionary.nbytes
+
+    @property
+    def full(self) -> bool:
+        return self.size >= SHARD_POSTINGS or self.docs >= SHARD_DOCS or self.bytes >= SHARD_BYTES
+
+    def rows(self, shard: int, block: int, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+        """A row per document, then block rows by word; words are let go as they are coded, and blocks are cut for a run of words at once."""
+        ids, dl = pa.concat_arrays(self.ids), np.concatenate(self.dl).astype(np.int64)
+        for at in range(0, self.docs, OUT_ROWS):
+            part = ids.slice(at, OUT_ROWS)
+            yield _filled({"shard": np.full(len(part), shard), "first": np.arange(at, at + len(part)), "n": dl[at : at + len(part)], "id": part}, len(part), arrow)
+        if not self.size:
+            return
+        coded = pa.chunked_array(self.coded).unify_dictionaries()
+        self.coded.clear()
+        words = coded.chunk(0).dictionary
+        let_go()
+        by_name = np.asarray(pa.compute.array_sort_indices(words)).astype(np.int32)
+        rank = np.empty(len(by_name), np.int32)
+        rank[by_name] = np.arange(len(by_name), dtype=np.int32)
+        # Postings by word, and of a word by place: sorted as one number each.
+        bits = self.size.bit_length()
+        key, per_word, done = np.empty(self.size, np.int64), np.zeros(len(words), np.int64), 0
+        for chunk in coded.chunks:
+            code = rank[np.asarray(chunk.indices)]
+            per_word += np.bincount(code, minlength=len(words))
+            key[done : done + len(code)] = (code.astype(np.int64) << bits) + np.arange(done, done + len(code))
+            done += len(code)
+        del coded, chunk, rank
+        ends = np.cumsum(per_word)
+        key.sort()
+        place, counts = np.repeat(np.arange(self.docs, dtype=np.int32), np.concatenate(self.per_doc)), np.concatenate(self.counts)
+        self.counts.clear()
+        word = 0
+        while word < len(words):
+            start = int(ends[word - 1]) if word else 0
+            after = max(word + 1, int(np.searchsorted(ends, start + CUT_POSTINGS, side="right")))
+            order = key[start : ends[after - 1]] & ((1 << bits) - 1)
+            rows = _block_rows(shard, words.take(pa.array(by_name[word:after])), per_word[word:after], place[order].astype(np.int64), counts[order].astype(np.int64), dl, block, arrow)
+            for at in range(0, rows.num_rows, OUT_ROWS):
+                yield rows.slice(at, OUT_ROWS)
+            word = after
+
+
+def _filled(made: dict, n: int, arrow: pa.Schema) -> pa.RecordBatch:
+    """Rows of these columns; the others are NULL."""
+    columns = (made.get(f.name) for f in arrow)
+    return pa.RecordBatch.from_arrays([pa.nulls(n, f.type) if c is None else c if isinstance(c, pa.Array) else pa.array(c.astype(f.type.to_pandas_dtype())) for c, f in zip(columns, arrow)], schema=arrow)
+
+
+def _block_rows(shard: int, words: pa.Array, per_word: np.ndarray, place: np.ndarray, counts: np.ndarray, dl: np.ndarray, block: int, arrow: pa.Schema) -> pa.RecordBatch:
+    """Block rows of these words of one shard, whose postings come by word and place."""
     lengths = dl[place]
     many = -(-per_word // block)
     number = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
@@ -61,11 +124,34 @@ def _shard_rows(shard: int, ids: list, dl: np.ndarray, words: pa.Array, counts:
     gaps = np.diff(place, prepend=0)
     gaps[starts[:-1]] = 0
     made = {
-        "shard": np.full(len(first), shard), "token": coded.dictionary.take(pa.array(np.repeat(by_name, many))), "block": number, "n": np.diff(starts), "first": first, "last": place[starts[1:] - 1],
+        "shard": np.full(len(first), shard), "token": words.take(pa.array(np.repeat(np.arange(len(words)), many))), "block": number, "n": np.diff(starts), "first": first, "last": place[starts[1:] - 1],
         "most": np.maximum.reduceat(counts, starts[:-1]), "least": np.minimum.reduceat(lengths, starts[:-1]), "places": pack_runs(gaps, starts), "counts": pack_runs(counts, starts), "lengths": pack_runs(lengths, starts),
     }
-    columns = [made.get(f.name) for f in arrow]
-    return pa.RecordBatch.from_arrays([pa.nulls(len(first), f.type) if c is None else c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+    return _filled(made, len(first), arrow)
+
+
+def _inverted_batches(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+    """Rows of the shards of one partition, whose documents come by id."""
+    arrow, made, held = None, 0, _Postings()
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    pairs = [p.split(" ") for p in _BLOCKS.split(", ")]
+
+    def close() -> Iterator[pa.RecordBatch]:
+        nonlocal made, held
+        yield from held.rows((part << 32) + made, block, arrow)
+        made, held = made + 1, _Postings()
+        let_go()
+
+    for batch in batches:
+        if arrow is None:
+            arrow = pa.schema([*((a, kinds[b]) for a, b in pairs), ("id", batch.schema.field("id").type)])
+        for at in range(0, batch.num_rows, PIECE_DOCS):
+            part = batch.column("part")[at].as_py()
+            held.add(batch.slice(at, PIECE_DOCS))
+            if held.full:
+                yield from close()
+    if held.docs:
+        yield from close()
 
 
 def _inverted(counted: DataFrame, partitions: int, block: int) -> DataFrame:
@@ -73,45 +159,7 @@ def _inverted(counted: DataFrame, partitions: int, block: int) -> DataFrame:
     # The exchange: by document, so that a word of most documents lies in all shards alike.
     dealt = counted.repartition(partitions, "id").sortWithinPartitions("id").withColumn("part", F.spark_partition_id())
     schema = T.StructType([*T.StructType.fromDDL(_BLOCKS), counted.schema["id"]])
-    columns = [f.name for f in schema]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        made = 0
-
-        def close() -> Iterator[pa.RecordBatch]:
-            nonlocal made
-            whole = pa.Table.from_batches(held).combine_chunks()
-            shard = (int(whole.column("part")[0].as_py()) << 32) + made
-            made += 1
-            ids, dl = whole.column("id").combine_chunks(), np.asarray(whole.column("dl")).astype(np.int64)
-            words, counts = (whole.column(c).combine_chunks() for c in ("words", "counts"))
-            per_doc = np.asarray(pa.compute.list_value_length(words)).astype(np.int64)
-            docs = {"shard": [shard] * len(ids), "first": np.arange(len(ids), dtype=np.int32), "n": dl.astype(np.int32), "id": ids}
-            types = [f.type for f in arrow]
-            yield pa.RecordBatch.from_arrays([pa.array(docs[c], t) if c in docs and c != "id" else ids if c == "id" else pa.nulls(len(ids), t) for c, t in zip(columns, types)], names=columns)
-            rows = _shard_rows(shard, ids, dl, words.flatten(), np.asarray(counts.flatten()), per_doc, block, arrow)
-            for at in range(0, rows.num_rows, 4096):
-                yield rows.slice(at, 4096)
-
-        arrow, postings, n = None, 0, 0
-        for batch in batches:
-            if arrow is None:
-                kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
-                pairs = [p.split(" ") for p in _BLOCKS.split(", ")]
-                arrow = pa.schema([*((a, kinds[b]) for a, b in pairs), ("id", batch.schema.field("id").type)])
-            for at in range(0, batch.num_rows, 1024):
-                piece = batch.slice(at, 1024)
-                held.append(piece)
-                postings += len(piece.column("words").flatten())
-                n += piece.num_rows
-                if postings >= SHARD_POSTINGS or n >= SHARD_DOCS:
-                    yield from close()
-                    held, postings, n = [], 0, 0
-        if held:
-            yield from close()
-
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(lambda batches: _inverted_batches(batches, block), schema)
 
 
 def _write_segment(docs: DataFrame, path: str, block: int) -> dict:
@@ -119,14 +167,14 @@ def _write_segment(docs: DataFrame, path: str, block: int) -> dict:
     name = uuid.uuid4().hex
     at = f"{path}/segments/{name}"
     counted = materialise(counted_words(docs), "counted-words")
-    n_docs = counted.count()
-    partitions = max(1, -(-n_docs // DOCS_PER_PARTITION), min(spark.sparkContext.defaultParallelism, -(-n_docs // 1000)))
-    stored = _inverted(counted, partitions, block).withColumn("kind", F.when(F.col("token").isNull(), "docs").otherwise("blocks"))
-    stored.write.partitionBy("kind").parquet(f"{at}/rows")
-    blocks = spark.read.schema(stored.schema).parquet(f"{at}/rows").where("kind = 'blocks'")
-    blocks.groupBy("token").agg(F.sum("n").alias("df")).write.parquet(f"{at}/terms")
-    n_words = counted.agg(F.sum("dl")).first()[0] or 0
-    return {"name": name, "docs": n_docs, "words": n_words, "id": counted.schema["id"].dataType.simpleString(), "deleted": None}
+    n_docs, n_words, postings = counted.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    # About one shard a partition, so that a task sorts few documents at once.
+    partitions = max(1, -(-n_docs // DOCS_PER_PARTITION), -(-4 * postings // (3 * SHARD_POSTINGS)), min(spark.sparkContext.defaultParallelism, -(-n_docs // 1000)))
+    # Not partitioned by kind, which would sort all rows of a task before they are written.
+    _inverted(counted, partitions, block).write.parquet(f"{at}/rows")
+    segment = {"name": name, "docs": n_docs, "words": n_words, "id": counted.schema["id"].dataType.simpleString(), "deleted": None}
+    _rows(spark, path, segment, "blocks").groupBy("token").agg(F.sum("n").alias("df")).write.parquet(f"{at}/terms")
+    return segment
 
 
 def build_index(docs: DataFrame, path: str, block: int = BLOCK) -> None:
@@ -141,8 +189,10 @@ def add_documents(docs: DataFrame, path: str, block: int = BLOCK) -> None:
 
 
 def _rows(spark: SparkSession, path: str, segment: dict, kind: str) -> DataFrame:
-    schema = T.StructType([*T.StructType.fromDDL(_BLOCKS), *T.StructType.fromDDL(f"id {segment['id']}, kind string")])
-    return spark.read.schema(schema).parquet(f"{path}/segments/{segment['name']}/rows").where(F.col("kind") == kind).drop("kind")
+    """Rows of ``blocks`` or of ``docs``; older segments have a folder for either."""
+    schema = T.StructType([*T.StructType.fromDDL(_BLOCKS), *T.StructType.fromDDL(f"id {segment['id']}")])
+    rows = spark.read.schema(schema).parquet(f"{path}/segments/{segment['name']}/rows").select(*schema.names)
+    return rows.where(F.col("token").isNotNull() if kind == "blocks" else F.col("token").isNull())
 
 
 def _bitmaps(spark: SparkSession, path: str, segment: dict) -> DataFrame:
@@ -265,9 +315,12 @@ def _search(shards: DataFrame, weighted: DataFrame, avg: float, k: int, whole: b
     def run(table: pa.Table) -> pa.Table:
         segment, number, shard = _shard_of(table, avg)
         qids, place, units = shard.answers(shared.value, k, whole)
+        decoded, total = shard.decoded, shard.total
+        del shard
+        let_go()
         n = len(qids)
         out = [pa.array([*qids, None], kind), pa.array([segment] * (n + 1), pa.int32()), pa.array([number] * (n + 1), pa.int64()), pa.array(np.append(place, 0).astype(np.int32))]
-        cost = [pa.array([*[None] * n, x], pa.int64()) for x in (shard.decoded, shard.total)]
+        cost = [pa.array([*[None] * n, x], pa.int64()) for x in (decoded, total)]
         return pa.table([*out, pa.array(np.append(units, 0)), *cost], names=["qid", "segment", "shard", "at", "units", "decoded", "total"])
 
     schema = T.StructType([T.StructField("qid", qid.dataType), *T.StructType.fromDDL("segment int, shard long, at int, units long, decoded long, total long")])

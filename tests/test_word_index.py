@@ -171,3 +171,79 @@ def test_lost_postings_of_many_blocks(monkeypatch):
     monkeypatch.setattr(sc.np, "unpackbits", wi.np.unpackbits)
     got = [(r["token"], r["df"]) for b in wi._lost_words(iter([pa.RecordBatch.from_pylist(rows, schema=schema).slice(0, 350)])) for r in b.to_pylist()]
     assert got == want and len(opened) <= 12
+
+
+def counted(contents, part=0):
+    """Batches as a task of a build gets them."""
+    import pyarrow as pa
+
+    tokens = [None if c is None else c.split() for c in contents]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(tokens))), pa.array(tokens, pa.list_(pa.string()))], names=["id", "tokens"])
+    for b in sc.packed_batches(sc.counted_batches(iter([batch]))):
+        yield b.append_column("part", pa.array([part] * b.num_rows, pa.int32()))
+
+
+def test_words_of_documents_packed():
+    contents = ["", "b a b", None, "é " * 300 + "z", "x\x00y \U0001f600", ""] * 2
+    for start, stop in ((0, 12), (2, 3), (3, 9)):
+        for batch in counted(contents):
+            words, counts = sc.unpacked_words(batch.slice(start, stop - start))
+            want = [sorted({w: c.split().count(w) for w in c.split()}.items()) for c in contents[start:stop] if c]
+            n = [x for x in batch.column("n").to_pylist()[start:stop] if x]
+            got = list(zip(words.to_pylist(), counts.tolist()))
+            assert [sorted(got[a - k : a]) for a, k in zip(np.cumsum(n).tolist(), n)] == want
+
+
+def test_shards_cut_in_pieces(monkeypatch):
+    """Whatever is held, cut and handed on at once, each shard has all postings of its documents, by word and place."""
+    contents = [*corpus(6, 300), None, "", "w1 " * 70_000]
+    for c, v in (("SHARD_POSTINGS", 700), ("PIECE_DOCS", 37), ("CUT_POSTINGS", 50), ("OUT_ROWS", 9)):
+        monkeypatch.setattr(wi, c, v)
+    rows = [r for b in wi._inverted_batches(counted(contents, 3), 8) for r in b.to_pylist()]
+    docs = [r for r in rows if r["token"] is None]
+    shards = sorted({r["shard"] for r in docs})
+    assert len(shards) > 3 and shards == [(3 << 32) + i for i in range(len(shards))]
+    assert [(r["id"], r["n"]) for r in docs] == [(i, len((c or "").split())) for i, c in enumerate(contents)]
+    for shard in shards:
+        mine = [r for r in docs if r["shard"] == shard]
+        assert [r["first"] for r in mine] == list(range(len(mine)))
+        want = sorted((w, r["first"], (contents[r["id"]] or "").split().count(w), r["n"]) for r in mine for w in set((contents[r["id"]] or "").split()))
+        got = []
+        for r in (r for r in rows if r["shard"] == shard and r["token"] is not None):
+            place = r["first"] + np.cumsum(sc.unpack(r["places"]))
+            counts, lengths = sc.unpack(r["counts"]), sc.unpack(r["lengths"])
+            assert len(place) == r["n"] <= 8 and (r["first"], r["last"], r["most"], r["least"]) == (place[0], place[-1], counts.max(), lengths.min())
+            got += zip([r["token"]] * len(place), place.tolist(), counts.tolist(), lengths.tolist())
+        assert got == want
+
+
+def test_building_a_shard_holds_few_bytes_a_posting(monkeypatch):
+    """Arrays of a shard grow with its postings, so what is cut into blocks at once is little; all at once took 97 bytes a posting."""
+    import tracemalloc
+
+    monkeypatch.setattr(wi, "CUT_POSTINGS", 1 << 13)
+    random = np.random.default_rng(3)
+    contents = [" ".join(f"w{i}" for i in (random.zipf(1.3, 300) % 100_000).tolist()) for _ in range(3000)]
+    batches = list(counted(contents))
+    postings = sum(int(np.sum(np.asarray(b.column("n")))) for b in batches)
+    tracemalloc.start()
+    made = sum(b.num_rows for b in wi._inverted_batches(iter(batches), 512))
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made > 3000 and held < 40 * postings
+
+
+def test_rows_are_not_sorted_by_kind_before_they_are_written(spark, tmp_path):
+    """One table for both kinds; segments from before, with a folder for either, are read as well."""
+    contents, path = corpus(8, 200), str(tmp_path / "i")
+    wi.build_index(texts(spark, contents), path, 16)
+    segment = snapshots.latest(spark, path)[1]["segments"][0]
+    rows_at = tmp_path / "i" / "segments" / segment["name"] / "rows"
+    assert not list(rows_at.glob("kind=*"))
+    before = spark.read.parquet(str(rows_at))
+    before.selectExpr("*", "if(token IS NULL, 'docs', 'blocks') AS kind").write.partitionBy("kind").parquet(str(tmp_path / "old" / "segments" / segment["name"] / "rows"))
+    spark.read.parquet(f"{path}/segments/{segment['name']}/terms").write.parquet(str(tmp_path / "old" / "segments" / segment["name"] / "terms"))
+    snapshots.publish(spark, str(tmp_path / "old"), 0, {"segments": [segment]})
+    for at in (path, str(tmp_path / "old")):
+        got, want = best(spark, at, contents, ["w0 w3", "w1", "absent"], 5)
+        assert got == want
